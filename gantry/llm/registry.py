@@ -6,6 +6,11 @@ import importlib
 
 #: name of the query: its module.
 MODULES = {
+    "op9_quality_classifier": "importance",
+    "op8_decontamination": "decontaminate",
+    "op7_html_extraction": "html_text",
+    "op3_url_filter": "url_filter",
+    "op4_quality_rules": "quality_rules",
     "op10_language_id": "langid",
 }
 
