@@ -6,6 +6,7 @@ import importlib
 
 #: name of the query: its module.
 MODULES = {
+    "op6_jaccard_join": "jaccard",
     "op1_packing": "packing",
     "op9_quality_classifier": "importance",
     "op8_decontamination": "decontaminate",
