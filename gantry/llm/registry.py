@@ -6,6 +6,7 @@ import importlib
 
 #: name of the query: its module.
 MODULES = {
+    "op5_pii_surrogates": "pii",
     "op2_suffix_array_dedup": "repeats",
     "op6_jaccard_join": "jaccard",
     "op1_packing": "packing",
