@@ -123,7 +123,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT r, doc_id, source, t, regexp_extract_all(t, '[^ \t-\r]+') AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS ls
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls
   FROM d
 ), g AS (
   SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
