@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gantry.plans import base
 
-GROUPS = ("aggregation", "relational", "windows", "scalars", "generation", "statistics", "incremental")
+GROUPS = ("aggregation", "relational", "windows", "scalars", "generation")
 for _group in GROUPS:
     importlib.import_module(f"gantry.plans.{_group}")
 
