@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles. Sets that are equal are one node. Any two sets that reach the
 threshold share one of their first few shingles in a fixed order (prefix filter): by hash, with the most frequent
 shingles last. The nodes of such a shingle form a cell, cut by size into tiles, as sets of too different sizes can't
-link. In a tile, bit counts of hashed bitmaps bound each overlap from above; what passes is held against the sorted
-arrays of hashes themselves.
+link. A small signature, the counts of the hashes' classes, bounds each overlap from above and rules most members
+out; for the rest, bit counts of wide hashed bitmaps bound it again, and what passes is held against the sorted arrays
+of hashes themselves.
 
 Round 1 uses each node's first two shingles only; it finds most links cheaply, and a pair that is already connected
 is not looked at again. Round 2 goes over all prefix cells for links between different components of round 1, so
@@ -31,6 +32,8 @@ from gantry.llm.graph import components
 _U = np.uint64
 #: Most members of a tile's side.
 TILE = 512
+#: Classes of the small count signature that goes with every member of a cell.
+LANES = 32
 #: Node ids that may be broadcast; beyond, the same filter is a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -95,23 +98,20 @@ def frequent_shingles(docs: DataFrame, words: int, text: str, least: int, local_
     return np.sort(found.view(np.uint64))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A bitmap of about four bits for each shingle, a power of two wide."""
-    width = min(1 << 16, max(256, 1 << (4 * len(hashes) - 1).bit_length()))
-    bits = np.zeros(width, dtype=np.uint8)
-    bits[(hashes & _U(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def lanes(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of LANES classes, at most 255 each."""
+    return np.minimum(np.bincount((hashes & _U(LANES - 1)).astype(np.int64), minlength=LANES), 255).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, words: int, percent: int, frequent, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs) and bitmap."""
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, bits binary"
+    """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs) and count signature."""
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, counts binary"
 
     def run(batches):
         seen: set[int] = set()
         hot = frequent.value
         for batch in batches:
-            nodes, sizes, prefixes, bits = [], [], [], []
+            nodes, sizes, prefixes, counts = [], [], [], []
             for hashes in shingle_sets(column_bytes(batch, "text"), words):
                 n = len(hashes)
                 node = node_of(hashes)
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, words: int, percent: int, frequent, doc_id: str,
                 sizes.append(n)
                 if not n or node in seen:
                     prefixes.append(None)
-                    bits.append(None)
+                    counts.append(None)
                     continue
                 seen.add(node)
                 take = n - -(-percent * n // 100) + 1
@@ -129,10 +129,10 @@ def signatures(docs: DataFrame, words: int, percent: int, frequent, doc_id: str,
                 else:
                     order = hashes
                 prefixes.append(order[: max(take, 2)].view(np.int64))
-                bits.append(bitmap(hashes))
+                counts.append(lanes(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "node", "n", "prefix", "bits"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                names=["doc_id", "node", "n", "prefix", "counts"],
             )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -158,55 +158,86 @@ def _table(batches, *names: str) -> list[np.ndarray]:
     return [t.column(n).to_numpy() for n in names]
 
 
+_MEMBER = ("key", "i", "j", "side", "node", "n", "label", "counts")
+_MEMBER_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_MEMBER_SCHEMA = "key long, i int, j int, side int, node long, n long, label long, counts binary"
+
+
+def _members(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, _MEMBER_KINDS, strict=True)], names=list(_MEMBER))
+
+
+def partners(n: np.ndarray, label: np.ndarray, side: np.ndarray | None, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which members (sizes ascending) have a partner of another label, and side, that the bound does not rule out.
+
+    An overlap is at most half of both sizes less what the counts of the classes differ by.
+    """
+    ok = np.zeros(len(n), dtype=bool)
+    first = np.searchsorted(100 * n, percent * n)  # the first size that can link
+    for y in range(1, len(n)):
+        lo = first[y]
+        if lo == y:
+            continue
+        apart = np.abs(counts[lo:y] - counts[y]).sum(axis=1)
+        both = n[lo:y] + n[y]
+        most = (both - apart) // 2
+        hit = (100 * most >= percent * (both - most)) & (label[lo:y] != label[y])
+        if side is not None:
+            hit &= side[lo:y] != side[y]
+        if hit.any():
+            ok[y] = True
+            ok[lo:y] |= hit
+    return ok
+
+
+def _matrix(counts: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), dtype=np.uint8).reshape(-1, LANES).astype(np.int16)
+
+
 def tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Members (key, node, n, label) of cells with links to find, dealt into tiles: key, i, j, side, node, n, label."""
-    schema = "key long, i int, j int, side int, node long, n long, label long"
+    """Members (key, node, n, label, counts) of cells that may have links to find, with their tile.
+
+    A cell of up to TILE members is one tile, and only members with a possible partner stay; a larger one is cut by
+    size into blocks, and each two blocks that can link are a tile.
+    """
 
     def run(batches):
-        key, node, n, label = _table(batches, "key", "node", "n", "label")
+        key, node, n, label, counts = _table(batches, "key", "node", "n", "label", "counts")
         order = np.lexsort((node, n, key))
-        key, node, n, label = key[order], node[order], n[order], label[order]
+        key, node, n, label, counts = key[order], node[order], n[order], label[order], counts[order]
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a node may come from several partitions
-        key, node, n, label = key[fresh], node[fresh], n[fresh], label[fresh]
-        out: list[tuple] = []
+        near = np.zeros(len(key), dtype=bool)
+        near[1:] |= key[1:] == key[:-1]
+        near[:-1] |= key[1:] == key[:-1]
+        at = np.flatnonzero(fresh & near)
+        key, node, n, label, counts = key[at], node[at], n[at], label[at], counts[at]
+        stay: list[np.ndarray] = []
         for a, b in _groups([key]):
             if b - a < 2:
                 continue
             if b - a <= TILE:
-                # a member stays if a neighbour in size can link with it at all
-                near = 100 * n[a : b - 1] >= percent * n[a + 1 : b]
-                stay = np.zeros(b - a, dtype=bool)
-                stay[:-1] |= near
-                stay[1:] |= near
-                if stay.any() and (label[a:b][stay] != label[a:b][stay][0]).any():
-                    at = a + np.flatnonzero(stay)
-                    out.append((key[at], np.zeros(len(at), int), np.zeros(len(at), int), np.zeros(len(at), int), node[at], n[at], label[at]))
-            else:
-                starts = range(a, b, TILE)
-                for i, s in enumerate(starts):
-                    for j in range(i, len(starts)):
-                        t = starts[j]
-                        s_end, t_end = min(s + TILE, b), min(t + TILE, b)
-                        if 100 * n[s_end - 1] < percent * n[t]:
-                            break
-                        labels = np.concatenate([label[s:s_end], label[t:t_end]])
-                        if (labels == labels[0]).all():
-                            continue
-                        for side, lo, hi in ((0, s, s_end), (1, t, t_end)) if i != j else ((0, s, s_end),):
-                            k = hi - lo
-                            out.append((key[lo:hi], np.full(k, i), np.full(k, j), np.full(k, side), node[lo:hi], n[lo:hi], label[lo:hi]))
-            if sum(len(x[0]) for x in out[-64:]) > 50_000:
-                yield _emit(out)
-                out = []
-        yield _emit(out)
-
-    def _emit(out):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["key", "i", "j", "side", "node", "n", "label"])
-
-    return members.repartition(_width(members), "key").mapInArrow(run, schema)
+                if (label[a:b] != label[a]).any():
+                    stay.append(a + np.flatnonzero(partners(n[a:b], label[a:b], None, _matrix(counts[a:b]), percent)))
+                continue
+            starts = range(a, b, TILE)
+            for i, s in enumerate(starts):
+                for j in range(i, len(starts)):
+                    t = starts[j]
+                    s_end, t_end = min(s + TILE, b), min(t + TILE, b)
+                    if 100 * n[s_end - 1] < percent * n[t]:
+                        break
+                    labels = np.concatenate([label[s:s_end], label[t:t_end]])
+                    if (labels == labels[0]).all():
+                        continue
+                    for side, lo, hi in ((0, s, s_end), (1, t, t_end)) if i != j else ((0, s, s_end),):
+                        k = hi - lo
+                        yield _members((key[lo:hi], np.full(k, i), np.full(k, j), np.full(k, side), node[lo:hi], n[lo:hi], label[lo:hi], counts[lo:hi]))
+        at = np.concatenate(stay) if stay else np.zeros(0, dtype=np.int64)
+        zero = np.zeros(len(at), dtype=np.int32)
+        yield _members((key[at], zero, zero, zero, node[at], n[at], label[at], counts[at]))
+
+    return members.repartition(_width(members), "key").mapInArrow(run, _MEMBER_SCHEMA)
 
 
 def _width(df: DataFrame) -> int:
@@ -223,13 +254,6 @@ def _pairs(n: list[int], side: list[int], percent: int, apart: bool) -> Iterator
                 yield x, y
 
 
-def _fold(bits: int, width: int, to: int) -> int:
-    while width > to:
-        width >>= 1
-        bits = (bits & ((1 << width) - 1)) | (bits >> width)
-    return bits
-
-
 def may_link(bx: int, by: int, nx: int, ny: int, percent: int) -> bool:
     """Whether the bound on the overlap leaves a link possible; the bitmaps are of one width."""
     both = bx & by
@@ -238,30 +262,17 @@ def may_link(bx: int, by: int, nx: int, ny: int, percent: int) -> bool:
 
 
 def passing(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of tiles (with bits) that have a partner of another label whom the bitmaps don't rule out."""
-    schema = "key long, i int, j int, side int, node long, n long, label long"
-    names = ("key", "i", "j", "side", "node", "n", "label", "bits")
+    """Members of tiles that have a possible partner; those of cells in one tile were looked at before."""
 
     def run(batches):
-        key, i, j, side, node, n, label, bits = _table(batches, *names)
-        order = np.lexsort((node, n, j, i, key))
-        key, i, j, side, node, n, label, bits = (x[order] for x in (key, i, j, side, node, n, label, bits))
-        stay = np.zeros(len(key), dtype=bool)
-        for a, b in _groups([key, i, j]):
-            size, sides, labels = n[a:b].tolist(), side[a:b].tolist(), label[a:b].tolist()
-            maps, widths = [int.from_bytes(x, "little") for x in bits[a:b]], [8 * len(x) for x in bits[a:b]]
-            ok = [False] * (b - a)
-            for x, y in _pairs(size, sides, percent, i[a] != j[a]):
-                if labels[x] == labels[y] or (ok[x] and ok[y]):
-                    continue
-                w = min(widths[x], widths[y])
-                if may_link(_fold(maps[x], widths[x], w), _fold(maps[y], widths[y], w), size[x], size[y], percent):
-                    ok[x] = ok[y] = True
-            stay[a:b] = ok
-        at = np.flatnonzero(stay)
-        yield pa.RecordBatch.from_arrays([pa.array(c[at], type=k) for c, k in zip((key, i, j, side, node, n, label), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=list(names[:-1]))
+        columns = _table(batches, *_MEMBER)
+        order = np.lexsort((columns[4], columns[5], columns[2], columns[1], columns[0]))
+        key, i, j, side, node, n, label, counts = (x[order] for x in columns)
+        stay = [a + np.flatnonzero(partners(n[a:b], label[a:b], side[a:b] if i[a] != j[a] else None, _matrix(counts[a:b]), percent)) for a, b in _groups([key, i, j])]
+        at = np.concatenate(stay) if stay else np.zeros(0, dtype=np.int64)
+        yield _members(x[at] for x in (key, i, j, side, node, n, label, counts))
 
-    return rows.repartition(_width(rows), "key", "i", "j").mapInArrow(run, schema)
+    return rows.repartition(_width(rows), "key", "i", "j").mapInArrow(run, _MEMBER_SCHEMA)
 
 
 def verified(rows: DataFrame, percent: int) -> DataFrame:
@@ -336,17 +347,14 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     sets = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "sets")
     nodes = sig.where(F.col("prefix").isNotNull())
 
-    first = nodes.select(F.explode(F.slice("prefix", 1, 2)).alias("key"), "node", "n", F.col("node").alias("label"))
-    cells = materialise(tiles(first, percent), "cells")
-    found = materialise(_verify(docs, cells, sets, percent, words, doc_id, text), "links")
+    first = nodes.select(F.explode(F.slice("prefix", 1, 2)).alias("key"), "node", "n", F.col("node").alias("label"), "counts")
+    found = materialise(_verify(docs, _cells(first, percent), sets, percent, words, doc_id, text), "links")
     roots = components(found)
 
-    labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("label"))
+    labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", "counts", F.coalesce("root", "node").alias("label"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rest = labelled.select(F.explode(F.slice(F.col("prefix"), F.lit(1), take.cast("int"))).alias("key"), "node", "n", "label")
-    bits = nodes.select("node", "bits").dropDuplicates(["node"])
-    cells = materialise(passing(tiles(rest, percent).join(bits, "node"), percent), "cells")
-    more = materialise(_verify(docs, cells, sets, percent, words, doc_id, text), "links")
+    rest = labelled.select(F.explode(F.slice(F.col("prefix"), F.lit(1), take.cast("int"))).alias("key"), "node", "n", "label", "counts")
+    more = materialise(_verify(docs, _cells(rest, percent), sets, percent, words, doc_id, text), "links")
     roots = components(found.unionByName(more))
 
     lowest = sets.join(roots, "node").groupBy("root").agg(F.min("id").alias("lowest"))
@@ -356,6 +364,10 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    return materialise(passing(tiles(members, percent), percent).drop("counts"), "cells")
+
+
 def _verify(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, words: int, doc_id: str, text: str) -> DataFrame:
     wanted = materialise(sets.join(cells.select("node").distinct(), "node", "left_semi").select("id"), "wanted")
     arrays = arrays_of(docs, wanted, words, doc_id, text)
