@@ -1,9 +1,8 @@
 """Exact n-gram Jaccard self-join with components.
 
 A document is the set of its distinct word shingles. Sets that are equal are one node. Any two sets that reach the
-threshold share one of their first few shingles in a fixed order (prefix filter): by hash, with the most frequent
-shingles last. The nodes of such a shingle form a cell, cut by size into tiles, as sets of too different sizes can't
-link. A small signature, the counts of the hashes' classes, bounds each overlap from above and rules most members
+threshold share one of their first few shingles in a fixed order (prefix filter): rare ones first, then by hash. The
+nodes of such a shingle form a cell, cut by size into tiles, as sets of too different sizes can't link. A small signature, the counts of the hashes' classes, bounds each overlap from above and rules most members
 out; for the rest, bit counts of wide hashed bitmaps bound it again, and what passes is held against the sorted arrays
 of hashes themselves.
 
@@ -65,37 +64,23 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(hashes.tobytes()).digest()[:8], "little", signed=True)
 
 
-def frequent_shingles(docs: DataFrame, words: int, text: str, least: int, local_share: float = 0.0005) -> np.ndarray:
-    """Shingles in about `least` documents or more: a bounded list, as all documents together hold few such.
+def commonness(docs: DataFrame, words: int, text: str, total: int, sample: int = 10_000) -> np.ndarray:
+    """How often shingles stand in about `sample` documents, by the upper 24 bits of their hashes, at most 255 each.
 
-    Only the order of shingles depends on it, never a result. Tasks count their own documents block by block and
-    pass on what reaches `local_share` of them.
+    It fixes the order of shingles, rare ones first. Any one order gives the same links, so an estimate from a bounded
+    number of documents will do; it decides how many members the cells have, never what is found.
     """
 
     def count(batches):
-        held, docs_seen, block, size = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)), 0, [], 0
+        slots = [(hashes >> _U(40)).astype(np.int32) for batch in batches for hashes in shingle_sets(column_bytes(batch, "text"), words)]
+        at, n = np.unique(np.concatenate(slots), return_counts=True) if slots else (np.zeros(0, dtype=np.int32),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["slot", "n"])
 
-        def fold(held, block):
-            codes, n = np.unique(np.concatenate(block), return_counts=True)
-            codes, n = codes[n > 1], n[n > 1]
-            both, at = np.unique(np.concatenate([held[0], codes]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([held[1], n]), minlength=len(both)).astype(np.int64)
-
-        for batch in batches:
-            for hashes in shingle_sets(column_bytes(batch, "text"), words):
-                docs_seen += 1
-                block.append(hashes)
-                size += len(hashes)
-                if size > 2_000_000:
-                    held, block, size = fold(held, block), [], 0
-        if block:
-            held = fold(held, block)
-        keep = held[1] >= max(3, local_share * docs_seen)
-        yield pa.RecordBatch.from_arrays([pa.array(held[0][keep].view(np.int64)), pa.array(held[1][keep])], names=["key", "n"])
-
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy()
-    return np.sort(found.view(np.uint64))
+    some = docs.select(F.col(text).alias("text")).sample(min(1.0, sample / max(total, 1)), seed=1)
+    found = some.mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    table = np.zeros(1 << 24, dtype=np.uint8)
+    table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 255)
+    return table
 
 
 def lanes(hashes: np.ndarray) -> bytes:
@@ -103,13 +88,13 @@ def lanes(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes & _U(LANES - 1)).astype(np.int64), minlength=LANES), 255).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, words: int, percent: int, frequent, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int, common, doc_id: str, text: str) -> DataFrame:
     """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs) and count signature."""
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, counts binary"
 
     def run(batches):
         seen: set[int] = set()
-        hot = frequent.value
+        often = common.value
         for batch in batches:
             nodes, sizes, prefixes, counts = [], [], [], []
             for hashes in shingle_sets(column_bytes(batch, "text"), words):
@@ -123,11 +108,7 @@ def signatures(docs: DataFrame, words: int, percent: int, frequent, doc_id: str,
                     continue
                 seen.add(node)
                 take = n - -(-percent * n // 100) + 1
-                if len(hot):
-                    is_hot = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
-                    order = np.concatenate([hashes[~is_hot], hashes[is_hot]])
-                else:
-                    order = hashes
+                order = hashes[np.argsort(often[(hashes >> _U(40)).astype(np.int64)], kind="stable")]
                 prefixes.append(order[: max(take, 2)].view(np.int64))
                 counts.append(lanes(hashes))
             yield pa.RecordBatch.from_arrays(
@@ -331,7 +312,7 @@ def arrays_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text:
             sets = list(shingle_sets(column_bytes(batch, "text"), words))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
 
-    return rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, hashes binary")
 
 
 def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,9 +322,8 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     """
     spark = docs.sparkSession
     docs = docs.select(doc_id, text)
-    total = docs.count()
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words, text, max(1000, total // 500)))
-    sig = materialise(signatures(docs, words, percent, frequent, doc_id, text), "signatures")
+    common = spark.sparkContext.broadcast(commonness(docs, words, text, docs.count()))  # 16 MB
+    sig = materialise(signatures(docs, words, percent, common, doc_id, text), "signatures")
     sets = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "sets")
     nodes = sig.where(F.col("prefix").isNotNull())
 
