@@ -32,9 +32,10 @@ _UPPER = _U(0xFFFFFFFF00000000)
 ANCHOR = 32
 #: Segments are cut after so many windows; text of a short period would else be one segment.
 MOST_WINDOWS = 512
-_COMBINE = 1_000_000
-#: Bytes of contexts that are sorted together.
-_SORT_BYTES = 1 << 20
+_COMBINE = 300_000
+#: Bytes of text that are hashed together, bytes of contexts that are sorted together, and rows that are unpacked at once.
+_HASH_BYTES = _SORT_BYTES = 1 << 19
+_ROWS = 1000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +50,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each chunk: text number, first window, number of windows, anchor, content hash and whether it may repeat itself; then the chunk's prefix sums and first windows in it."""
-    for first, _, buffer, start, length in byte_chunks(texts):
+    for first, _, buffer, start, length in byte_chunks(texts, limit=_HASH_BYTES):
         full = np.flatnonzero(length >= least)
         if not len(full):
             continue
@@ -95,7 +96,7 @@ def frequent_anchors(docs: DataFrame, least: int, at_least: int, local_share: fl
             both, at = np.unique(np.concatenate([held[0], codes]), return_inverse=True)
             return both, np.bincount(at, weights=np.concatenate([held[1], n]), minlength=len(both)).astype(np.int64)
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = column_bytes(batch, "text")
             seen += len(texts)
             for found in segments(texts, least):
@@ -112,6 +113,13 @@ def frequent_anchors(docs: DataFrame, least: int, at_least: int, local_share: fl
     return np.sort(counts.where(F.col("n") >= at_least).select("key").toArrow().column("key").to_numpy().view(np.uint64))
 
 
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 _SEGMENT = "key long, kind int, doc_id long, lo long, n long, content long"
 _NAMES = ["key", "kind", "doc_id", "lo", "n", "content"]
 _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -168,7 +176,7 @@ def local_segments(docs: DataFrame, least: int, frequent) -> DataFrame:
             d, a, b = _merged(doc[gone], lo[gone], lo[gone] + n[gone] - 1 + least)
             yield _batch([_doc_key(d), np.full(len(d), SPAN, dtype=np.int32), d, a, b - a, np.zeros(len(d), dtype=np.int64)])
 
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for number, lo, n, anchor, content, inner, prefix, at in segments(column_bytes(batch, "text"), least):
                 doc = ids[number]
@@ -224,11 +232,9 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     rows = docs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             lists = batch.column(2)
-            lengths = np.diff(lists.offsets.to_numpy())
+            lengths = lists.value_lengths().to_numpy()
             flat = lists.flatten()
             key, lo, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "lo", "n"))
             doc = np.repeat(batch.column(0).to_numpy(), lengths)
@@ -379,7 +385,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id",
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:bigint,n:bigint>>" + (", kept binary" if keep_text else "")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for t, found in zip(column_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 runs: list[list[int]] = []
