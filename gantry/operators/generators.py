@@ -189,7 +189,7 @@ def unbounded_fill(total: int, sizes: Sequence[int]) -> list[int] | None:
     for s in range(1, total + 1):
         options = [[*best[s - n], n] for n in sorted(set(sizes), reverse=True) if n <= s and best[s - n] is not None]
         best[s] = min(options, key=len, default=None)
-    return best[total]
+    return sorted(best[total], reverse=True) if best[total] is not None else None
 
 
 def first_fit_masks(jobs: Sequence[tuple[str, int]], cards: Sequence[int]) -> list[list[tuple[str, list[int]]]]:

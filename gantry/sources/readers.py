@@ -27,7 +27,8 @@ def lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 def lenient_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """JSON lines with `malformed`, true for lines that can't be read."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    text = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_path").alias("_file"))
+    rows = text.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "_file").select("r.*", "_file")
     return rows.withColumn("malformed", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
