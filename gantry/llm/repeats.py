@@ -6,7 +6,8 @@ hashes (anchor and content, 128 bits): all but the first go whole. Where one anc
 contexts of that anchor, one for each different segment, are brought together. Their windows are sorted as suffixes,
 with the length of the prefix each shares with its neighbour, and a stack scan walks the tree of common-prefix
 intervals: an interval whose members are preceded by different bytes is a maximal repeat group with all its
-occurrences, and all but its first occurrence are removed.
+occurrences, and all but its first occurrence are removed. The scan keeps the earliest member of each interval, so the
+occurrences of nested groups aren't listed again and again.
 
 Anchors that stand in very many contexts (a bounded list, found first) are settled window by window instead, so no key
 gathers a large part of the corpus; tasks combine their own equal segments before anything is shuffled.
@@ -277,11 +278,12 @@ def interval_tree(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append([value, begin])
 
 
-def repeat_groups(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeat groups among contexts [begin, end) of one buffer, within each group.
+def equal_runs(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """Runs of the suffix array whose members share `least` bytes and more, within each group of contexts [begin, end).
 
-    Gives the length, the context of each occurrence and its place in the buffer. Left-extension diversity: an
-    interval all of whose occurrences follow the same byte is part of a longer repeat and is left out.
+    Gives places in the buffer, contexts, the bytes before (a value of its own where a context begins) and the shared
+    prefixes of neighbours. Left-extension diversity: a run all of whose members follow the same byte is part of a
+    longer repeat and is left out.
     """
     windows = np.maximum(end - begin - least + 1, 0)
     context = np.repeat(np.arange(len(begin)), windows)
@@ -295,29 +297,62 @@ def repeat_groups(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, group:
     context, at = context[twice], at[twice]
     order = suffix_order(buffer, at, group[context], least)
     context, at = context[order], at[order]
-    # the byte before, or a value of its own where the context begins
     before = np.where(at > begin[context], buffer[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
-    equal = np.zeros(max(len(at) - 1, 0), dtype=bool)
-    if len(at) > 1:
-        equal[:] = group[context[1:]] == group[context[:-1]]
-        for k in range(least):
-            equal &= buffer[at[1:] + k] == buffer[at[:-1] + k]
-    cut = np.flatnonzero(np.concatenate([[True], ~equal, [True]]))
+    equal = group[context[1:]] == group[context[:-1]]
+    for k in range(least):
+        equal &= buffer[at[1:] + k] == buffer[at[:-1] + k]
+    cut = np.flatnonzero(np.concatenate([[True], ~equal, [True]])) if len(at) else np.zeros(1, dtype=np.int64)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if b - a < 2 or (before[a:b] == before[a]).all():
             continue
-        place, ctx = at[a:b], context[a:b]
-        # `suffix_order` compares `least` bytes; what follows decides the order of these few
-        if b - a > 2:
-            tails = sorted(range(b - a), key=lambda i: buffer[place[i] + least : end[ctx[i]]].tobytes())
-            place, ctx = place[tails], ctx[tails]
-        left = before[a:b] if b - a == 2 else before[a:b][tails]
-        lcp = [common_prefix(buffer, int(place[i]), int(end[ctx[i]]), int(place[i + 1]), int(end[ctx[i + 1]])) for i in range(b - a - 1)]
+        # the order so far compares `least` bytes; what follows decides among these few
+        tails = a + np.array(sorted(range(b - a), key=lambda i: buffer[at[a + i] + least : end[context[a + i]]].tobytes()))
+        place, ctx = at[tails], context[tails]
+        stop = end[ctx]
+        lcp = [common_prefix(buffer, x, x_end, y, y_end) for x, x_end, y, y_end in zip(place[:-1].tolist(), stop[:-1].tolist(), place[1:].tolist(), stop[1:].tolist(), strict=True)]
+        yield place, ctx, before[tails], lcp
+
+
+def repeat_groups(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Maximal repeat groups among contexts: the length, and the context and place of every occurrence."""
+    for place, ctx, left, lcp in equal_runs(buffer, begin, end, group, least):
         for length, lo, hi in interval_tree(lcp, least):
             if not (left[lo : hi + 1] == left[lo]).all():
                 yield length, ctx[lo : hi + 1], place[lo : hi + 1]
 
 
+def later_lengths(lcp: list[int], rank: list[int]) -> dict[int, int]:
+    """For each suffix but the first of all (rank 0 is the earliest) the longest prefix that an earlier one has too.
+
+    The same scan: an interval keeps its earliest member; where an interval joins its parent, the later of the two
+    earliest members has found an earlier suffix, and no deeper interval gave it one.
+    """
+    found: dict[int, int] = {}
+    stack: list[list[int]] = [[0, -1]]
+    for i, r in enumerate(rank):
+        length = lcp[i - 1] if i else 0
+        while stack[-1][0] > length:
+            _, best = stack.pop()
+            top = stack[-1]
+            if top[0] < length:
+                stack.append([length, best])
+            elif top[1] < 0:
+                top[1] = best
+            else:
+                found[max(top[1], best)] = top[0]
+                top[1] = min(top[1], best)
+        stack.append([1 << 62, r])
+    while len(stack) > 1:
+        _, best = stack.pop()
+        top = stack[-1]
+        if top[1] >= 0:
+            found[max(top[1], best)] = top[0]
+            top[1] = min(top[1], best)
+        else:
+            top[1] = best
+    return {r: n for r, n in found.items() if n}
+
+
 def context_spans(rows: DataFrame, least: int) -> DataFrame:
     """Spans to remove (doc_id, lo, n) from repeat groups within the contexts of each key."""
 
@@ -340,11 +375,14 @@ def context_spans(rows: DataFrame, least: int) -> DataFrame:
             length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
             end = np.cumsum(length)
             begin = end - length
-            for n, ctx, place in repeat_groups(buffer, begin, end, key[rows], least):
-                where = lo[rows[ctx]] + place - begin[ctx]
-                first = np.lexsort((where, doc[rows[ctx]]))[0]
-                others = np.arange(len(ctx)) != first
-                out.append((doc[rows[ctx[others]]], where[others], where[others] + n))
+            for place, ctx, _, lcp in equal_runs(buffer, begin, end, key[rows], least):
+                where, owner = lo[rows[ctx]] + place - begin[ctx], doc[rows[ctx]]
+                order = np.lexsort((where, owner))
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                lengths = later_lengths(lcp, rank.tolist())
+                later = order[np.fromiter(lengths, dtype=np.int64, count=len(lengths))]
+                out.append((owner[later], where[later], where[later] + np.fromiter(lengths.values(), dtype=np.int64, count=len(lengths))))
 
         for k, i in enumerate(order.tolist()):
             if size > _SORT_BYTES and key[i] != key[order[k - 1]]:
