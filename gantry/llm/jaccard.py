@@ -83,20 +83,28 @@ def commonness(docs: DataFrame, words: int, text: str, total: int, sample: int =
     return table
 
 
+def bitmap(hashes: np.ndarray, per: int = 1) -> bytes:
+    """A bitmap of about `per` bits for each shingle, a power of two wide."""
+    width = max(256, 1 << (per * len(hashes) - 1).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(hashes & _U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def lanes(hashes: np.ndarray) -> bytes:
     """How many hashes fall into each of LANES classes, at most 255 each."""
     return np.minimum(np.bincount((hashes & _U(LANES - 1)).astype(np.int64), minlength=LANES), 255).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, words: int, percent: int, common, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs) and count signature."""
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, counts binary"
+    """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs), count signature and bitmap."""
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, counts binary, bits binary"
 
     def run(batches):
         seen: set[int] = set()
         often = common.value
         for batch in batches:
-            nodes, sizes, prefixes, counts = [], [], [], []
+            nodes, sizes, prefixes, counts, bits = [], [], [], [], []
             for hashes in shingle_sets(column_bytes(batch, "text"), words):
                 n = len(hashes)
                 node = node_of(hashes)
@@ -105,15 +113,17 @@ def signatures(docs: DataFrame, words: int, percent: int, common, doc_id: str, t
                 if not n or node in seen:
                     prefixes.append(None)
                     counts.append(None)
+                    bits.append(None)
                     continue
                 seen.add(node)
                 take = n - -(-percent * n // 100) + 1
                 order = hashes[np.argsort(often[(hashes >> _U(40)).astype(np.int64)], kind="stable")]
                 prefixes.append(order[: max(take, 2)].view(np.int64))
                 counts.append(lanes(hashes))
+                bits.append(bitmap(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
-                names=["doc_id", "node", "n", "prefix", "counts"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(bits, pa.binary())],
+                names=["doc_id", "node", "n", "prefix", "counts", "bits"],
             )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -242,18 +252,37 @@ def may_link(bx: int, by: int, nx: int, ny: int, percent: int) -> bool:
     return 100 * most >= percent * (nx + ny - most)
 
 
+def _fold(bits: int, width: int, to: int) -> int:
+    while width > to:
+        width >>= 1
+        bits = (bits & ((1 << width) - 1)) | (bits >> width)
+    return bits
+
+
 def passing(rows: DataFrame, percent: int) -> DataFrame:
-    """Members of tiles that have a possible partner; those of cells in one tile were looked at before."""
+    """Members of tiles (with bits) that have a partner whom the bit counts don't rule out."""
+    names, kinds = _MEMBER[:-1], _MEMBER_KINDS[:-1]
 
     def run(batches):
-        columns = _table(batches, *_MEMBER)
-        order = np.lexsort((columns[4], columns[5], columns[2], columns[1], columns[0]))
-        key, i, j, side, node, n, label, counts = (x[order] for x in columns)
-        stay = [a + np.flatnonzero(partners(n[a:b], label[a:b], side[a:b] if i[a] != j[a] else None, _matrix(counts[a:b]), percent)) for a, b in _groups([key, i, j])]
-        at = np.concatenate(stay) if stay else np.zeros(0, dtype=np.int64)
-        yield _members(x[at] for x in (key, i, j, side, node, n, label, counts))
+        key, i, j, side, node, n, label, bits = _table(batches, *names, "bits")
+        order = np.lexsort((node, n, j, i, key))
+        key, i, j, side, node, n, label, bits = (x[order] for x in (key, i, j, side, node, n, label, bits))
+        stay = np.zeros(len(key), dtype=bool)
+        for a, b in _groups([key, i, j]):
+            size, sides, labels = n[a:b].tolist(), side[a:b].tolist(), label[a:b].tolist()
+            maps, widths = [int.from_bytes(x, "little") for x in bits[a:b]], [8 * len(x) for x in bits[a:b]]
+            ok = [False] * (b - a)
+            for x, y in _pairs(size, sides, percent, i[a] != j[a]):
+                if labels[x] == labels[y] or (ok[x] and ok[y]):
+                    continue
+                w = min(widths[x], widths[y])
+                if may_link(_fold(maps[x], widths[x], w), _fold(maps[y], widths[y], w), size[x], size[y], percent):
+                    ok[x] = ok[y] = True
+            stay[a:b] = ok
+        at = np.flatnonzero(stay)
+        yield pa.RecordBatch.from_arrays([pa.array(c[at], type=k) for c, k in zip((key, i, j, side, node, n, label), kinds, strict=True)], names=list(names))
 
-    return rows.repartition(_width(rows), "key", "i", "j").mapInArrow(run, _MEMBER_SCHEMA)
+    return rows.repartition(_width(rows), "key", "i", "j").mapInArrow(run, _MEMBER_SCHEMA.removesuffix(", counts binary"))
 
 
 def verified(rows: DataFrame, percent: int) -> DataFrame:
@@ -327,14 +356,15 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     sets = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "sets")
     nodes = sig.where(F.col("prefix").isNotNull())
 
+    bits = nodes.select("node", "bits").dropDuplicates(["node"])
     first = nodes.select(F.explode(F.slice("prefix", 1, 2)).alias("key"), "node", "n", F.col("node").alias("label"), "counts")
-    found = materialise(_verify(docs, _cells(first, percent), sets, percent, words, doc_id, text), "links")
+    found = materialise(_verify(docs, _cells(first, bits, percent), sets, percent, words, doc_id, text), "links")
     roots = components(found)
 
     labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", "counts", F.coalesce("root", "node").alias("label"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rest = labelled.select(F.explode(F.slice(F.col("prefix"), F.lit(1), take.cast("int"))).alias("key"), "node", "n", "label", "counts")
-    more = materialise(_verify(docs, _cells(rest, percent), sets, percent, words, doc_id, text), "links")
+    more = materialise(_verify(docs, _cells(rest, bits, percent), sets, percent, words, doc_id, text), "links")
     roots = components(found.unionByName(more))
 
     lowest = sets.join(roots, "node").groupBy("root").agg(F.min("id").alias("lowest"))
@@ -344,8 +374,9 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _cells(members: DataFrame, percent: int) -> DataFrame:
-    return materialise(passing(tiles(members, percent), percent).drop("counts"), "cells")
+def _cells(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    found = tiles(members, percent).drop("counts")
+    return materialise(passing(found.join(bits, "node"), percent), "cells")
 
 
 def _verify(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, words: int, doc_id: str, text: str) -> DataFrame:
