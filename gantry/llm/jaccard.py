@@ -6,7 +6,7 @@ nodes of such a shingle form a cell, cut by size into tiles, as sets of too diff
 out; for the rest, bit counts of wide hashed bitmaps bound it again, and what passes is held against the sorted arrays
 of hashes themselves.
 
-Round 1 uses each node's first two shingles only; it finds most links cheaply, and a pair that is already connected
+Round 1 uses each node's two least hashes only; it finds most links cheaply, and a pair that is already connected
 is not looked at again. Round 2 goes over all prefix cells for links between different components of round 1, so
 that no link is lost. Links come out as forests of each tile, never as all pairs of a group.
 
@@ -31,6 +31,8 @@ from gantry.llm.graph import components
 _U = np.uint64
 #: Most members of a tile's side.
 TILE = 512
+#: Keys in a node's head, and keys of round 1.
+HEAD, FIRST = 12, 2
 #: Classes of the small count signature that goes with every member of a cell.
 LANES = 32
 #: Node ids that may be broadcast; beyond, the same filter is a shuffled join.
@@ -97,14 +99,14 @@ def lanes(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int, percent: int, common, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, n; and, for the first row of a node in its partition, its prefix (longs), count signature and bitmap."""
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, counts binary, bits binary"
+    """doc_id, node, n; and, for the first row of a node in its partition, its prefix and least hashes (longs), count signature and bitmap."""
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, node long, n long, prefix array<long>, mins array<long>, counts binary, bits binary"
 
     def run(batches):
         seen: set[int] = set()
         often = common.value
         for batch in batches:
-            nodes, sizes, prefixes, counts, bits = [], [], [], [], []
+            nodes, sizes, prefixes, mins, counts, bits = [], [], [], [], [], []
             for hashes in shingle_sets(column_bytes(batch, "text"), words):
                 n = len(hashes)
                 node = node_of(hashes)
@@ -112,18 +114,23 @@ def signatures(docs: DataFrame, words: int, percent: int, common, doc_id: str, t
                 sizes.append(n)
                 if not n or node in seen:
                     prefixes.append(None)
+                    mins.append(None)
                     counts.append(None)
                     bits.append(None)
                     continue
                 seen.add(node)
                 take = n - -(-percent * n // 100) + 1
-                order = hashes[np.argsort(often[(hashes >> _U(40)).astype(np.int64)], kind="stable")]
-                prefixes.append(order[: max(take, 2)].view(np.int64))
+                common_as = often[(hashes >> _U(40)).astype(np.int64)]
+                order = hashes[np.argsort(common_as, kind="stable")]
+                prefixes.append(order[:take].view(np.int64))
+                # the least hashes that aren't everywhere: likely shared by sets that are alike
+                usual = hashes[common_as < 255]
+                mins.append((usual if len(usual) else order)[:FIRST].view(np.int64))
                 counts.append(lanes(hashes))
                 bits.append(bitmap(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(bits, pa.binary())],
-                names=["doc_id", "node", "n", "prefix", "counts", "bits"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(bits, pa.binary())],
+                names=["doc_id", "node", "n", "prefix", "mins", "counts", "bits"],
             )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -260,20 +267,25 @@ def _fold(bits: int, width: int, to: int) -> int:
 
 
 def passing(rows: DataFrame, percent: int) -> DataFrame:
-    """Members of tiles (with bits) that have a partner whom the bit counts don't rule out."""
+    """Members of tiles (with bits and head) that have a partner whom the bit counts don't rule out.
+
+    A pair that meets in many cells counts in one: where the heads, the least of both nodes' keys, have any in common,
+    in the cell of the least such.
+    """
     names, kinds = _MEMBER[:-1], _MEMBER_KINDS[:-1]
 
     def run(batches):
-        key, i, j, side, node, n, label, bits = _table(batches, *names, "bits")
+        key, i, j, side, node, n, label, bits, head = _table(batches, *names, "bits", "head")
         order = np.lexsort((node, n, j, i, key))
-        key, i, j, side, node, n, label, bits = (x[order] for x in (key, i, j, side, node, n, label, bits))
+        key, i, j, side, node, n, label, bits, head = (x[order] for x in (key, i, j, side, node, n, label, bits, head))
         stay = np.zeros(len(key), dtype=bool)
         for a, b in _groups([key, i, j]):
             size, sides, labels = n[a:b].tolist(), side[a:b].tolist(), label[a:b].tolist()
             maps, widths = [int.from_bytes(x, "little") for x in bits[a:b]], [8 * len(x) for x in bits[a:b]]
+            heads, own = [x.tolist() for x in head[a:b]], int(key[a])
             ok = [False] * (b - a)
             for x, y in _pairs(size, sides, percent, i[a] != j[a]):
-                if labels[x] == labels[y] or (ok[x] and ok[y]):
+                if labels[x] == labels[y] or (ok[x] and ok[y]) or next((h for h in heads[x] if h in heads[y]), own) != own:
                     continue
                 w = min(widths[x], widths[y])
                 if may_link(_fold(maps[x], widths[x], w), _fold(maps[y], widths[y], w), size[x], size[y], percent):
@@ -356,15 +368,13 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     sets = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "sets")
     nodes = sig.where(F.col("prefix").isNotNull())
 
-    bits = nodes.select("node", "bits").dropDuplicates(["node"])
-    first = nodes.select(F.explode(F.slice("prefix", 1, 2)).alias("key"), "node", "n", F.col("node").alias("label"), "counts")
-    found = materialise(_verify(docs, _cells(first, bits, percent), sets, percent, words, doc_id, text), "links")
+    first = nodes.select(F.explode("mins").alias("key"), "node", "n", F.col("node").alias("label"), "counts")
+    found = materialise(_verify(docs, _cells(first, _maps(nodes, "mins"), percent), sets, percent, words, doc_id, text), "links")
     roots = components(found)
 
     labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", "counts", F.coalesce("root", "node").alias("label"))
-    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rest = labelled.select(F.explode(F.slice(F.col("prefix"), F.lit(1), take.cast("int"))).alias("key"), "node", "n", "label", "counts")
-    more = materialise(_verify(docs, _cells(rest, bits, percent), sets, percent, words, doc_id, text), "links")
+    rest = labelled.select(F.explode("prefix").alias("key"), "node", "n", "label", "counts")
+    more = materialise(_verify(docs, _cells(rest, _maps(nodes, "prefix"), percent), sets, percent, words, doc_id, text), "links")
     roots = components(found.unionByName(more))
 
     lowest = sets.join(roots, "node").groupBy("root").agg(F.min("id").alias("lowest"))
@@ -374,6 +384,10 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _maps(nodes: DataFrame, keys: str) -> DataFrame:
+    return nodes.select("node", "bits", F.slice(F.array_sort(keys), 1, HEAD).alias("head")).dropDuplicates(["node"])
+
+
 def _cells(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     found = tiles(members, percent).drop("counts")
     return materialise(passing(found.join(bits, "node"), percent), "cells")
