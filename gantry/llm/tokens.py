@@ -18,7 +18,7 @@ import numpy as np
 #: Punctuation that may end a word; the tokenizer makes one piece of such a run. Fixed values.
 TAIL = ".,!?;:#$%&*|\"-/"
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
-_MOST_WORDS, _MOST_CORES = 400_000, 1_200_000
+_MOST_WORDS, _MOST_CORES = 200_000, 400_000
 _NONE = np.int32(1 << 30)
 
 
