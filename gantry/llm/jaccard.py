@@ -162,11 +162,12 @@ _MEMBER_SCHEMA = "key long, i int, j int, side int, node long, n long, label lon
 
 
 def _members(columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, _MEMBER_KINDS, strict=True)], names=list(_MEMBER))
+    *plain, counts = columns
+    return pa.RecordBatch.from_arrays([*(pa.array(c, type=k) for c, k in zip(plain, _MEMBER_KINDS[:-1], strict=True)), _binary(counts)], names=list(_MEMBER))
 
 
-def partners(n: np.ndarray, label: np.ndarray, side: np.ndarray | None, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Which members (sizes ascending) have a partner of another label, and side, that the bound does not rule out.
+def partners(n: np.ndarray, label: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which members (sizes ascending) have a partner of another label that the bound does not rule out.
 
     An overlap is at most half of both sizes less what the counts of the classes differ by.
     """
@@ -180,16 +181,21 @@ def partners(n: np.ndarray, label: np.ndarray, side: np.ndarray | None, counts:
         both = n[lo:y] + n[y]
         most = (both - apart) // 2
         hit = (100 * most >= percent * (both - most)) & (label[lo:y] != label[y])
-        if side is not None:
-            hit &= side[lo:y] != side[y]
         if hit.any():
             ok[y] = True
             ok[lo:y] |= hit
     return ok
 
 
-def _matrix(counts: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), dtype=np.uint8).reshape(-1, LANES).astype(np.int16)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Count signatures as rows, without an object for each."""
+    parts = [np.frombuffer(c.buffers()[2], dtype=np.uint8)[c.offset * LANES : (c.offset + len(c)) * LANES] for c in column.chunks if len(c)]
+    return np.concatenate(parts).reshape(-1, LANES) if parts else np.zeros((0, LANES), dtype=np.uint8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * LANES
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +206,13 @@ def tiles(members: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        key, node, n, label, counts = _table(batches, "key", "node", "n", "label", "counts")
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        t = pa.Table.from_batches(found)
+        key, node, n, label = (t.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+        counts = _matrix(t.column("counts"))
+        del found, t
         order = np.lexsort((node, n, key))
         key, node, n, label, counts = key[order], node[order], n[order], label[order], counts[order]
         fresh = np.ones(len(key), dtype=bool)
@@ -216,7 +228,7 @@ def tiles(members: DataFrame, percent: int) -> DataFrame:
                 continue
             if b - a <= TILE:
                 if (label[a:b] != label[a]).any():
-                    stay.append(a + np.flatnonzero(partners(n[a:b], label[a:b], None, _matrix(counts[a:b]), percent)))
+                    stay.append(a + np.flatnonzero(partners(n[a:b], label[a:b], counts[a:b].astype(np.int16), percent)))
                 continue
             starts = range(a, b, TILE)
             for i, s in enumerate(starts):
