@@ -308,7 +308,7 @@ def routed(rows: DataFrame, routes: Sequence[str], x: str, y: str, least: int, s
 
 
 def determinant_design(features: np.ndarray, k: int, most: int = 200_000) -> tuple[int, ...]:
-    """k rows with the largest log det(I + X'X): all combinations up to `most`, else greedy exchange."""
+    """k rows with the largest log det(I + X'X): all combinations up to `most`, else branch and bound from a greedy exchange, as exact."""
     n, d = features.shape
     score = lambda rows: np.linalg.slogdet(np.eye(d) + features[list(rows)].T @ features[list(rows)])[1]
     count = 1
@@ -316,10 +316,32 @@ def determinant_design(features: np.ndarray, k: int, most: int = 200_000) -> tup
         count = count * (n - i) // (i + 1)
     if count <= most:
         return max(itertools.combinations(range(n), k), key=lambda rows: (round(score(rows), 12), tuple(-r for r in rows)))
+    key = lambda rows: (round(score(rows), 12), tuple(-r for r in rows))
     chosen: list[int] = []
     for _ in range(k):
         chosen.append(max((i for i in range(n) if i not in chosen), key=lambda i: (score([*chosen, i]), -i)))
-    return tuple(sorted(chosen))
+    best = tuple(sorted(chosen))
+    while (better := max((tuple(sorted({*best} - {i} | {j})) for i in best for j in range(n) if j not in best), key=key, default=best)) and key(better) > key(best):
+        best = better
+    # a row gains less the more rows are chosen, so the largest gains of those left bound what a prefix can reach
+    order = np.argsort(-(features**2).sum(axis=1), kind="stable")
+    x = features[order]
+    stack: list[tuple[int, ...]] = [()]
+    while stack:
+        prefix = stack.pop()
+        first, room = (prefix[-1] + 1 if prefix else 0), k - len(prefix)
+        matrix = np.eye(d) + x[list(prefix)].T @ x[list(prefix)]
+        gains = np.log1p(np.einsum("ij,jk,ik->i", x[first:], np.linalg.inv(matrix), x[first:]))
+        least = score(best) - np.linalg.slogdet(matrix)[1] - 1e-9
+        if room == 1:
+            for i in np.flatnonzero(gains >= least):
+                best = max(best, tuple(sorted(int(order[r]) for r in (*prefix, first + i))), key=key)
+            continue
+        for i in range(len(gains) - room, -1, -1):  # the stack gives the first back first
+            rest = gains[i + 1 :]
+            if gains[i] + np.partition(rest, len(rest) - room + 1)[len(rest) - room + 1 :].sum() >= least:
+                stack.append((*prefix, first + i))
+    return best
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 500, memory: int = 8) -> np.ndarray:

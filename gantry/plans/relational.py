@@ -136,6 +136,14 @@ def dominance_join(t):
     return R.dominated_by(t.part.select("p_partkey", *cols), anchors, cols[:2], cols[2:]).select("p_partkey", "anchor")
 
 
+@query()
+def dominance_join_all(t):
+    """`dominance_join` with every part as an anchor; its SQL is held to a share of them."""
+    cols = ["p_brand", "p_type", "p_size", "p_retailprice"]
+    anchors = t.part.select(F.col("p_partkey").alias("anchor"), *cols)
+    return R.dominated_by(t.part.select("p_partkey", *cols), anchors, cols[:2], cols[2:]).select("p_partkey", "anchor")
+
+
 @query("""WITH p AS (SELECT p_brand, p_size AS cards, avg(p_retailprice) AS v FROM part GROUP BY ALL) SELECT a.p_brand, a.cards, round(b.v / a.v, 9) AS ratio FROM p a JOIN p b ON a.p_brand = b.p_brand AND b.cards = 2 * a.cards""")
 def doubling_self_join(t):
     points = t.part.groupBy("p_brand", F.col("p_size").alias("cards")).agg(F.avg("p_retailprice").alias("v"))

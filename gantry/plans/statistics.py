@@ -216,7 +216,7 @@ def stage_curve(t):
 
 @query()
 def optimal_design(t):
-    d = _candidates(t).head(40)
+    d = _candidates(t)
     chosen = M.determinant_design(np.column_stack([d["x"] / 50, d["c"] / 8, (d["x"] / 50) ** 2]), 4)
     return t.spark.createDataFrame([(int(i), d["p_brand"][i]) for i in chosen], "row int, p_brand string")
 
