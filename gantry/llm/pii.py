@@ -18,24 +18,29 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import materialise
 
-#: Kind: pattern (Java). Fixed values, tried in this order.
+#: Fixed values.
 _TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mademoiselle|Señor|Señora|Señorita|Signor|Signora|Господин|Госпожа"
+#: A label of a host; labels that no top-level domain can begin; a capitalised word, after initials if there are any.
+_LABEL = "[A-Za-z0-9-]++"
+_ODD = rf"(?:\.(?![A-Za-z]{{2}}){_LABEL})*+"
+_WORD = r"(?:\p{Lu}\.?+ )*+\p{Lu}[\p{L}'-]++"
+#: Kind: pattern (Java), tried in this order. Runs have no upper bound and are possessive: no entity is cut, no text is tried twice.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,256})",
-    "apikey": r"\b(?:AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:{_ODD}\.(?=[A-Za-z]{{2}}){_LABEL}(?={_ODD}\.[A-Za-z]{{2}}))*+{_ODD}\.[A-Za-z]{{2,}}+",
+    "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]*+\s{0,3}[=:][ \t]*+\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}+)",
+    "apikey": r"\b(?:AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "phone": r"(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w])",
-    "name": rf"\b(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?",
+    "name": rf"\b(?:{_TITLES})\.? {_WORD}(?: {_WORD})*+",
 }
 #: A cheap test that most texts fail.
 _MAYBE = rf"[0-9@]|(?i:password|token|secret|key)|\b(?:{_TITLES})\b"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HEADS = {
-    "secret": r"^(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)",
+    "secret": r"^(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]*+\s{0,3}[=:][ \t]*+\s{0,3}[\"']?)",
     "name": rf"^(?:{_TITLES})\.? ",
     "apikey": r"^(?:AKIA|gh[opsu]_|sk-)",
     "phone": r"^(?:\+\d{1,3})?",
@@ -144,9 +149,10 @@ def surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: in
     top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     email = F.concat(F.substring(plain, F.lit(1), F.length(value) - F.length(top)), top)
     iban = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
-    hexadecimal = F.when(value.rlike("^[0-9a-f]+$"), F.substring(noise, F.lit(1), F.length(value))).when(value.rlike("^[0-9A-F]+$"), F.upper(F.substring(noise, F.lit(1), F.length(value))))
+    drawn = F.substring(F.repeat(noise, F.ceil(F.length(value) / 256).cast("int")), F.lit(1), F.length(value))
+    hexadecimal = F.when(value.rlike("^[0-9a-f]+$"), drawn).when(value.rlike("^[0-9A-F]+$"), F.upper(drawn))
     return (
-        F.when((kind == "secret") & hexadecimal.isNotNull() & (F.length(value) <= 256), hexadecimal).when(kind == "ip", octets).when(kind == "email", email).when(kind == "card", _card(value, noise))
+        F.when((kind == "secret") & hexadecimal.isNotNull(), hexadecimal).when(kind == "ip", octets).when(kind == "email", email).when(kind == "card", _card(value, noise))
         .when(kind == "iban", iban).when(kind == "name", _name(value, gender, noise, attempt)).otherwise(plain)
     )
 
