@@ -132,13 +132,17 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
-def _firsts(key, content, doc, lo) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key, content and place; and which rows, in that order, are the first of their key and content."""
+def _firsts(key, content, doc, lo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, content and place; and which rows, in that order, are the first of their key and content, and which stand later.
+
+    Repeated rows of a document give entries of one place: what stands where the first does is neither.
+    """
     order = np.lexsort((lo, doc, content, key))
     k, c = key[order], content[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    return order, first
+    of = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
+    return order, first, (doc[order] != doc[of]) | (lo[order] != lo[of])
 
 
 def _merged(doc, lo, hi) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +174,8 @@ def local_segments(docs: DataFrame, least: int, frequent) -> DataFrame:
 
         def flush():
             key, content, doc, lo, n, inner = (np.concatenate(c) for c in zip(*held, strict=True))
-            order, first = _firsts(key, content, doc, lo)
-            gone = order[~first]
+            order, first, later = _firsts(key, content, doc, lo)
+            gone = order[later]
             kept = order[first]
             yield _batch([key[kept], np.where(inner[kept], INNER, SETTLE), doc[kept], lo[kept], n[kept], content[kept]])
             d, a, b = _merged(doc[gone], lo[gone], lo[gone] + n[gone] - 1 + least)
@@ -212,9 +216,9 @@ def settled(rows: DataFrame, least: int) -> DataFrame:
         key, kind, doc, lo, n, content = (t.column(c).to_numpy() for c in _NAMES)
         spans = kind == SPAN
         s = ~spans
-        order, first = _firsts(key[s], content[s], doc[s], lo[s])
+        order, first, later = _firsts(key[s], content[s], doc[s], lo[s])
         sk, sd, sl, sn, sx = (x[s][order] for x in (key, doc, lo, n, kind))
-        d, a, b = _merged(np.concatenate([doc[spans], sd[~first]]), np.concatenate([lo[spans], sl[~first]]), np.concatenate([lo[spans] + n[spans], (sl + sn - 1 + least)[~first]]))
+        d, a, b = _merged(np.concatenate([doc[spans], sd[later]]), np.concatenate([lo[spans], sl[later]]), np.concatenate([lo[spans] + n[spans], (sl + sn - 1 + least)[later]]))
         yield _batch([_doc_key(d), np.full(len(d), SPAN, dtype=np.int32), d, a, b - a, np.zeros(len(d), dtype=np.int64)])
         k = sk[first]
         if len(k):
@@ -363,6 +367,8 @@ def context_spans(rows: DataFrame, least: int) -> DataFrame:
         t = pa.Table.from_batches(found).combine_chunks()
         key, doc, lo = (t.column(c).to_numpy() for c in ("key", "doc_id", "lo"))
         order = np.lexsort((lo, doc, key))  # contexts of a key in the order of their places
+        again = (np.diff(key[order]) == 0) & (np.diff(doc[order]) == 0) & (np.diff(lo[order]) == 0)
+        order = order[np.concatenate([[True], ~again])]  # repeated rows give a context once
         texts = t.column("context")
         size = 0
         take: list[int] = []

@@ -6,7 +6,7 @@ import random
 import re
 import string
 
-from gantry.llm import pii
+from gantry.llm import pii, repeats
 
 
 def test_long_entities_go_whole(spark):
@@ -36,3 +36,22 @@ def test_long_entities_go_whole(spark):
     many = " ".join(["x." * 4_000 + "y", "a@" + "b." * 4_000 + "org", "Mr. " + "Ab " * 4_000, "token=" + "q1" * 4_000])  # no recursion by length
     out = pii.replace(spark.createDataFrame([(1, many)], "doc_id int, text string")).first()
     assert out["n_replaced"] == 3 and "b." * 50 not in out["text"] and "Ab" not in out["text"] and "q1" * 50 not in out["text"]
+
+
+def test_repeated_rows_are_one_document(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice(string.ascii_lowercase + " ") for _ in range(n))
+    lone, shared = text(400), text(300)
+    texts = [lone, shared + text(150), text(120) + shared + text(90), text(90) + shared[40:240] + text(200), text(60) + shared, "ab" * 300, shared + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def removed(rows):
+        return sorted((x["doc_id"], x["n_removed"], x["kept_sha256"]) for x in repeats.remove_repeats(rows, keep_text=False).collect())
+
+    once = removed(docs)
+    assert once[0][1] == 0 and sum(x[1] for x in once) > 1000
+    assert removed(docs.unionByName(docs).repartition(3)) == sorted(once * 2)
+    assert removed(docs.unionByName(docs).coalesce(1)) == sorted(once * 2)
+    found = repeats.frequent_anchors
+    monkeypatch.setattr(repeats, "frequent_anchors", lambda rows, least, at_least: found(rows, least, 2, 0.0))
+    assert removed(docs.unionByName(docs).repartition(3)) == sorted(once * 2)
