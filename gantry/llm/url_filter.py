@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used. Links between hosts are summed to weighted edges. Trust is a personalised PageRank
 along the links from hosts that the rules allow; distrust is one against the links from hosts that the rules block.
-A host whose distrust reaches `threshold` of both together, and a floor, is blocked; other hosts are allowed.
+A host whose distrust reaches `threshold` of both together, and a floor as a share of what one seed starts with, is blocked; other hosts are allowed.
 
 Cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed; null or empty html has
 no links; repeated rows each get a row; without links the seeds' own scores decide; an empty table gives an empty result.
@@ -100,13 +100,15 @@ def judge(pages: DataFrame, *, url: str = "url", html: str = "html", rules: Sequ
     edges = materialise(host_edges(pages, url, html), "edges")
     if edges.isEmpty():
         trust, distrust = (x.select("host", F.col("seed").alias("score")) for x in (trusted, blocked))
+        least = floor
     else:
+        least = floor / max(blocked.count(), 1)  # scores sum to 1 over all seeds
         trust = propagate(edges, trusted)
         distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked)
     scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full_outer")
     good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     # only what the method blocks is joined back; both sides are tables, so that a hot host's join can be split
-    bad_hosts = materialise(scores.where((bad > floor) & (bad >= F.lit(threshold) * (good + bad))).select(F.col("host").alias("_bad")), "bad-hosts")
+    bad_hosts = materialise(scores.where((bad > least) & (bad >= F.lit(threshold) * (good + bad))).select(F.col("host").alias("_bad")), "bad-hosts")
     joined = ruled.drop(html).join(bad_hosts, F.col("host") == F.col("_bad"), "left")
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("_bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return joined.select("*", F.col("_fit.rule").alias("rule"), verdict.alias("verdict")).drop("_fit", "_bad")

@@ -6,7 +6,7 @@ import random
 import re
 import string
 
-from gantry.llm import pii, repeats
+from gantry.llm import pii, repeats, url_filter
 
 
 def test_long_entities_go_whole(spark):
@@ -55,3 +55,18 @@ def test_repeated_rows_are_one_document(spark, monkeypatch):
     found = repeats.frequent_anchors
     monkeypatch.setattr(repeats, "frequent_anchors", lambda rows, least, at_least: found(rows, least, 2, 0.0))
     assert removed(docs.unionByName(docs).repartition(3)) == sorted(once * 2)
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_crawl(spark):
+    link = '<a href="{}">t</a>'
+
+    def verdicts(copies):
+        rows = []
+        for i in range(copies):
+            rows += [(f"http://bad{i}.net/es/1", ""), (f"http://bad{i}.net/en/1", ""), (f"http://bad{i}.net/es/2", ""), (f"http://friend{i}.org/1", link.format(f"http://bad{i}.net/es/2")), (f"http://lone{i}.org/1", "")]
+        out = url_filter.judge(spark.createDataFrame(rows, "url string, html string"), floor=0.05).collect()
+        assert len(out) == 5 * copies
+        return {(re.sub(r"\d+(?=\.)", "", x["url"]), x["verdict"]) for x in out}
+
+    assert verdicts(1) == verdicts(30)
+    assert ("http://friend.org/1", "block") in verdicts(1)
