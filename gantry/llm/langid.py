@@ -119,11 +119,11 @@ def _slot(code: np.ndarray) -> np.ndarray:
     return (code.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - _SLOT_BITS)
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_docs: int = 3000, max_grams: int = 400_000) -> ContextTrees:
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_docs: int = 3000) -> ContextTrees:
     """Context trees from a bounded sample of labelled rows that aren't held out.
 
     About `train_docs` rows a language are learned from, picked by a hash of the id; the sample is the documented bound of
-    this fit. At most about `max_grams` strings are kept, the rarest go first.
+    this fit. All its strings are kept, whatever their language and count.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
@@ -153,10 +153,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     found = grams.toArrow()
     where = np.searchsorted(languages, found.column("lang").to_numpy(zero_copy_only=False).astype(str)) if found.num_rows else np.zeros(0, dtype=np.int64)
     gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
-    least = 1
-    while (keep := n >= least).sum() > max_grams:
-        least += 1
-    return ContextTrees.freeze(languages, where[keep], gram[keep], n[keep])
+    return ContextTrees.freeze(languages, where, gram, n)
 
 
 def _scorer(trees, text: str):
@@ -183,7 +180,7 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 
 def predict(docs: DataFrame, trees: ContextTrees, *, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score`, the share of the best language in 2 to the minus code length."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most max_grams strings by languages
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # the strings of a bounded sample by languages
     return add_columns(docs, FIELDS, _scorer(shared, text))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 import re
 import string
+import zlib
 
-from gantry.llm import pii, repeats, url_filter
+from gantry.llm import langid, pii, repeats, url_filter
 
 
 def test_long_entities_go_whole(spark):
@@ -70,3 +71,17 @@ def test_verdicts_do_not_depend_on_the_size_of_the_crawl(spark):
 
     assert verdicts(1) == verdicts(30)
     assert ("http://friend.org/1", "block") in verdicts(1)
+
+
+def test_small_languages_keep_their_strings(spark):
+    r = random.Random(7)
+    run = lambda n, signs: "".join(r.choices(signs, k=n))
+    rows = [(i, run(50_000, string.ascii_lowercase), "big") for i in range(60)] + [(i, run(200, "abcdefgh" + string.digits), "few") for i in range(100, 112)]
+    trees = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    few = trees.languages.index("few")
+    padded = [langid.PAD + t.encode() for i, t, x in rows if x == "few" and zlib.crc32(str(i).encode()) % 4 != 2]
+    own = {int.from_bytes(t[k : k + 4], "big") for t in padded for k in range(len(t) - 3)}
+    assert len(trees.grams[3]) > 400_000 and own <= set(trees.grams[3].tolist())
+    alone = langid.learn(spark.createDataFrame(rows[60:], "doc_id long, text string, lang string"))
+    at = {int(g): float(b) for g, b in zip(trees.grams[3], trees.bits[3][:, few], strict=True)}
+    assert all(at[int(g)] == float(b) for g, b in zip(alone.grams[3], alone.bits[3][:, 0], strict=True))  # codes as if learned alone
