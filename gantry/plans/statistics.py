@@ -96,6 +96,14 @@ def multiplier_scan(t):
     return out.select(F.round("m", 6).alias("m"), "false_admits", F.round("coverage", 9).alias("coverage"))
 
 
+@query()
+def multiplier_scan_301(t):
+    """`multiplier_scan` over the reference's 301 candidates; its SQL is held to 31."""
+    failed = (F.col("p_size") > 48) & (F.col("p_partkey") % 7 == 0)
+    out = M.multiplier_scan(t.part, F.col("p_retailprice"), failed, F.col("p_retailprice") * (F.col("p_partkey") % 10 / 50.0 + 1), 1100, [1 + k / 100 for k in range(301)])
+    return out.select(F.round("m", 6).alias("m"), "false_admits", F.round("coverage", 9).alias("coverage"))
+
+
 @query("""WITH d AS (SELECT 1.0 / count(*) OVER (PARTITION BY p_brand) AS w, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM d), b AS (SELECT *, (sxy - sx * sy / sw) / (sxx - sx * sx / sw + 2) AS s FROM m)
 SELECT round(s, 8) AS slope, round((sy - s * sx) / sw, 6) AS intercept, round(sy / sw, 6) AS constant FROM b""")
 def group_equal_fit(t):

@@ -40,3 +40,8 @@ def test_design_weighs_all_candidates(spark, sf):
     score = lambda rows: np.linalg.slogdet(np.eye(3) + x[rows].T @ x[rows])[1]
     chosen = [r["row"] for r in QUERIES["optimal_design"](spark, sf).collect()]
     assert len(d) > 40 and score(chosen) > score(list(M.determinant_design(x[:40], 4))) + 1e-9
+
+
+def test_scan_goes_beyond_31_candidates(spark, tmp_path):
+    spark.createDataFrame([(7, 49, 500.0), (1, 1, 1000.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert tuple(QUERIES["multiplier_scan_301"](spark, str(tmp_path)).first()) == (2.21, 0, 1.0)
