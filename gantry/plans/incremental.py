@@ -13,6 +13,13 @@ def attempt_fencing(t):
     return I.fenced(t.events, "user_id", "ts", F.col("event_type") == "signup").select("event_id", "user_id", "ts")
 
 
+@query("""WITH f AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id) AS s FROM events) SELECT user_id, count(*) AS kept, max(event_id) AS current_step FROM f WHERE s IS NULL OR ts >= s GROUP BY user_id""")
+def reset_samples(t):
+    """Samples of earlier attempts are deleted and the current step is recomputed from what stays."""
+    rows = I.fenced(t.events, "user_id", "ts", F.col("event_type") == "signup")
+    return rows.groupBy("user_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("current_step"))
+
+
 @query("""WITH RECURSIVE o AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'planned' AS state FROM events UNION ALL SELECT w.user_id, o.i, CASE WHEN o.s IS NOT NULL AND (w.state NOT IN ('success', 'failed', 'oom') OR o.s = 'running') THEN o.s ELSE w.state END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
 SELECT user_id, arg_max(state, i) AS state, max(i) AS events FROM w GROUP BY user_id""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import posixpath
 import struct
 from collections.abc import Mapping, Sequence
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gantry.functions import strings
+from gantry.sources import files
 from gantry.sources import schemas as X
 
 
@@ -45,7 +48,7 @@ def rank_events(spark: SparkSession, path) -> DataFrame:
 
 def telemetry(spark: SparkSession, path) -> DataFrame:
     """Telemetry files of either format; values that are missing or no numbers are null."""
-    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)  # files of one format
     rows = rows.toDF(*(c.strip() for c in rows.columns))
     text = {c: (F.col(c) if c in rows.columns else F.lit(None).cast("string")) for c in X.TELEMETRY}
     flags = X.TELEMETRY[8:]
@@ -116,12 +119,14 @@ def business_records(spark: SparkSession, path) -> DataFrame:
     return rows.select(F.coalesce(good, F.lit(False)).alias("valid"), F.when(good, F.element_at(parsed, 1)).alias("record")).select("valid", *(F.col("record")[k].alias(k) for k in ("system", "prompt", "response")))
 
 
-def log_tail(spark: SparkSession, path: str, most: int = 65_536) -> DataFrame:
-    """The last bytes of a log, from the first whole line on."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"), "length")
-    text = F.decode(F.substring(F.col("content"), F.greatest(F.lit(1), F.col("length").cast("int") - most + 1), F.lit(most)), "UTF-8")
-    cut = F.when(F.col("length") > most, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise(text)
-    return whole.select("path", cut.alias("tail"))
+def log_tail(spark: SparkSession, path: str, root: str, most: int = 65_536) -> DataFrame:
+    """The last bytes of a log under `root`, from the first whole line on; only these are read. A path that leads out of the root is an error."""
+    inside = posixpath.normpath(path)
+    if not inside.startswith(posixpath.normpath(root) + "/"):
+        raise ValueError(f"{path} is not under {root}")
+    size = files.length(spark, inside) or 0
+    text = files.read_range(spark, inside, max(0, size - most), most).decode("utf-8", "replace") if size else ""
+    return spark.createDataFrame([(inside, text[text.find("\n") + 1 :] if size > most else text)], "path string, tail string")
 
 
 def length_profiles(spark: SparkSession, path) -> DataFrame:
@@ -147,52 +152,60 @@ def listing_rows(spark: SparkSession, path: str, pattern: str, names: Sequence[s
     return rows.select(*(F.regexp_extract("value", pattern, i + 1).alias(n) for i, n in enumerate(names)))
 
 
-def tensor_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Parameters by tensor from the headers of tensor files: path, tensor, kind, parameters."""
-    schema = "path string, tensor string, kind string, parameters long"
+def tensor_counts(spark: SparkSession, path: str, components: Mapping[str, str] | None = None) -> DataFrame:
+    """Parameters by tensor from the headers of tensor files, which alone are read: path, tensor, kind, parameters, component.
+
+    `components` maps a component to a pattern for the names of its tensors; the first that fits counts, else `rest`.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             out = []
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                size = struct.unpack("<Q", content[:8])[0]
-                for name, info in json.loads(content[8 : 8 + size]).items():
-                    if name != "__metadata__":
-                        count = 1
-                        for d in info["shape"]:
-                            count *= d
-                        out.append((p, name, info["dtype"], count))
+            for p in pdf["path"]:
+                with files.open_uri(p) as f:
+                    header = json.loads(f.read(struct.unpack("<Q", f.read(8))[0]))
+                out += [(p, name, info["dtype"], math.prod(info["shape"])) for name, info in header.items() if name != "__metadata__"]
             yield pd.DataFrame(out, columns=["path", "tensor", "kind", "parameters"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    rows = files.listed(spark, path).select("path").mapInPandas(run, "path string, tensor string, kind string, parameters long")
+    component = F.coalesce(*(F.when(F.col("tensor").rlike(pattern), F.lit(name)) for name, pattern in (components or {}).items()), F.lit("rest"))
+    return rows.withColumn("component", component)
+
+
+def picture_size(f) -> tuple[int | None, int | None]:
+    """Width and height from the header of an open PNG or JPEG file; markers are skipped by seeking."""
+    head = f.read(26)
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    at = 2
+    while head[:2] == b"\xff\xd8":
+        f.seek(at)
+        part = f.read(9)
+        if len(part) < 9 or part[0] != 0xFF:
+            break
+        if 0xC0 <= part[1] <= 0xCF and part[1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", part[5:9])
+            return w, h
+        at += 2 + struct.unpack(">H", part[2:4])[0]
+    return None, None
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Width and height of PNG and JPEG files by their headers; null where there is none."""
 
-    def size(data: bytes) -> tuple[int | None, int | None]:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            return struct.unpack(">II", data[16:24])
-        at = 2
-        while data[:2] == b"\xff\xd8" and at + 9 < len(data):
-            if data[at] != 0xFF:
-                break
-            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return w, h
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-        return None, None
-
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            found = [size(bytes(c)) for c in pdf["content"]]
+            found = []
+            for p in pdf["path"]:
+                with files.open_uri(p) as f:
+                    found.append(picture_size(f))
             yield pd.DataFrame({"path": pdf["path"], "width": pd.array([w for w, _ in found], dtype="Int32"), "height": pd.array([h for _, h in found], dtype="Int32")})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int")
+    return files.listed(spark, path).select("path").mapInPandas(run, "path string, width int, height int")
 
 
 def verified_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:

@@ -26,9 +26,19 @@ def write_report(value, path: str) -> None:
     os.replace(temporary, path)
 
 
+def _in_order(column, kind: T.DataType):
+    """A column with the keys of its structs in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(_in_order(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _in_order(x, kind.elementType))
+    return column
+
+
 def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines with keys in order."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+    """JSON lines without spaces, keys in order at every depth, nulls kept."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    df.select(*(_in_order(F.col(c), kinds[c]).alias(c) for c in sorted(df.columns))).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def encoded(df: DataFrame) -> DataFrame:

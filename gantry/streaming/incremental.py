@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+import time as clocks
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gantry.operators.relational import last_wins
+from gantry.sources import files
 
 
 def tail(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 64, newest_first: bool = False) -> DataFrame:
@@ -17,6 +20,63 @@ def tail(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("latestFirst", newest_first).json(path)
 
 
+def new_lines(spark: SparkSession, paths: Sequence[str], cursors: Mapping[str, tuple[int, str]], most: int = 8 << 20) -> tuple[DataFrame, dict[str, tuple[int, str]]]:
+    """Whole lines (path, offset, line) that files got since their cursors, and the new cursors; blank lines are left out.
+
+    A cursor is a byte offset and a digest of the file's first bytes. A file that is shorter than its offset or begins
+    otherwise was cut or rotated and is read from its beginning. A last line without its end waits. At most about
+    `most` bytes a file are read at a time, all of them new; more wait for the next call.
+    """
+    rows, moved = [], dict(cursors)
+    for path in paths:
+        size = files.length(spark, path)
+        if size is None:
+            continue
+        offset, digest = cursors.get(path, (0, ""))
+        head = int(digest.split(":")[0]) if digest else 0
+        same = size >= offset and (not digest or digest == _digest(files.read_range(spark, path, 0, head)))
+        offset = offset if same else 0
+        chunk = files.read_range(spark, path, offset, most)
+        while chunk and b"\n" not in chunk and offset + len(chunk) < size:  # one line may be longer
+            chunk += files.read_range(spark, path, offset + len(chunk), most)
+        whole = chunk[: chunk.rfind(b"\n") + 1]
+        at = offset
+        for raw in whole.splitlines(keepends=True):
+            if raw.strip():
+                rows.append((path, at, raw.decode("utf-8", "replace").strip()))
+            at += len(raw)
+        moved[path] = (at, _digest(files.read_range(spark, path, 0, min(at, 256))))
+    return spark.createDataFrame(rows, "path string, offset long, line string"), moved
+
+
+def _digest(head: bytes) -> str:
+    return f"{len(head)}:{hashlib.sha256(head).hexdigest()}"
+
+
+def poll(scan: Callable[[], int], rounds: int, wait: float, sleep: Callable[[float], None] = clocks.sleep) -> list[tuple[int, str | None]]:
+    """Scan again and again: what each round found, and its error; an error is kept and the next round goes on."""
+    out: list[tuple[int, str | None]] = []
+    for k in range(rounds):
+        try:
+            out.append((scan(), None))
+        except Exception as e:  # noqa: BLE001  a broken file must not end the loop
+            out.append((0, f"{type(e).__name__}: {e}"))
+        if k < rounds - 1:
+            sleep(wait)
+    return out
+
+
+def changes(revision: Callable[[], int], rounds: int, wait: float, beat: float = 15.0, clock: Callable[[], float] = clocks.monotonic, sleep: Callable[[float], None] = clocks.sleep) -> Iterator[tuple[str, int]]:
+    """("revision", n) whenever the revision has changed, ("heartbeat", n) where nothing was said for `beat` seconds."""
+    last, said = None, clock()
+    for _ in range(rounds):
+        now = revision()
+        if now != last or clock() - said >= beat:
+            yield ("revision" if now != last else "heartbeat"), now
+            last, said = now, clock()
+        sleep(wait)
+
+
 def keyed(events: DataFrame, *parts: Column) -> DataFrame:
     """`event_key`: the same for the same event, however often it is read."""
     return events.withColumn("event_key", F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256))
@@ -41,15 +101,19 @@ def fenced(events: DataFrame, job: str, time: str, begins: Column) -> DataFrame:
 
 
 def latest_states(events: DataFrame, job: str, status: str, time: str, order: str, terminal: Sequence[str] = ("success", "failed", "oom")) -> DataFrame:
-    """State of each job after its events in order: planned, running, then terminal; nothing follows a terminal but a new start."""
-    path = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"), F.col(status).alias("s"))))
-    final = F.array(*map(F.lit, terminal))
-
-    def move(state: Column, e: Column) -> Column:
-        allowed = ~F.array_contains(final, state) | (e["s"] == "running")
-        return F.when(allowed & e["s"].isNotNull(), e["s"]).otherwise(state)
+    """State of each job after its events in order: planned, running, then terminal; nothing follows a terminal but a new start.
 
-    return events.groupBy(job).agg(F.aggregate(path, F.lit("planned"), move).alias("state"), F.count("*").alias("events"))
+    That is the first terminal state since the last start, else the last state since it: three aggregates and no list of events.
+    """
+    at, s = F.struct(F.col(time).alias("t"), F.col(order).alias("o")), F.col(status)
+    known = events.where(s.isNotNull()).select(F.col(job).alias("_job"), at.alias("_at"), s.alias("_s"))
+    start = known.groupBy("_job").agg(F.max(F.when(F.col("_s") == "running", F.col("_at"))).alias("_start"))
+    since = known.join(start, "_job").where(F.col("_start").isNull() | (F.col("_at") >= F.col("_start")))
+    ends = F.col("_s").isin(list(terminal))
+    last = since.groupBy("_job").agg(F.min_by("_s", F.when(ends, F.col("_at"))).alias("_end"), F.max_by("_s", "_at").alias("_last"), F.max(ends.cast("int")).alias("_ended"))
+    counts = events.groupBy(job).agg(F.count("*").alias("events"))
+    out = counts.join(last, F.col(job) == F.col("_job"), "left")
+    return out.select(job, F.when(F.col("_ended") == 1, F.col("_end")).otherwise(F.coalesce("_last", F.lit("planned"))).alias("state"), "events")
 
 
 def fold_attempts(events: DataFrame, job: str = "job_id", time: str = "time_unix", event: str = "event", tokens: str = "tokens") -> DataFrame:
@@ -98,6 +162,12 @@ def live(rows: DataFrame, time: str, status: str, now: Column, most: float = 10.
     return rows.withColumn("age", now - F.col(time)).withColumn("live", (F.col("age") <= most) & (F.col(status) == "running"))
 
 
+def merged_health(rows: DataFrame, campaign: str, state: str, time: str) -> DataFrame:
+    """One row over all campaigns: how many there are, how many fail, the worst state and the latest time."""
+    worst = F.max_by(state, F.array_position(F.array(*map(F.lit, ("ok", "stale", "error"))), F.col(state)))
+    return rows.agg(F.count_distinct(campaign).alias("campaigns"), F.count_if(F.col(state) == "error").alias("failing"), worst.alias("state"), F.max(time).alias("latest"))
+
+
 def fan_in(streams: dict[str, DataFrame]) -> DataFrame:
     """Several campaigns as one stream, each row with its campaign."""
     out = None
