@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +41,44 @@ def valid_conversation(messages: Column) -> Column:
     return (F.size(rest) > 0) & (F.size(rest) % 2 == 0) & good
 
 
-def turn_profile(messages: Column) -> dict[str, Column]:
+def pieces(text: Column) -> Column:
+    """Number of a text's pieces as tokenizers cut it first: letter runs, single digits, sign runs. The default measure of tokens."""
+    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), F.lit(0))), F.lit(0))
+
+
+def turn_profile(messages: Column, tokens: Callable[[Column], Column] = pieces) -> dict[str, Column]:
+    """Turns and tokens of a conversation, and those of the assistant, which are the labels; `tokens` measures a text."""
     mine = F.filter(messages, lambda m: m["role"] == "assistant")
-    return {
-        "turns": F.size(messages), "assistant_turns": F.size(mine), "chars": F.aggregate(messages, F.lit(0), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0))),
-        "label_chars": F.aggregate(mine, F.lit(0), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0))),
-    }
+    total = lambda ms: F.aggregate(F.transform(ms, lambda m: tokens(F.coalesce(m["content"], F.lit("")))), F.lit(0), lambda a, n: a + n)
+    return {"turns": F.size(messages), "assistant_turns": F.size(mine), "tokens": total(messages), "label_tokens": total(mine)}
+
+
+def capped(messages: Column, cap: int, least: int = 64) -> Column:
+    """Messages cut to about `cap` tokens (pieces) in all: contents of more than `least` characters are cut to their beginnings, those of users and systems before answers, longer ones first; null if that can't be enough.
+
+    Each message gives up what is still too much, down to `least` characters.
+    """
+    size = lambda m: pieces(F.coalesce(m["content"], F.lit("")))
+    prefix = lambda m: pieces(F.substring(F.coalesce(m["content"], F.lit("")), 1, least))
+    sized = F.transform(messages, lambda m, i: F.struct(i.alias("i"), m["role"].alias("role"), m["content"].alias("content"), size(m).alias("n"), F.when(F.length(m["content"]) > least, prefix(m)).otherwise(size(m)).alias("low")))
+    place = lambda m: F.struct((~m["role"].isin("user", "system")).alias("a"), (-F.length(F.coalesce(m["content"], F.lit("")))).alias("b"), m["i"].alias("i"), m["n"].alias("n"), m["low"].alias("low"))
+    order = F.array_sort(F.transform(sized, place))
+    total = F.aggregate(F.transform(sized, lambda m: m["n"]), F.lit(0), lambda a, n: a + n)
+    start = F.struct((total - cap).alias("over"), F.array().cast("array<struct<i:int,n:int>>").alias("keep"))
 
+    def give(acc: Column, m: Column) -> Column:
+        cut = F.greatest(F.lit(0), F.least(acc["over"], m["n"] - m["low"]))
+        return F.struct((acc["over"] - cut).alias("over"), F.concat(acc["keep"], F.array(F.struct(m["i"].alias("i"), (m["n"] - cut).alias("n")))).alias("keep"))
 
-def crop(messages: Column, most: int) -> Column:
-    """Leading messages within a total of characters, cut back to a whole pair."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+    cuts = F.aggregate(order, start, give)
+    by = F.map_from_entries(cuts["keep"])
 
-    def take(acc: Column, m: Column) -> Column:
-        size = acc["used"] + F.coalesce(F.length(m["content"]), F.lit(0))
-        full = acc["full"] | (size > most)
-        return F.struct(F.when(full, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(full, acc["used"]).otherwise(size).alias("used"), full.alias("full"))
+    def shortened(m: Column) -> Column:
+        n = F.element_at(by, m["i"])
+        found = F.regexp_extract_all(m["content"], F.lit(r"\s*(?:\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"), F.lit(0))
+        return F.struct(m["role"].alias("role"), F.when(n >= m["n"], m["content"]).otherwise(F.array_join(F.slice(found, 1, n), "")).alias("content"))
 
-    n = F.aggregate(messages, start, take)["n"]
-    lead = F.when(F.element_at(messages, 1)["role"] == "system", 1).otherwise(0)
-    return F.slice(messages, F.lit(1), F.greatest(lead, n - (n - lead) % 2))
+    return F.when(cuts["over"] <= 0, F.transform(sized, shortened))
 
 
 def media_profile(rows: DataFrame, keys: Sequence[str], images: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -73,16 +75,54 @@ def state_floor(parameters: Column, trainable: Column, cards: Column, stage: Col
     return F.when(stage >= 3, whole(weights, cards) + whole(optimizer, cards)).when(stage >= 1, weights + whole(optimizer, cards)).otherwise(weights + optimizer)
 
 
-def memory_parts(parameters, trainable, cards, stage, micro, cutoff, hidden, layers, vocab, checkpointing) -> dict[str, Column]:
-    """Components of a card's memory: weights, gradients, optimizer, saved activations, one layer's work, logits, gather buffer."""
-    shard = lambda x, from_stage: F.when(stage >= from_stage, F.floor(x / cards)).otherwise(x).cast("double")
-    tokens = (micro * cutoff).cast("double")
-    per_layer = tokens * hidden * 2
+#: Bytes of a weight, a gradient, the optimizer's state of a weight, a communicated gradient and a logit: fixed values.
+WEIGHT, GRADIENT, OPTIMIZER, EXCHANGED, LOGIT = 2.0, 2.0, 12.0, 2.0, 4.0
+#: Elements of the buckets for reductions, gathers and prefetches, and of weights kept live and for reuse: fixed values.
+REDUCE_BUCKET, GATHER_BUCKET, PREFETCH_BUCKET, MAX_LIVE, MAX_REUSE = 5e8, 5e8, 5e7, 1e9, 1e9
+#: How much of the structural activations may be live at once, least and most.
+LIVENESS = (0.25, 4.0)
+
+
+def _sharded(x: Column, stage: Column, from_stage: int, cards: Column) -> Column:
+    return F.when(stage >= from_stage, x / cards).otherwise(x)
+
+
+def _layer_width(g: Mapping[str, Column]) -> Column:
+    """Activations of a token in a layer."""
+    return g["hidden"] * 6 + g["kv"] * 2 + g["inner"] * 3
+
+
+def memory_components(g: Mapping[str, Column], *, cards: Column, micro: Column, cutoff: Column, stage: Column, checkpointing: Column) -> dict[str, Column]:
+    """The nine components of a card's memory in bytes.
+
+    `g` is the model's geometry: loaded and trainable parameters, hidden, inner, kv, layers, heads, vocab, and the
+    elements of its largest module (`module`) and of its persistent tensors (`persistent`).
+    """
+    g = {k: lit(v).cast("double") for k, v in g.items()}
+    cards, tokens = lit(cards).cast("double"), (lit(micro) * lit(cutoff)).cast("double")
+    reduce = F.least(g["trainable"], F.lit(REDUCE_BUCKET)) * GRADIENT
+    gather = F.least(g["trainable"], F.lit(GATHER_BUCKET)) * WEIGHT
+    kept = F.least(g["loaded"], F.lit(MAX_LIVE + MAX_REUSE))
+    live = F.least(g["loaded"], kept + g["module"] + g["persistent"])
+    width = _layer_width(g)
     return {
-        "weights": shard(parameters * 2, 3), "gradients": shard(trainable * 2, 2), "optimizer": shard(trainable * 12, 1),
-        "saved": per_layer * layers * F.when(checkpointing, 1).otherwise(16), "work": per_layer * 16, "logits": tokens * vocab * 4,
-        "gather": F.when(stage >= 3, (parameters / layers * 2).cast("double")).otherwise(0.0),
-    }
+        "parameters": _sharded(g["loaded"] * WEIGHT, stage, 3, cards),
+        "gradients": _sharded(g["trainable"] * GRADIENT, stage, 2, cards),
+        "optimizer": _sharded(g["trainable"] * OPTIMIZER, stage, 1, cards),
+        "saved": tokens * g["layers"] * F.when(checkpointing, g["hidden"]).otherwise(width) * WEIGHT,
+        "recompute": F.when(checkpointing, tokens * width * WEIGHT).otherwise(0.0),
+        "attention": tokens * (g["hidden"] * 2 + g["kv"] * 2) * WEIGHT + tokens * g["heads"] * 4,
+        "logits": tokens * g["vocab"] * LOGIT,
+        "collective": F.when(stage == 2, F.greatest(reduce, gather)).when(stage >= 1, reduce).otherwise(0.0),
+        "live": F.when((stage >= 3) & (cards > 1), live * WEIGHT * (1 - 1 / cards)).otherwise(0.0),
+    }
+
+
+def memory_reference(c: Mapping[str, Column]) -> dict[str, Column]:
+    """Sum of the components, their share that is no activation, and the lower bound under the least liveness."""
+    activation = c["saved"] + c["recompute"] + c["attention"]
+    rest = c["parameters"] + c["gradients"] + c["optimizer"] + c["logits"] + c["collective"] + c["live"]
+    return {"reference": rest + activation, "non_activation": rest, "lower_bound": rest + activation * LIVENESS[0]}
 
 
 def phase_peak(persistent: Column, common: Column, language: Column, vision: Column) -> Column:
@@ -90,10 +130,45 @@ def phase_peak(persistent: Column, common: Column, language: Column, vision: Col
     return persistent + common + F.greatest(language, vision)
 
 
-def performance_parts(operations: Column, parameters: Column, tokens: Column, hidden: Column, cards: Column, stage: Column, steps: Column) -> dict[str, Column]:
-    """Work of a step: operations, memory traffic and bytes that cards exchange."""
-    exchanged = parameters.cast("double") * 2 * (cards - 1) / cards * F.when(stage >= 3, 3).when(stage >= 1, 2).otherwise(2)
-    return {"operations": operations * steps, "traffic": (parameters * 6.0 + tokens * hidden * 34.0) * steps, "exchanged": exchanged * F.when(stage >= 3, steps).otherwise(1)}
+def performance_basis(g: Mapping[str, Column], *, mode: Column, tokens: Column, pairs: Column, cards: Column, stage: Column, checkpointing: Column, accumulation: Column, peak: float, memory_bandwidth: float, link_bandwidth: float) -> dict[str, Column]:
+    """Work, traffic and exchange of a step and the seconds they take at best.
+
+    `g` is the geometry with `linear` (applications of a weight in a pass), `adapter` parameters, loaded and trainable
+    parameters, hidden, inner, kv and layers. `tokens` and `pairs` are computed tokens and attention pairs of a step.
+    """
+    g = {k: lit(v).cast("double") for k, v in g.items()}
+    tokens, pairs, cards, steps = (lit(x).cast("double") for x in (tokens, pairs, cards, accumulation))
+    full = mode == "full"
+    square = g["layers"] * g["hidden"] * pairs
+    operations = {
+        "linear": F.when(full, g["linear"] * 6 * tokens).otherwise((g["linear"] * 4 + g["adapter"] * 6) * tokens),
+        "attention": square * 6,
+        "recompute_linear": F.when(checkpointing, (g["linear"] + F.when(full, 0.0).otherwise(g["adapter"])) * 2 * tokens).otherwise(0.0),
+        "recompute_attention": F.when(checkpointing, square * 2).otherwise(0.0),
+    }
+    total = functools.reduce(operator.add, operations.values())
+    local = tokens / cards
+    activations, attention = local * g["layers"] * _layer_width(g) * WEIGHT * 4, local * (g["hidden"] + g["kv"]) * 2 * WEIGHT * 4
+    weights = steps * (g["linear"] + g["adapter"]) * WEIGHT * 2
+    kernel = weights + (activations + attention) * F.when(checkpointing, 3.0).otherwise(1.0)
+    optimizer = g["trainable"] / cards * (WEIGHT + GRADIENT + OPTIMIZER) * 2
+    ring, passes = (cards - 1) / cards, F.when(checkpointing, 3.0).otherwise(2.0)
+    reduced, updated = g["trainable"] * EXCHANGED, g["trainable"] * WEIGHT
+    several = cards > 1
+    payload = (
+        F.when(~several | (stage < 1), 0.0).when(stage == 1, ring * (reduced * 2 + updated)).when(stage == 2, ring * (steps * reduced * 2 + updated))
+        .otherwise(ring * steps * (passes * g["loaded"] * WEIGHT + reduced))
+    )
+    reductions, gathers = F.ceil(g["trainable"] / REDUCE_BUCKET), F.ceil(g["trainable"] / GATHER_BUCKET)
+    collectives = (
+        F.when(~several | (stage < 1), 0.0).when(stage == 1, reductions + gathers).when(stage == 2, steps * reductions + gathers)
+        .otherwise(steps * (passes * F.ceil(g["loaded"] / PREFETCH_BUCKET) + reductions))
+    )
+    return operations | {
+        "operations": total, "weights": weights, "activations": activations, "attention_traffic": attention, "kernel": kernel, "optimizer": optimizer,
+        "payload": payload, "collectives": collectives.cast("long"), "compute_seconds": total / (cards * peak), "kernel_seconds": kernel / memory_bandwidth,
+        "optimizer_seconds": optimizer / memory_bandwidth, "payload_seconds": payload / link_bandwidth,
+    }
 
 
 def softplus(x: Column) -> Column:
@@ -176,9 +251,28 @@ def layer_work(kinds: Column, hidden: Column, inner: Column, kernel: int = 4) ->
     return {"full": full, "linear": linear, "mlp_work": (full + linear) * hidden * inner * 3, "linear_work": linear * hidden * (hidden * 4 + kernel), "unknown": F.size(kinds) - full - linear}
 
 
-def vision_parameters(depth: Column, hidden: Column, inner: Column, patch: int = 14, channels: int = 3, out: int = 3584) -> Column:
-    """Parameters of a plain vision tower: patch embedding, blocks, and a projection of merged patches."""
-    return patch * patch * channels * hidden + depth * (hidden * hidden * 4 + hidden * inner * 2 + hidden * 9 + inner) + hidden * 4 * hidden * 4 + hidden * 4 * out
+def vision_tower(*, depth, hidden, inner, out, patch=14, merge=2, temporal=2, channels=3, positions=0, taps=0, gated=False) -> dict[str, Column]:
+    """Parameters of a vision tower by part.
+
+    Gated blocks have three projections in the feed-forward part and norms without bias; others have two, norms with
+    bias, learned positions and one more merger for each tap.
+    """
+    depth, hidden, inner, out, patch, merge, temporal, channels, positions, taps = (lit(x).cast("long") for x in (depth, hidden, inner, out, patch, merge, temporal, channels, positions, taps))
+    gated = lit(gated)
+    wide = hidden * merge * merge
+    merger = F.when(gated, hidden).otherwise(wide * 2) + wide * wide + wide + wide * out + out
+    forward = F.when(gated, hidden * inner * 3 + inner * 2 + hidden).otherwise(hidden * inner * 2 + inner + hidden)
+    parts = {
+        "patch_embed": channels * hidden * temporal * patch * patch,
+        "blocks": depth * (hidden * hidden * 4 + hidden * 4 + forward + F.when(gated, hidden * 2).otherwise(hidden * 4)),
+        "merger": merger, "positions": hidden * positions, "tap_mergers": taps * merger,
+    }
+    return parts | {"total": functools.reduce(operator.add, parts.values())}
+
+
+def picture_tokens(height: Column, width: Column, patch: int = 14, merge: int = 2) -> Column:
+    """Visual tokens of a picture, parts of patches and of merged patches left off."""
+    return F.floor(F.floor(height / patch) * F.floor(width / patch) / (merge * merge)).cast("long")
 
 
 def gather_workspace(loaded: Column, largest: Column, cards: Column, stage: Column) -> Column:

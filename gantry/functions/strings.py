@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of a missing value, fixed values.
-MISSING = ("", "n/a", "[n/a]", "na", "none", "null", "nan", "not supported", "[not supported]", "unknown error")
+#: Spellings of a missing value, of flags and of units, fixed values.
+MISSING = ("", "n/a", "[n/a]", "[not supported]", "not supported")
+ACTIVE, INACTIVE = ("active", "true", "yes", "1"), ("not active", "false", "no", "0")
 UNITS = {"kib": 1024, "mib": 1024**2, "gib": 1024**3}
+_NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
 
 
 def memory_amount(message: Column, prefix: str) -> Column:
@@ -35,19 +39,46 @@ def telemetry_time(text: Column, fallback: Column) -> Column:
 
 
 def maybe_number(text: Column) -> Column:
+    """A number that is the whole text, exponents included; null for any other text."""
     t = F.lower(F.trim(text))
-    return F.when(~t.isin(*MISSING), F.regexp_extract(t, r"^-?[0-9]+(?:\.[0-9]+)?", 0).try_cast("double"))
+    return F.when(~t.isin(*MISSING) & t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def maybe_flag(text: Column) -> Column:
     """1, 0 or unknown."""
     t = F.lower(F.trim(text))
-    return F.when(t.isin("active", "1", "true", "yes"), 1).when(t.isin("not active", "0", "false", "no"), 0)
+    return F.when(t.isin(*ACTIVE), 1).when(t.isin(*INACTIVE), 0)
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """prefix- and the first 16 hex digits of a hash of the parts as JSON in order of their names."""
-    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 16))
+def canonical_json(**parts: Column) -> Column:
+    """An object as JSON with its keys in order, without spaces, nulls kept; parts are text, whole numbers, flags, or structs of such."""
+    return F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
+
+
+def stable_id(prefix: str, length: int = 16, **parts: Column) -> Column:
+    """prefix- and the first hex digits of a hash of the parts as canonical JSON: the same whatever the order they are given in."""
+    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(canonical_json(**parts), 256), 1, length))
+
+
+def job_phase(job_id: Column, kind: Column, given: Column | None = None, probes_boundary: Column | None = None, has_pair: Column | None = None) -> Column:
+    """Phase of a job: the given one, that of what it carries, else the first rule of kind or of its id's beginning that fits."""
+    job_id, kind = F.coalesce(job_id, F.lit("")), F.coalesce(kind, F.lit(""))
+    begins = lambda *heads: functools.reduce(operator.or_, [job_id.startswith(h) for h in heads])
+    no = F.lit(False)
+    # fixed values: kinds and beginnings of ids
+    rules = [
+        (F.coalesce(probes_boundary, no) if probes_boundary is not None else no, "memory"),
+        (F.coalesce(has_pair, no) if has_pair is not None else no, "packing"),
+        (begins("preflight-"), "preflight"),
+        ((kind == "thermal_validation") | begins("h800val-") | (kind == "smoke") | begins("smoke-"), "validation"),
+        (kind.isin("memory_boundary", "memory_probe") | begins("mem-"), "memory"),
+        ((kind == "packing_memory_probe") | begins("packmem-", "packon-", "packoff-"), "packing"),
+        ((kind == "profiler") | begins("prof-"), "profiler"),
+        (begins("scale-"), "scaling"),
+        (begins("tput-", "tputscreen-", "tputd-") | kind.isin("throughput", "throughput_screen"), "throughput"),
+    ]
+    found = first_rule(rules, "other")
+    return found if given is None else F.when(F.length(given) > 0, given).otherwise(found)
 
 
 def index_list(text: Column) -> Column:
@@ -65,4 +96,5 @@ def percent(x: Column) -> Column:
 
 
 def length_category(p50: Column, p90: Column, p99: Column) -> Column:
-    return F.when(p99 <= 1024, "short").when((p50 <= 1024) & (p90 <= 4096), "mixed").when(p50 > 8192, "long").otherwise("medium")
+    """short up to 512 tokens at the 90th percentile, longtail from a 99th of 1.75 medians, longcontext from a median of 8192, else multiturn."""
+    return F.when(p90 <= 512, "short").when(p99 / F.greatest(p50, F.lit(1.0)) >= 1.75, "longtail").when(p50 >= 8192, "longcontext").otherwise("multiturn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,30 +71,59 @@ def failures(rows: DataFrame, job: str, allocated: str, reserved: str, requested
     )
 
 
-def telemetry(rows: DataFrame, job: Sequence[str], busy: Column, clock: str, power: str, thermal: str, limited: str, reference: float, least_ratio: float = 0.95) -> DataFrame:
-    """Accelerator telemetry: busy-time percentiles, mean power, limiter fractions and what held the clock back."""
-    x = F.when(busy, F.col(clock))
+#: Limiter flags of a telemetry sample, and the columns of its measures: fixed values.
+LIMITERS = ("sw_thermal", "hw_thermal", "sw_power")
+MEASURES = ("memory", "utilization", "power", "clock", "temperature", "fan")
+
+
+def telemetry(rows: DataFrame, job: Sequence[str], *, healthy_clock: float | None = None, spec_clock: float | None = None, power_limit: float | None = None, busy_from: float = 90.0, at_limit: float = 0.98) -> DataFrame:
+    """Accelerator telemetry of a job (columns of MEASURES, LIMITERS as 1, 0 or null, `gpu_index` and `ts`): means, busy-time percentiles and fractions, and what held the clock back.
+
+    An observed limiter decides; without one a clock that is low while power is at its limit, then a low clock alone;
+    a clock's ceiling by specification is never a reference.
+    """
+    busy = F.coalesce(F.col("utilization"), F.lit(0.0)) >= busy_from
+    on = {m: F.when(busy, F.col(m)) for m in MEASURES}
+    flag = {f: F.when(busy, F.col(f)) for f in LIMITERS}
+    share = lambda test, of: F.avg(F.when(of.isNotNull(), test.cast("int"))) if test is not None else F.lit(None).cast("double")
     out = rows.groupBy(*job).agg(
-        F.count("*").alias("samples"), F.count_if(busy).alias("busy_samples"), F.count(x).alias("busy_clocks"),
-        S.percentile(x, 0.05).alias("clock_p05"), S.percentile(x, 0.5).alias("clock_p50"), S.percentile(x, 0.95).alias("clock_p95"),
-        F.avg(F.when(busy, F.col(power))).alias("busy_power"), F.max(power).alias("max_power"),
-        F.sum(thermal).alias("thermal_active"), F.count(thermal).alias("thermal_known"), F.sum(limited).alias("power_active"), F.count(limited).alias("power_known"),
+        F.max("memory").alias("peak_memory"), F.avg("utilization").alias("mean_utilization"), F.avg("power").alias("mean_power"), F.avg("clock").alias("mean_clock"),
+        F.count("*").alias("samples"), F.count_if(busy).alias("busy_samples"), F.count(on["clock"]).alias("busy_clocks"),
+        *(S.percentile(on["clock"], q / 100).alias(f"busy_clock_p{q}") for q in (5, 50, 95)), *(S.percentile(on["power"], q / 100).alias(f"busy_power_p{q}") for q in (50, 95)),
+        S.percentile(on["temperature"], 0.95).alias("busy_temperature_p95"), F.max("temperature").alias("peak_temperature"), F.max("fan").alias("peak_fan"),
+        share(on["clock"] < healthy_clock * 0.95 if healthy_clock else None, on["clock"]).alias("below_95"), share(on["clock"] < healthy_clock * 0.9 if healthy_clock else None, on["clock"]).alias("below_90"),
+        share(on["power"] >= power_limit * at_limit if power_limit else None, on["power"]).alias("at_power_limit"),
+        *(F.avg(c).alias(f"{f}_fraction") for f, c in flag.items()), *((F.count(c) > 0).alias(f"{f}_known") for f, c in flag.items()),
     )
-    ratio = F.col("clock_p50") / F.lit(reference)
-    return out.withColumn("clock_ratio", ratio).withColumn(
-        "classification",
-        F.when(F.col("thermal_active") > 0, "thermal_limited").when(F.col("power_active") > 0, "power_limited")
-        .when((F.col("busy_clocks") >= 3) & (ratio < least_ratio), "downclocked")
-        .when((F.col("thermal_known") > 0) & (F.col("power_known") > 0) & (F.col("busy_clocks") >= 3), "normal").otherwise("insufficient_data"),
+    known = [F.col(f"{f}_known") for f in LIMITERS]
+    seen = lambda *names: functools.reduce(operator.or_, [F.coalesce(F.col(f"{f}_fraction"), F.lit(0.0)) > 0 for f in names])
+    ratio = (lambda clock: F.col("busy_clock_p50") / F.lit(clock) if clock else F.lit(None).cast("double"))
+    enough = (F.col("busy_clocks") >= 3) & F.lit(healthy_clock is not None)
+    inferred = F.coalesce((F.col("at_power_limit") >= 0.2) & (F.col("below_95") >= 0.2), F.lit(False))
+    low = F.coalesce(F.col("clock_ratio") < 0.95, F.lit(False)) | F.coalesce(F.col("below_90") >= 0.1, F.lit(False))
+    of = lambda status, source: F.struct(F.lit(status).alias("s"), F.lit(source).alias("f"))
+    status = (
+        F.when(seen("sw_thermal", "hw_thermal"), of("thermal_limited", "observed_throttle_reason")).when(seen("sw_power"), of("power_limited", "observed_throttle_reason"))
+        .when(enough & inferred, of("power_limited", "inferred_power_cap")).when(enough & low, of("downclocked", "clock_only")).when(F.col("limiters_complete"), of("normal", "no_observed_queried_limiter"))
+        .when(F.col("limiters_known"), of("insufficient_data", "partial_throttle_reason_support")).otherwise(of("insufficient_data", "missing_throttle_reason"))
     )
+    out = out.withColumns({"clock_ratio": ratio(healthy_clock), "spec_clock_ratio": ratio(spec_clock), "limiters_known": functools.reduce(operator.or_, known), "limiters_complete": functools.reduce(operator.and_, known)})
+    out = out.withColumns({"healthy_clock": F.lit(healthy_clock).cast("double"), "spec_clock": F.lit(spec_clock).cast("double"), "power_limit": F.lit(power_limit).cast("double"), "busy_from": F.lit(busy_from), "_status": status})
+    out = out.select("*", F.col("_status.s").alias("clock_status"), F.col("_status.f").alias("clock_status_source")).drop("_status")
+    return out.withColumn("downclocked", F.col("clock_status").isin("power_limited", "thermal_limited", "downclocked"))
 
 
 def energy(rows: DataFrame, gpu: Sequence[str], time: Column, power: str, max_gap: float = 10.0) -> DataFrame:
-    """Watt hours by the trapezoid rule, steps clamped to 0 and `max_gap` seconds, left out where either power is null."""
+    """Watt hours by the trapezoid rule, steps clamped to 0 and `max_gap` seconds, left out where either power is null.
+
+    `time` is in seconds. Power counts in hundredths of a watt and time in microseconds, as whole numbers, so that the sum is exact in any order.
+    """
     w = Window.partitionBy(*gpu).orderBy("_t")
-    dt = F.least(F.lit(max_gap), F.greatest(F.lit(0.0), F.col("_t") - F.lag("_t").over(w)))
-    piece = (F.col(power) + F.lag(power).over(w)) * 0.5 * dt / 3600.0
-    return rows.withColumn("_t", time).withColumn("_wh", piece).groupBy(*gpu).agg(S.zero(F.sum("_wh")).alias("energy_wh"))
+    gap = F.least(F.lit(int(max_gap * 1_000_000)).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("_t") - F.lag("_t").over(w)))
+    piece = (F.col("_p") + F.lag("_p").over(w)) * gap
+    whole = rows.withColumns({"_t": F.round(time * 1_000_000).cast("long"), "_p": F.round(F.col(power) * 100).cast("long")})
+    sums = whole.withColumn("_wh", piece).groupBy(*gpu).agg(S.zero(F.sum("_wh")).alias("_wh"))
+    return sums.select(*gpu, (F.col("_wh") / F.lit(2.0 * 100 * 1_000_000 * 3600)).alias("energy_wh"))
 
 
 def marginals(rows: DataFrame, sets: Sequence[Sequence[str]], **aggregates: Column) -> DataFrame:

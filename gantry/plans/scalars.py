@@ -49,28 +49,60 @@ def state_floor(t):
     return t.part.select("p_partkey", N.state_floor(F.col("p_partkey") * 1000003 + 7, F.col("p_partkey") * 10007 + 3, cards, F.col("p_partkey") % 4).alias("floor_bytes"))
 
 
-@query("""WITH x AS (SELECT p_partkey, p_partkey * 1000000 + 1000000 AS pr, p_partkey * 1000 + 1000 AS tr, CAST(pow(2, p_size % 3) AS BIGINT) AS g, p_partkey % 4 AS z, 1 + p_size % 8 AS m, p_size % 2 = 0 AS gc FROM part),
-c AS (SELECT p_partkey, CAST(CASE WHEN z >= 3 THEN floor(pr * 2 / g) ELSE pr * 2 END AS DOUBLE) AS weights, CAST(CASE WHEN z >= 2 THEN floor(tr * 2 / g) ELSE tr * 2 END AS DOUBLE) AS gradients, CAST(CASE WHEN z >= 1 THEN floor(tr * 12 / g) ELSE tr * 12 END AS DOUBLE) AS optimizer,
-CAST(m * 2048 AS DOUBLE) * 1024 * 2 * 24 * CASE WHEN gc THEN 1 ELSE 16 END AS saved, CAST(m * 2048 AS DOUBLE) * 1024 * 2 * 16 AS work, CAST(m * 2048 AS DOUBLE) * 32000 * 4 AS logits, CASE WHEN z >= 3 THEN CAST(pr / 24 * 2 AS DOUBLE) ELSE 0.0 END AS gather FROM x)
-SELECT *, round(weights + gradients + optimizer + saved + greatest(work, logits) + gather, 2) AS peak FROM (SELECT p_partkey, weights, gradients, optimizer, saved, work, logits, round(gather, 3) AS gather FROM c)""")
+_GEOMETRY = """x AS (SELECT p_partkey, p_partkey * 3000000.0::DOUBLE AS loaded, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 3000000.0::DOUBLE ELSE p_partkey * 30000.0::DOUBLE END AS trainable, p_partkey % 2 = 0 AS "full",
+1024.0::DOUBLE AS hidden, 2816.0::DOUBLE AS "inner", 256.0::DOUBLE AS kv, 24.0::DOUBLE AS layers, 16.0::DOUBLE AS heads, 32000.0::DOUBLE AS vocab, p_partkey * 2500000.0::DOUBLE AS linear, p_partkey * 30000.0::DOUBLE AS adapter,
+CAST(pow(2, p_size % 3) AS DOUBLE) AS g, p_partkey % 4 AS z, (1 + p_size % 8) AS m, p_size % 2 = 0 AS gc FROM part)"""
+
+
+def _geometry(t):
+    key, full = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
+    geometry = {
+        "loaded": key * 3000000.0, "trainable": F.when(full, key * 3000000.0).otherwise(key * 30000.0), "hidden": F.lit(1024.0), "inner": F.lit(2816.0), "kv": F.lit(256.0), "layers": F.lit(24.0),
+        "heads": F.lit(16.0), "vocab": F.lit(32000.0), "linear": key * 2500000.0, "adapter": key * 30000.0, "module": F.lit(32000.0 * 1024), "persistent": F.lit(50000.0),
+    }
+    job = {"cards": F.pow(F.lit(2.0), F.col("p_size") % 3), "stage": key % 4, "checkpointing": F.col("p_size") % 2 == 0}
+    return geometry, job, F.when(full, "full").otherwise("lora")
+
+
+@query(f"""WITH {_GEOMETRY}, c AS (SELECT *, m * 2048.0::DOUBLE AS tok, 6 * hidden + 2 * kv + 3 * "inner" AS width, least(trainable, 5e8) * 2 AS red, least(loaded, least(loaded, 2e9) + 32768000 + 50000) AS live_n FROM x),
+k AS (SELECT p_partkey, CASE WHEN z = 3 THEN loaded * 2 / g ELSE loaded * 2 END AS parameters, CASE WHEN z >= 2 THEN trainable * 2 / g ELSE trainable * 2 END AS gradients, CASE WHEN z >= 1 THEN trainable * 12 / g ELSE trainable * 12 END AS optimizer,
+CASE WHEN gc THEN tok * layers * hidden * 2 ELSE tok * layers * width * 2 END AS saved, CASE WHEN gc THEN tok * width * 2 ELSE 0 END AS recompute, tok * (2 * hidden + 2 * kv) * 2 + tok * heads * 4 AS attention, tok * vocab * 4 AS logits,
+CASE z WHEN 0 THEN 0 WHEN 2 THEN greatest(red, least(trainable, 5e8) * 2) ELSE red END AS collective, CASE WHEN z = 3 AND g > 1 THEN live_n * 2 * (1 - 1 / g) ELSE 0 END AS live FROM c),
+r AS (SELECT *, parameters + gradients + optimizer + logits + collective + live AS rest, saved + recompute + attention AS act FROM k)
+SELECT p_partkey, round(parameters, 1) AS parameters, round(gradients, 1) AS gradients, round(optimizer, 1) AS optimizer, saved, recompute, attention, logits, collective, round(live, 1) AS live, round(rest + act, 1) AS reference, round(rest, 1) AS non_activation, round(rest + act * 0.25, 1) AS lower_bound FROM r""")
 def memory_basis(t):
-    m = N.memory_parts(F.col("p_partkey") * 1000000 + 1000000, F.col("p_partkey") * 1000 + 1000, F.pow(F.lit(2), F.col("p_size") % 3).cast("long"), F.col("p_partkey") % 4, F.col("p_size") % 8 + 1, F.lit(2048), F.lit(1024), F.lit(24), F.lit(32000), F.col("p_size") % 2 == 0)
-    out = t.part.select("p_partkey", *((F.round(c, 3) if k == "gather" else c).alias(k) for k, c in m.items()))
-    persistent = F.col("weights") + F.col("gradients") + F.col("optimizer") + F.col("saved")
-    return out.withColumn("peak", F.round(N.phase_peak(persistent, F.lit(0.0), F.col("work"), F.col("logits")) + F.col("gather"), 2))
-
-
-@query("""WITH x AS (SELECT p_partkey, p_retailprice * 1e9 AS o, CAST(p_partkey + 1 AS DOUBLE) * 1e6 AS pr, p_size * 128.0 AS tok, CAST(pow(2, p_size % 3) AS BIGINT) AS g, p_partkey % 4 AS z, 1 + p_size % 4 AS st FROM part),
-b AS (SELECT *, o * st / 1e12 AS c, (pr * 6.0 + tok * 1024 * 34.0) * st / 1e9 AS h, pr * 2 * (g - 1) / g * CASE WHEN z >= 3 THEN 3 WHEN z >= 1 THEN 2 ELSE 2 END * CASE WHEN z >= 3 THEN st ELSE 1 END AS exchanged FROM x)
-SELECT p_partkey, round(c, 6) AS compute, round(h, 6) AS traffic, round(exchanged, 1) AS exchanged, round(pow(pow(c, 4.0) + pow(h, 4.0), 0.25) * exp(tanh((p_partkey % 7 - 3) / 0.5) * 0.5), 6) AS seconds, round(greatest(c - 3, 0.0) + ln(1 + exp(-abs(c - 3))), 8) AS softplus FROM b""")
+    geometry, job, _ = _geometry(t)
+    c = N.memory_components(geometry, micro=F.col("p_size") % 8 + 1, cutoff=F.lit(2048), **job)
+    out = t.part.select("p_partkey", *(v.alias(k) for k, v in c.items()))
+    sums = N.memory_reference({k: F.col(k) for k in c})
+    return out.select("p_partkey", *((F.round(k, 1) if k in ("parameters", "gradients", "optimizer", "live") else F.col(k)).alias(k) for k in c), *(F.round(v, 1).alias(k) for k, v in sums.items()))
+
+
+@query("""SELECT p_partkey, p_size * 100 + greatest(p_partkey * 3, p_size * 70) AS peak FROM part""")
+def phase_peak(t):
+    return t.part.select("p_partkey", N.phase_peak(F.col("p_size") * 60, F.col("p_size") * 40, F.col("p_partkey") * 3, F.col("p_size") * 70).alias("peak"))
+
+
+@query(f"""WITH {_GEOMETRY}, c AS (SELECT *, p_partkey * 4096.0::DOUBLE AS tok, p_partkey * 65536.0::DOUBLE AS pairs, (1 + p_partkey % 5)::DOUBLE AS ga, 6 * hidden + 2 * kv + 3 * "inner" AS width, layers * hidden * p_partkey * 65536.0::DOUBLE AS sq FROM x),
+o AS (SELECT *, CASE WHEN "full" THEN 6 * linear * tok ELSE 4 * linear * tok + 6 * adapter * tok END AS lin, 6 * sq AS att, CASE WHEN NOT gc THEN 0 WHEN "full" THEN 2 * linear * tok ELSE 2 * linear * tok + 2 * adapter * tok END AS rl, CASE WHEN gc THEN 2 * sq ELSE 0 END AS ra,
+ga * 2 * (linear + adapter) * 2 AS w, 4 * (tok / g) * layers * width * 2 AS act, 4 * (tok / g) * (2 * hidden + 2 * kv) * 2 AS att_t, 2 * trainable / g * 16 AS opt, CASE WHEN gc THEN 3 ELSE 2 END AS mat FROM c),
+p AS (SELECT *, w + act + att_t + CASE WHEN gc THEN 2 * (act + att_t) ELSE 0 END AS kern, CASE WHEN g = 1 OR z = 0 THEN 0 WHEN z = 1 THEN (g - 1) / g * (2 * trainable * 2 + trainable * 2) WHEN z = 2 THEN (g - 1) / g * (2 * ga * trainable * 2 + trainable * 2) ELSE (g - 1) / g * ga * (mat * loaded * 2 + trainable * 2) END AS pay,
+CASE WHEN g = 1 OR z = 0 THEN 0 WHEN z = 1 THEN 2 * ceil(trainable / 5e8) WHEN z = 2 THEN ga * ceil(trainable / 5e8) + ceil(trainable / 5e8) ELSE ga * (mat * ceil(loaded / 5e7) + ceil(trainable / 5e8)) END AS n FROM o)
+SELECT p_partkey, round(lin / 1e9, 3) AS linear, round(att / 1e9, 3) AS attention, round(rl / 1e9, 3) AS recompute_linear, round(ra / 1e9, 3) AS recompute_attention, round(kern / 1e6, 3) AS kernel, round(opt / 1e6, 3) AS optimizer, round(pay / 1e6, 3) AS payload, CAST(n AS BIGINT) AS collectives,
+round((lin + att + rl + ra) / (g * 1e14), 6) AS compute_seconds, round(pay / 4e11, 12) AS payload_seconds FROM p""")
+def performance_basis(t):
+    geometry, job, mode = _geometry(t)
+    key = F.col("p_partkey")
+    c = N.performance_basis(geometry, mode=mode, tokens=key * 4096.0, pairs=key * 65536.0, accumulation=key % 5 + 1, peak=1e14, memory_bandwidth=3e12, link_bandwidth=4e11, **job)
+    scaled = {k: F.round(c[k] / 1e9, 3) for k in ("linear", "attention", "recompute_linear", "recompute_attention")} | {k: F.round(c[k] / 1e6, 3) for k in ("kernel", "optimizer", "payload")}
+    return t.part.select("p_partkey", *(v.alias(k) for k, v in scaled.items()), c["collectives"].alias("collectives"), F.round(c["compute_seconds"], 6).alias("compute_seconds"), F.round(c["payload_seconds"], 12).alias("payload_seconds"))
+
+
+@query("""WITH b AS (SELECT *, p_retailprice / 1e3 AS c, p_size / 10.0 AS h FROM part)
+SELECT p_partkey, round(pow(pow(c, 4.0) + pow(h, 4.0), 0.25) * exp(tanh((p_partkey % 7 - 3) / 0.5) * 0.5), 6) AS seconds, round(greatest(c - 3, 0.0) + ln(1 + exp(-abs(c - 3))), 8) AS softplus FROM b""")
 def roofline(t):
-    cards = F.pow(F.lit(2), F.col("p_size") % 3).cast("long")
-    p = N.performance_parts(F.col("p_retailprice") * 1e9, (F.col("p_partkey") + 1).cast("double") * 1e6, F.col("p_size") * 128.0, F.lit(1024), cards, F.col("p_partkey") % 4, F.col("p_size") % 4 + 1)
-    c, h = p["operations"] / 1e12, p["traffic"] / 1e9
-    return t.part.select(
-        "p_partkey", F.round(c, 6).alias("compute"), F.round(h, 6).alias("traffic"), F.round(p["exchanged"], 1).alias("exchanged"),
-        F.round(N.roofline(c, h, 4.0, (F.col("p_partkey") % 7 - 3).cast("double"), 0.5), 6).alias("seconds"), F.round(N.softplus(c - 3), 8).alias("softplus"),
-    )
+    c, h = F.col("p_retailprice") / 1e3, F.col("p_size") / 10.0
+    return t.part.select("p_partkey", F.round(N.roofline(c, h, 4.0, (F.col("p_partkey") % 7 - 3).cast("double"), 0.5), 6).alias("seconds"), F.round(N.softplus(c - 3), 8).alias("softplus"))
 
 
 @query("""WITH x AS (SELECT p_partkey, 128 AS b, CAST(pow(2, p_size % 3) AS BIGINT) AS dp, 1 + p_size / 10.0 AS spp, 40.0 + p_size * 3 AS p99 FROM part), y AS (SELECT *, greatest(1, CAST(round(b / (dp * spp)) AS BIGINT)) AS steps FROM x)
@@ -120,11 +152,20 @@ def layer_structure(t):
     return t.part.select("p_partkey", *(c.alias(k) for k, c in w.items()))
 
 
-@query("""SELECT p_partkey, 588 * (p_size * 16) + p_size * ((p_size * 16) * (p_size * 16) * 4 + (p_size * 16) * 256 * 2 + (p_size * 16) * 9 + 256) + (p_size * 16) * 4 * (p_size * 16) * 4 + (p_size * 16) * 4 * 3584 AS parameters,
-CASE WHEN p_partkey % 4 = 3 THEN p_partkey * 2000 // 4 + p_size * 4000 ELSE 0 END AS workspace FROM part""")
-def vision_and_workspace(t):
-    h = F.col("p_size").cast("long") * 16
-    return t.part.select("p_partkey", N.vision_parameters(F.col("p_size").cast("long"), h, F.lit(256)).alias("parameters"), N.gather_workspace(F.col("p_partkey") * 1000, F.col("p_size").cast("long") * 1000, F.lit(4), F.col("p_partkey") % 4).alias("workspace"))
+@query("""WITH x AS (SELECT p_partkey, p_size::BIGINT AS d, p_size::BIGINT * 16 AS h, 256::BIGINT AS i, 3584::BIGINT AS o, p_partkey % 2 = 0 AS gated FROM part),
+y AS (SELECT *, CASE WHEN gated THEN h ELSE 8 * h END + 16 * h * h + 4 * h + 4 * h * o + o AS merger, 3 * h * h + 3 * h + h * h + h AS attention, CASE WHEN gated THEN 2 * (i * h + i) + h * i + h ELSE h * i + i + i * h + h END AS mlp FROM x)
+SELECT p_partkey, 3 * h * 2 * 14 * 14 AS patch_embed, d * (attention + mlp + CASE WHEN gated THEN 2 * h ELSE 4 * h END) AS blocks, merger, CASE WHEN gated THEN 0 ELSE 2304 * h END AS positions, CASE WHEN gated THEN 0 ELSE 3 * merger END AS tap_mergers,
+3 * h * 2 * 14 * 14 + d * (attention + mlp + CASE WHEN gated THEN 2 * h ELSE 4 * h END) + merger + CASE WHEN gated THEN 0 ELSE 2304 * h + 3 * merger END AS total, ((100 + d * 7) // 14) * ((50 + d * 9) // 14) // 4 AS tokens FROM y""")
+def vision_tower(t):
+    size, gated = F.col("p_size").cast("long"), F.col("p_partkey") % 2 == 0
+    plain = F.when(gated, 0).otherwise(1)
+    c = N.vision_tower(depth=size, hidden=size * 16, inner=256, out=3584, positions=plain * 2304, taps=plain * 3, gated=gated)
+    return t.part.select("p_partkey", *(v.alias(k) for k, v in c.items()), N.picture_tokens(size * 7 + 100, size * 9 + 50).alias("tokens"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN p_partkey * 2000 // 4 + p_size * 4000 ELSE 0 END AS workspace FROM part""")
+def gather_workspace(t):
+    return t.part.select("p_partkey", N.gather_workspace(F.col("p_partkey") * 1000, F.col("p_size").cast("long") * 1000, F.lit(4), F.col("p_partkey") % 4).alias("workspace"))
 
 
 @query("""SELECT source, array_to_string(list_filter([CASE WHEN max(n_chars) > 15000 THEN 'max_exceeds_declared' END, CASE WHEN abs(avg(n_chars) - 2400) > 120 THEN 'mean_differs' END], lambda x: x IS NOT NULL), ',') AS warnings,
@@ -141,26 +182,36 @@ def oom_parse(t):
     return t.events.select("event_id", T.memory_amount(message, "tried to allocate").alias("requested"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'memory' WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'throughput' WHEN o_orderpriority LIKE '2-%' OR o_orderpriority LIKE '3-%' THEN 'scaling' ELSE 'packing' END AS phase FROM orders""")
+_HEADS = ["preflight-", "h800val-", "smoke-", "mem-", "packmem-", "packon-", "prof-", "scale-", "tput-", "tputd-", "run-", "x-mem-"]
+_KINDS = ["", "thermal_validation", "memory_probe", "profiler", "throughput_screen", "packing_memory_probe", "smoke", "else"]
+
+
+@query(f"""WITH j AS (SELECT o_orderkey, concat({_HEADS}[1 + o_orderkey % 12], o_orderkey) AS id, {_KINDS}[1 + o_custkey % 8] AS kind, CASE WHEN o_orderkey % 31 = 0 THEN 'given' END AS given, o_orderkey % 17 = 0 AS probe, o_orderkey % 13 = 0 AS pair FROM orders)
+SELECT o_orderkey, CASE WHEN given IS NOT NULL THEN given WHEN probe THEN 'memory' WHEN pair THEN 'packing' WHEN id LIKE 'preflight-%' THEN 'preflight' WHEN kind = 'thermal_validation' OR id LIKE 'h800val-%' OR kind = 'smoke' OR id LIKE 'smoke-%' THEN 'validation'
+WHEN kind IN ('memory_boundary', 'memory_probe') OR id LIKE 'mem-%' THEN 'memory' WHEN kind = 'packing_memory_probe' OR id LIKE 'packmem-%' OR id LIKE 'packon-%' OR id LIKE 'packoff-%' THEN 'packing' WHEN kind = 'profiler' OR id LIKE 'prof-%' THEN 'profiler'
+WHEN id LIKE 'scale-%' THEN 'scaling' WHEN id LIKE 'tput-%' OR id LIKE 'tputscreen-%' OR id LIKE 'tputd-%' OR kind IN ('throughput', 'throughput_screen') THEN 'throughput' ELSE 'other' END AS phase FROM j""")
 def phase_case(t):
-    p = F.col("o_orderpriority")
-    rules = [(p.startswith("1-"), "memory"), ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 2 == 0), "throughput"), (p.startswith("2-") | p.startswith("3-"), "scaling")]
-    return t.orders.select("o_orderkey", T.first_rule(rules, "packing").alias("phase"))
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    key = F.col("o_orderkey")
+    phase = T.job_phase(F.concat(pick(_HEADS, "o_orderkey"), key.cast("string")), pick(_KINDS, "o_custkey"), F.when(key % 31 == 0, "given"), key % 17 == 0, key % 13 == 0)
+    return t.orders.select("o_orderkey", phase.alias("phase"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN event_id % 3 = 1 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS at,
-CASE event_type WHEN 'error' THEN NULL ELSE round(value, 2) END AS amount, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS flag FROM events""")
+CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN NULL WHEN 'purchase' THEN round(value) * 100000 ELSE round(value, 2) END AS amount, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS flag FROM events""")
 def telemetry_rows(t):
     text = F.when(F.col("event_id") % 3 == 2, "bad").when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSS"))
-    amount = F.when(F.col("event_type") == "error", "[N/A]").otherwise(F.format_string("%.2f W", "value"))
+    whole = F.round("value").cast("long").cast("string")
+    amount = F.when(F.col("event_type") == "error", "[N/A]").when(F.col("event_type") == "signup", F.format_string("%.2f W", "value")).when(F.col("event_type") == "purchase", F.concat(whole, F.lit("e5"))).otherwise(F.format_string(" %.2f ", "value"))
     flag = F.when(F.col("event_type") == "view", "Active").when(F.col("event_type") == "click", "Not Active").otherwise("N/A")
     at = T.telemetry_time(text, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return t.events.select("event_id", at.cast("timestamp_ntz").alias("at"), T.maybe_number(amount).alias("amount"), T.maybe_flag(flag).alias("flag"))
 
 
-@query("""SELECT c_custkey, concat('run-', substr(sha256(concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '"}')), 1, 16)) AS id FROM customer""")
+@query("""SELECT c_custkey, concat('run-', substr(sha256(concat('{"key":', c_custkey, ',"model":"', c_name, '","note":', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"é' || c_nationkey || '"' END, '}')), 1, 16)) AS id FROM customer""")
 def stable_ids(t):
-    return t.customer.select("c_custkey", T.stable_id("run", F.col("c_custkey"), F.col("c_name")).alias("id"))
+    note = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("é"), F.col("c_nationkey").cast("string")))
+    return t.customer.select("c_custkey", T.stable_id("run", model=F.col("c_name"), note=note, key=F.col("c_custkey")).alias("id"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"n":' || CAST(event_id AS VARCHAR) || '}' AS encoded FROM events""")
@@ -175,10 +226,15 @@ def index_lists(t):
     return t.nation.select("n_nationkey", (F.aggregate(ids, F.lit(0), lambda a, x: a + x) + F.col("n_nationkey")).cast("long").alias("total"), T.percent(F.col("n_nationkey") / 7.0).alias("share"))
 
 
-@query("""SELECT source, CASE WHEN quantile_cont(n_chars, 0.99) <= 1024 THEN 'short' WHEN quantile_cont(n_chars, 0.5) <= 1024 AND quantile_cont(n_chars, 0.9) <= 4096 THEN 'mixed' WHEN quantile_cont(n_chars, 0.5) > 8192 THEN 'long' ELSE 'medium' END AS category FROM documents GROUP BY source""")
+_CATEGORY = "CASE WHEN quantile_cont(n, 0.9) <= 512 THEN 'short' WHEN quantile_cont(n, 0.99) / greatest(quantile_cont(n, 0.5), 1) >= 1.75 THEN 'longtail' WHEN quantile_cont(n, 0.5) >= 8192 THEN 'longcontext' ELSE 'multiturn' END"
+
+
+@query(f"""SELECT l_suppkey, scale, {_CATEGORY} AS category FROM (SELECT l_suppkey, scale, 1000 * scale + l_quantity * scale AS n FROM lineitem, (SELECT unnest([0.1::DOUBLE, 1, 5, 10]) AS scale) UNION ALL SELECT l_suppkey, 0::DOUBLE, l_quantity * 40 FROM lineitem) GROUP BY l_suppkey, scale""")
 def category_infer(t):
-    p = {q: S.percentile("n_chars", q / 100) for q in (50, 90, 99)}
-    return t.documents.groupBy("source").agg(T.length_category(p[50], p[90], p[99]).alias("category"))
+    scaled = t.lineitem.select("l_suppkey", F.explode(F.array(*map(F.lit, (0.1, 1.0, 5.0, 10.0)))).alias("scale"), "l_quantity").select("l_suppkey", "scale", (F.col("scale") * 1000 + F.col("l_quantity") * F.col("scale")).alias("n"))
+    rows = scaled.unionByName(t.lineitem.select("l_suppkey", F.lit(0.0).alias("scale"), (F.col("l_quantity") * 40).alias("n")))
+    p = {q: S.percentile("n", q / 100) for q in (50, 90, 99)}
+    return rows.groupBy("l_suppkey", "scale").agg(T.length_category(p[50], p[90], p[99]).alias("category"))
 
 
 @query("""WITH g AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, string_agg(concat(o_orderstatus, '=', n), ',' ORDER BY o_orderstatus) AS counts FROM g GROUP BY o_orderpriority""")
@@ -203,16 +259,24 @@ def conversation_valid(t):
     return rows.select("conv_id", A.valid_conversation(F.col("messages")).alias("valid"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, count_if(role = 'assistant') AS assistant_turns, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN coalesce(length(text), 0) END), 0) AS BIGINT) AS label_chars FROM conversations GROUP BY conv_id""")
+_PIECES = r"len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\s\p{L}\p{N}]+'))"
+
+
+@query(f"""SELECT conv_id, count(*) AS turns, count_if(role = 'assistant') AS assistant_turns, CAST(sum({_PIECES}) AS BIGINT) AS tokens, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN {_PIECES} END), 0) AS BIGINT) AS label_tokens FROM conversations GROUP BY conv_id""")
 def turn_profile(t):
     rows = A.conversations(t.conversations, "conv_id", "turn", "role", "text")
     return rows.select("conv_id", *(c.cast("long").alias(k) for k, c in A.turn_profile(F.col("messages")).items()))
 
 
-@query()
+@query(rf"""WITH o AS (SELECT conv_id, role, coalesce(text, '') AS t, text IS NULL AS none, {_PIECES} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+l AS (SELECT *, CASE WHEN length(t) > 64 THEN len(regexp_extract_all(left(t, 64), '\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+')) ELSE n END AS low, sum(n) OVER (PARTITION BY conv_id) - 60 AS over FROM o),
+g AS (SELECT *, coalesce(sum(n - low) OVER (PARTITION BY conv_id ORDER BY role NOT IN ('user', 'system'), -length(t), i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n - low) OVER (PARTITION BY conv_id) AS give FROM l),
+c AS (SELECT *, greatest(0, least(over - before, n - low)) AS cut FROM g)
+SELECT conv_id, max(over) <= max(give) AS fits, CASE WHEN max(over) <= max(give) THEN CAST(sum(n - cut) AS BIGINT) END AS tokens FROM c GROUP BY conv_id""")
 def conversation_crop(t):
     rows = A.conversations(t.conversations, "conv_id", "turn", "role", "text")
-    return rows.select("conv_id", F.size("messages").alias("turns"), F.size(A.crop(F.col("messages"), 600)).alias("kept"))
+    cut = rows.withColumn("messages", A.capped(F.col("messages"), 60))
+    return cut.select("conv_id", F.col("messages").isNotNull().alias("fits"), F.when(F.col("messages").isNotNull(), A.turn_profile(F.col("messages"))["tokens"].cast("long")).alias("tokens"))
 
 
 @query("""SELECT p_brand, count(*) AS images, CAST(sum(p_size * k) AS BIGINT) AS tokens, quantile_cont(p_size * k, 0.5) AS p50, max(p_size * k) AS most FROM part, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= 1 + p_partkey % 3 GROUP BY p_brand""")
