@@ -192,17 +192,33 @@ def unbounded_fill(total: int, sizes: Sequence[int]) -> list[int] | None:
     return sorted(best[total], reverse=True) if best[total] is not None else None
 
 
-def first_fit_masks(jobs: Sequence[tuple[str, int]], cards: Sequence[int]) -> list[list[tuple[str, list[int]]]]:
-    """Waves of jobs on the lowest free cards; a job that doesn't fit waits for the next wave."""
-    waves, left = [], list(jobs)
+def place(need: int, free: set[int], cards: Sequence[int], running: int, exclusive: bool = False) -> list[int] | None:
+    """Cards for a job, or none for now: pairs stand on aligned pairs, singles on the lowest; larger or exclusive jobs want an idle machine."""
+    if exclusive or need > 2:
+        idle = running == 0 and (not exclusive or free == set(cards))
+        return (list(cards) if exclusive else sorted(free))[:need] if idle and len(free) >= need else None
+    if need == 2:
+        return next((list(cards[i : i + 2]) for i in range(0, len(cards) - 1, 2) if set(cards[i : i + 2]) <= free), None)
+    return [min(free)] if free else None
+
+
+def first_fit_masks(jobs: Sequence[tuple], cards: Sequence[int], in_order: bool = False) -> list[list[tuple[str, list[int]]]]:
+    """Waves of jobs (job, cards and perhaps whether it wants the machine alone) on cards; what doesn't fit waits for the next wave.
+
+    Shared jobs come before exclusive ones and larger before smaller, unless the queue's order is to be kept.
+    """
+    waves, left = [], [(*j, False)[:3] for j in jobs]
+    if not in_order:
+        left.sort(key=lambda j: (j[2], -j[1]))
     while left:
-        free, wave, rest = sorted(cards), [], []
-        for job, n in left:
-            if n <= len(free):
-                wave.append((job, free[:n]))
-                free = free[n:]
+        free, wave, rest = set(cards), [], []
+        for job, n, exclusive in left:
+            mask = place(n, free, cards, len(wave), exclusive) if free else None
+            if mask is None:
+                rest.append((job, n, exclusive))
             else:
-                rest.append((job, n))
+                free -= set(mask)
+                wave.append((job, mask))
         if not wave:
             raise ValueError(f"{rest[0][0]} needs more cards than there are")
         waves.append(wave)
@@ -210,6 +226,18 @@ def first_fit_masks(jobs: Sequence[tuple[str, int]], cards: Sequence[int]) -> li
     return waves
 
 
+def preview_waves(jobs: DataFrame, group: str, job: str, cards: str, machine: Sequence[int]) -> DataFrame:
+    """First-fit waves of each queue: group, wave, job, mask. A queue is one machine's."""
+    kinds = dict(jobs.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(job)
+        waves = first_fit_masks(list(zip(pdf[job].astype(str), pdf[cards].astype(int), strict=True)), machine)
+        return pd.DataFrame([(pdf[group].iloc[0], k, j, ",".join(map(str, m))) for k, w in enumerate(waves) for j, m in w], columns=[group, "wave", "job", "mask"])
+
+    return jobs.select(group, job, cards).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, wave long, job string, mask string")
+
+
 def plan_waves(jobs: DataFrame, group: str, job: str, cards: str, total: int, tail: str = "partial") -> DataFrame:
     """Mixed waves of each group of jobs: group, wave, job. A group is one queue of one machine."""
     kinds = dict(jobs.dtypes)

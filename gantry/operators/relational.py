@@ -64,6 +64,25 @@ def freshness(rows: DataFrame, modified: str, now: Column, most: float = 600.0)
     return rows.withColumn("status", F.when(now - F.col(modified) <= most, "running").otherwise("interrupted"))
 
 
+#: Keys whose presence shows a vision tower, and those that only mixed attention stacks have: fixed values.
+VISION_KEYS = ("image_token_id", "video_token_id", "vision_start_token_id")
+MIXED_KEYS = ("linear_attention", "full_attention_interval", "linear_conv_kernel_dim")
+
+
+def architecture_refusals(family: Column, architectures: Column, layer_kinds: Column, vision: Column, keys: Column) -> Column:
+    """Why a model is outside the calibrated architectures, none if it is inside.
+
+    `vision` tells of a vision part in its settings, `keys` are the names of settings that are not null, `layer_kinds`
+    the kinds of its layers (null where all are alike). What can't be read is refused.
+    """
+    named = F.lower(F.concat_ws(" ", family, F.array_join(architectures, " ")))
+    keys, known = F.coalesce(keys, F.array().cast("array<string>")), ("full_attention", "linear_attention")
+    has = lambda names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
+    sees = F.coalesce(vision, F.lit(False)) | has(VISION_KEYS) | named.contains("vision") | named.contains("vl")
+    odd = F.coalesce(F.exists(layer_kinds, lambda k: k.isNull() | ~k.isin(*known) | (k == "linear_attention")), F.lit(False))
+    return reasons({"vision_language_unsupported": sees, "hybrid_attention_unsupported": odd | has(MIXED_KEYS)})
+
+
 # -- joins -----------------------------------------------------------------------------------------------------------
 
 
@@ -102,6 +121,33 @@ def within_attempt(events: DataFrame, attempts: DataFrame, key: str, time: str,
     return events.join(attempts, (events[key] == attempts[key]) & events[time].between(attempts[begin], attempts[end])).drop(attempts[key])
 
 
+def bound_events(events: DataFrame, attempts: DataFrame, place: str, job: str, attempt: str, time: str, begin: str, end: str, required: bool = True) -> DataFrame:
+    """Events with `state`: in_attempt, or the first of what speaks against it, by the attempt of their place (both ends of its time included)."""
+    a = attempts.select(F.col(place).alias("_place"), F.col(job).alias("_job"), F.col(attempt).alias("_attempt"), F.col(begin).alias("_begin"), F.col(end).alias("_end"))
+    rows = events.join(a, F.col(place) == F.col("_place"))
+    named = (F.length(F.coalesce(job, F.lit(""))) > 0) & (F.length(F.coalesce(attempt, F.lit(""))) > 0)
+    state = F.when(F.col(time).isNull(), "missing_time").when(~F.col(time).between(F.col("_begin"), F.col("_end")), "outside_attempt")
+    if required:
+        state = state.when(~named, "missing_binding").when((F.col(job) != F.col("_job")) | (F.col(attempt) != F.col("_attempt")), "mismatched_binding")
+    return rows.withColumn("state", state.otherwise("in_attempt")).drop("_place", "_job", "_attempt", "_begin", "_end")
+
+
+def disjoint_union(parts: Mapping[str, DataFrame], key: str, tag: str = "batch") -> DataFrame:
+    """Batches in one table, each row with its batch; a key that two batches share is an error."""
+    out = tagged_union(parts, tag)
+    both = out.groupBy(key).agg(F.count_distinct(tag).alias("n")).where("n > 1").select(key).limit(5).collect()
+    if both:
+        raise ValueError(f"{key} collides between batches: {sorted(r[0] for r in both)}")
+    return out
+
+
+def with_predictions(rows: DataFrame, predictions: DataFrame, request: str, admitted: str, columns: Sequence[str]) -> DataFrame:
+    """Predictions attached to admitted rows by their request; nulls for the others and for requests without any."""
+    p = predictions.select(F.col(request).alias("_request"), *(F.col(c).alias(f"_p_{c}") for c in columns))
+    out = rows.join(p, (F.col(request) == F.col("_request")) & F.col(admitted), "left")
+    return out.select(*rows.columns, *(F.col(f"_p_{c}").alias(c) for c in columns))
+
+
 def wildcard_match(requests: DataFrame, families: DataFrame, equal: Sequence[str], optional: Sequence[str]) -> DataFrame:
     """Equal in some fields; in the others equal or not asked for (null)."""
     r, f = requests.alias("r"), families.alias("f")
@@ -165,6 +211,14 @@ def tagged_union(parts: Mapping[str, DataFrame], tag: str = "origin") -> DataFra
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(tag, F.lit(n)) for n, df in parts.items()])
 
 
+def scoped(rows: DataFrame, active: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is active; where nothing is, all rows count."""
+    keys = active.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct().withColumn("_on", F.lit(True))
+    none = keys.limit(1).agg((F.count("*") == 0).alias("_all"))
+    marked = rows.join(keys, F.col(key) == F.col("_key"), "left").join(F.broadcast(none))  # one row
+    return marked.where(F.col("_all") | F.col("_on")).drop("_key", "_on", "_all")
+
+
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
@@ -185,6 +239,18 @@ def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     return rows.offset(max(0, offset)).limit(min(1000, max(1, limit)))
 
 
+def counted_page(rows: DataFrame, order: Sequence[Column], limit: int, offset: int) -> DataFrame:
+    """A page with `total`, the number of rows on all pages."""
+    total = rows.agg(F.count("*").alias("total"))
+    return page(rows.orderBy(*order), limit, offset).join(F.broadcast(total))  # one row
+
+
+def report_order(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows by several columns in turn, nulls as empty text or 0."""
+    kinds = dict(rows.dtypes)
+    return rows.orderBy(*(F.coalesce(F.col(c), F.lit("") if kinds[c] == "string" else F.lit(0).cast(kinds[c])) for c in columns))
+
+
 def last_then_ascending(rows: DataFrame, time: str, ident: str, n: int) -> DataFrame:
     return rows.orderBy(F.col(time).desc(), F.col(ident).desc()).limit(n).orderBy(time, ident)
 
@@ -209,6 +275,11 @@ def keyed_sample(rows: DataFrame, key: str, n: int, seed: int, always: Column |
     return rows.orderBy(first, F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def reservoir(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows, each set of n as likely, in a random order that does not depend on the partitioning: by a keyed hash."""
+    return keyed_sample(rows, key, n, seed).orderBy(F.xxhash64(F.lit(seed), F.col(key), F.lit("order")), key)
+
+
 # -- upserts ---------------------------------------------------------------------------------------------------------
 
 

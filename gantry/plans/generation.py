@@ -86,6 +86,12 @@ def mixed_wave_plan(t):
     return G.plan_waves(jobs, "p_brand", "p_partkey", "cards", 8)
 
 
+@query()
+def first_fit_waves(t):
+    jobs = t.part.select("p_brand", "p_partkey", F.pow(F.lit(2), F.col("p_size") % 3).cast("int").alias("cards"))
+    return G.preview_waves(jobs, "p_brand", "p_partkey", "cards", list(range(8)))
+
+
 @query(f"""WITH {_CAND}, d AS (SELECT request, CASE WHEN request % 4 = 0 THEN 'on' ELSE 'off' END AS decision FROM q WHERE request % 2 = 0)
 SELECT request, cards, stage, mbs, gc, false AS packing, 'off' AS branch FROM k UNION ALL SELECT k.request, cards, stage, mbs, gc, true, CASE WHEN decision = 'on' THEN 'on' ELSE 'shadow' END FROM k LEFT JOIN d ON k.request = d.request WHERE mbs = 1""")
 def packing_branches(t):

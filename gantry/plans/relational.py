@@ -19,6 +19,74 @@ def priority_page(t):
     return R.page(R.priority_order(t.orders, "o_orderstatus", ["O", "P"], F.col("o_orderdate"), "o_orderkey"), 50, 20).select("o_orderkey", "o_orderstatus")
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR lower(concat('fam', p_partkey % 5, CASE WHEN p_partkey % 5 = 4 THEN 'VL' ELSE '' END, ' ', p_type)) LIKE '%vl%' OR lower(p_type) LIKE '%vision%' THEN 'vision_language_unsupported' END,
+CASE WHEN p_partkey % 13 = 0 OR (p_size > 10 AND p_size % 3 = 0) OR p_size = 7 THEN 'hybrid_attention_unsupported' END], lambda x: x IS NOT NULL), ',') AS refusals FROM p""")
+def architecture_refusals(t):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    family = F.concat(F.lit("fam"), (key % 5).cast("string"), F.when(key % 5 == 4, "VL").otherwise(""))
+    kinds = F.when(size > 10, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when((i == 2) & (size % 3 == 0), "linear_attention").otherwise("full_attention"))).when(size == 7, F.array(F.lit("odd_kind")))
+    keys = F.array_compact(F.array(F.when(key % 11 == 0, F.lit("image_token_id")), F.when(key % 13 == 0, F.lit("full_attention_interval")), F.lit("hidden_size")))
+    return t.part.select("p_partkey", F.array_join(R.architecture_refusals(family, F.array("p_type"), kinds, key % 7 == 0, keys), ",").alias("refusals"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS place, concat('j', c_custkey) AS job, concat('a', c_custkey % 7) AS attempt, 1000.0 * (c_custkey % 50) AS b, 1000.0 * (c_custkey % 50) + 200000 AS e FROM customer),
+v AS (SELECT o_custkey AS place, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS t, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE concat('j', o_custkey + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END) END AS job, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat('a', o_custkey % 7) END AS attempt FROM orders)
+SELECT v.place, count_if(t IS NULL) AS missing_time, count_if(t IS NOT NULL AND (t < b OR t > e)) AS outside_attempt, count_if(t BETWEEN b AND e AND (v.job = '' OR v.attempt IS NULL)) AS missing_binding,
+count_if(t BETWEEN b AND e AND v.job <> '' AND v.attempt IS NOT NULL AND (v.job <> a.job OR v.attempt <> a.attempt)) AS mismatched_binding, count_if(t BETWEEN b AND e AND v.job = a.job AND v.attempt = a.attempt) AS in_attempt FROM v JOIN a ON v.place = a.place GROUP BY v.place""")
+def attempt_binding(t):
+    key = F.col("o_orderkey")
+    attempts = t.customer.select(F.col("c_custkey").alias("place"), F.concat(F.lit("j"), F.col("c_custkey").cast("string")).alias("job"), F.concat(F.lit("a"), (F.col("c_custkey") % 7).cast("string")).alias("attempt"), (F.col("c_custkey") % 50 * 1000.0).alias("b"), (F.col("c_custkey") % 50 * 1000.0 + 200000).alias("e"))
+    events = t.orders.select(
+        F.col("o_custkey").alias("place"), F.when(key % 17 != 0, F.col("o_totalprice")).alias("t"), F.when(key % 19 == 0, "").otherwise(F.concat(F.lit("j"), (F.col("o_custkey") + F.when(key % 23 == 0, 1).otherwise(0)).cast("string"))).alias("job"),
+        F.when(key % 29 != 0, F.concat(F.lit("a"), (F.col("o_custkey") % 7).cast("string"))).alias("attempt"),
+    )
+    rows = R.bound_events(events, attempts, "place", "job", "attempt", "t", "b", "e")
+    return rows.groupBy("place").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("missing_time", "outside_attempt", "missing_binding", "mismatched_binding", "in_attempt")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM orders""")
+def disjoint_batches(t):
+    keys = t.orders.select("o_orderkey")
+    return R.disjoint_union({"even": keys.where("o_orderkey % 2 = 0"), "odd": keys.where("o_orderkey % 2 = 1")}, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, o_orderstatus = 'F' AS admitted, CASE WHEN o_orderstatus = 'F' THEN c_acctbal END AS c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 > 0""")
+def admission_join(t):
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("request"), (F.col("o_orderstatus") == "F").alias("admitted"))
+    predictions = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("request"), "c_acctbal")
+    return R.with_predictions(rows, predictions, "request", "admitted", ["c_acctbal"]).select("o_orderkey", "admitted", "c_acctbal")
+
+
+@query("""SELECT 'some' AS manifest, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT 'none', count(*) FROM orders""")
+def manifest_scope(t):
+    active = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    counted = lambda name, keys: R.scoped(t.orders.select("o_custkey"), keys, "o_custkey").agg(F.lit(name).alias("manifest"), F.count("*").alias("n"))
+    return counted("some", active.where("c_acctbal > 5000")).unionByName(counted("none", active.where("c_acctbal > 1e9")))
+
+
+@query("""SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50""")
+def counted_page(t):
+    return R.counted_page(t.orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25, 50).select("o_orderkey", "total")
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY coalesce(CASE WHEN p_size > 10 THEN p_brand END, ''), coalesce(CASE WHEN p_size < 40 THEN p_size END, 0), p_partkey) AS place FROM part""")
+def report_order(t):
+    rows = t.part.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("b"), F.when(F.col("p_size") < 40, F.col("p_size")).alias("s"))
+    kept = R.report_order(rows, ["b", "s", "p_partkey"])
+    return kept.select("p_partkey", F.row_number().over(R.Window.orderBy(F.coalesce("b", F.lit("")), F.coalesce("s", F.lit(0)), "p_partkey")).cast("long").alias("place"))  # a page for people
+
+
+@query()
+def reservoir_sample(t):
+    return R.reservoir(t.part.select("p_partkey", "p_brand"), "p_partkey", 50, 7)
+
+
+@query("""SELECT event_id, user_id, hour, gpu FROM (SELECT event_id, user_id, date_trunc('hour', ts) AS hour, event_id % 2 AS gpu, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts), event_id % 2 ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def telemetry_replace(t):
+    rows = t.events.select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), (F.col("event_id") % 2).alias("gpu"), "ts")
+    return R.last_wins(rows, ["user_id", "hour", "gpu"], ["ts", "event_id"]).select("event_id", "user_id", "hour", "gpu")
+
+
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def keys_by_status(t):
     return t.orders.where("o_orderstatus = 'F'").select("o_custkey").distinct()
@@ -129,16 +197,9 @@ def wildcard_theta_join(t):
     return R.wildcard_match(requests, families, ["nation"], ["seg"]).select("s_suppkey", "c_custkey")
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, p_brand, p_type, p_size, p_retailprice FROM part WHERE p_partkey % 40 = 0) SELECT part.p_partkey, a.k AS anchor FROM part JOIN a ON part.p_brand = a.p_brand AND part.p_type = a.p_type AND part.p_size <= a.p_size AND part.p_retailprice <= a.p_retailprice""")
-def dominance_join(t):
-    cols = ["p_brand", "p_type", "p_size", "p_retailprice"]
-    anchors = t.part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("anchor"), *cols)
-    return R.dominated_by(t.part.select("p_partkey", *cols), anchors, cols[:2], cols[2:]).select("p_partkey", "anchor")
-
-
-@query()
+@query("""SELECT p.p_partkey, a.p_partkey AS anchor FROM part p JOIN part a ON p.p_brand = a.p_brand AND p.p_type = a.p_type AND p.p_size <= a.p_size AND p.p_retailprice <= a.p_retailprice""")
 def dominance_join_all(t):
-    """`dominance_join` with every part as an anchor; its SQL is held to a share of them."""
+    """Every part as an anchor of those that it dominates."""
     cols = ["p_brand", "p_type", "p_size", "p_retailprice"]
     anchors = t.part.select(F.col("p_partkey").alias("anchor"), *cols)
     return R.dominated_by(t.part.select("p_partkey", *cols), anchors, cols[:2], cols[2:]).select("p_partkey", "anchor")

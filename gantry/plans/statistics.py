@@ -61,8 +61,7 @@ r AS (SELECT l_suppkey, a.n - k.n AS n, a.sx - k.sx AS sx, a.sy - k.sy AS sy, a.
 e AS (SELECT d.l_suppkey, abs(b0 + b1 * x - y) / abs(y) AS e FROM d JOIN b ON d.l_suppkey = b.l_suppkey) SELECT l_suppkey, round(avg(e), 6) AS mape, round(median(e), 6) AS median, round(quantile_cont(e, 0.9), 6) AS p90, count(*) AS n FROM e GROUP BY l_suppkey""")
 def loso_regression(t):
     rows = t.lineitem.select("l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
-    fits = M.left_out_fits(rows, {"x": F.col("x")}, F.col("y"), "l_suppkey")
-    scored = rows.join(F.broadcast(fits), "l_suppkey").withColumn("p", F.col("b0") + F.col("b1") * F.col("x"))  # a row a fold
+    scored = rows.join(M.left_out_lines(rows, "l_suppkey", "x", "y"), "l_suppkey").withColumn("p", F.col("b0") + F.col("b1") * F.col("x"))
     return M.errors(scored, ["l_suppkey"], "p", "y").withColumns({c: F.round(c, 6) for c in ("mape", "median", "p90")})
 
 
@@ -96,9 +95,10 @@ def multiplier_scan(t):
     return out.select(F.round("m", 6).alias("m"), "false_admits", F.round("coverage", 9).alias("coverage"))
 
 
-@query()
+@query("""WITH g AS (SELECT p_retailprice AS c, p_size > 48 AND p_partkey % 7 = 0 AS f, p_retailprice * (1 + p_partkey % 10 / 50.0) AS o, 1 + m / 100.0 AS m FROM part, (SELECT unnest(range(0, 301)) AS m)),
+p AS (SELECT m, count_if(f AND c * m <= 1100) AS false_admits, avg(CASE WHEN NOT f THEN CASE WHEN c * m >= o THEN 1 ELSE 0 END END) AS coverage FROM g GROUP BY m) SELECT round(m, 6) AS m, false_admits, round(coverage, 9) AS coverage FROM p ORDER BY false_admits, coverage DESC, m LIMIT 1""")
 def multiplier_scan_301(t):
-    """`multiplier_scan` over the reference's 301 candidates; its SQL is held to 31."""
+    """`multiplier_scan` over the reference's 301 candidates."""
     failed = (F.col("p_size") > 48) & (F.col("p_partkey") % 7 == 0)
     out = M.multiplier_scan(t.part, F.col("p_retailprice"), failed, F.col("p_retailprice") * (F.col("p_partkey") % 10 / 50.0 + 1), 1100, [1 + k / 100 for k in range(301)])
     return out.select(F.round("m", 6).alias("m"), "false_admits", F.round("coverage", 9).alias("coverage"))
@@ -119,7 +119,7 @@ def fold_membership(t):
 @query("""WITH a AS (SELECT a.p_brand, avg(CASE WHEN sign(a.p_size - b.p_size) = sign(a.p_retailprice - b.p_retailprice) THEN 1 ELSE 0 END) AS acc FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_retailprice <> b.p_retailprice GROUP BY a.p_brand),
 r AS (SELECT p_brand, greatest(0, 1 - arg_max(p_retailprice, struct_pack(a := p_size, b := -p_partkey)) / max(p_retailprice)) AS regret FROM part GROUP BY p_brand) SELECT a.p_brand, round(acc, 9) AS accuracy, round(regret, 9) AS regret, acc >= 0.5 AND regret <= 0.09 AS passed FROM a JOIN r ON a.p_brand = r.p_brand""")
 def ranking_acceptance(t):
-    acc = W.pairwise_accuracy(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey")
+    acc = W.pairwise_accuracy(t.part, ["p_brand"], "p_size", "p_retailprice")
     both = acc.join(W.top_regret(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey"), "p_brand")
     passed = N.all_pass([N.gate("accuracy", F.col("accuracy"), ">=", 0.5), N.gate("regret", F.col("regret"), "<=", 0.09)])
     return both.select("p_brand", F.round("accuracy", 9).alias("accuracy"), F.round("regret", 9).alias("regret"), passed.alias("passed"))
@@ -167,20 +167,84 @@ def huber_fit(t):
 
 @query()
 def censored_ridge(t):
-    return _coefficients(t, M.censored_ridge(t.part, {"size": F.col("p_size") / 50}, F.col("p_retailprice") / 1000, F.col("p_partkey") % 5 == 0))
+    return _coefficients(t, M.censored_ridge(t.part, {"size": F.col("p_size") / 50}, F.col("p_retailprice") / 1000, F.col("p_partkey") % 5 == 0, delta=0.2))
 
 
 @query()
 def logistic(t):
     rows = t.labels.join(t.documents.select("doc_id", "n_chars", "source"), "doc_id").withColumn("y", F.col("toxic") == 1)
-    rows = rows.withColumn("w", M.balance(rows, "source", F.col("y")))
-    return _coefficients(t, M.logistic_ridge(rows, {"len": F.log1p("n_chars")}, F.col("y"), F.col("w"), rounds=8))
+    return _coefficients(t, M.logistic_ridge(M.balanced(rows, "source", F.col("y")), {"len": F.log1p("n_chars")}, F.col("y"), F.col("weight"), rounds=8))
 
 
-@query()
+@query("""WITH d AS (SELECT b.p_size / 50.0 - a.p_size / 50.0 AS x, b.p_retailprice - a.p_retailprice AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
+m AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) + 1 AS sxx, sum(x * y) AS sxy FROM d)
+SELECT 'b0' AS term, round((sxx * sy - sx * sxy) / (n * sxx - sx * sx), 5) AS value FROM m UNION ALL SELECT 'b1', round((n * sxy - sx * sy) / (n * sxx - sx * sx), 5) FROM m""")
 def pairwise_ranker(t):
-    pairs = M.pair_deltas(t.part.withColumn("x", F.col("p_size") / 50), "p_brand", "p_partkey", ["x"], "p_retailprice")
-    return _coefficients(t, next(iter(M.gram(pairs, {"x": F.col("x")}, F.col("p_retailprice")).values())).ridge(1.0))
+    g = M.pair_gram(t.part.withColumn("x", F.col("p_size") / 50), "p_brand", "p_partkey", ["x"], "p_retailprice")
+    return _coefficients(t, g.ridge(1.0))
+
+
+@query()
+def nested_cv(t):
+    x = {"size": F.col("p_size") / 50, "size_sq": F.pow(F.col("p_size") / 50, 2), "key": F.col("p_partkey") / 1e4}
+    candidates = {f"{'+'.join(names)}@{alpha}": (names, alpha) for names in (["size"], ["key"], ["size", "key"], ["size", "size_sq", "key"]) for alpha in (1e-6, 10.0)}
+    out = M.nested_cv(t.part, "p_brand", x, F.log(F.col("p_retailprice")), candidates)
+    return out.withColumns({c: F.round(c, 8) for c in ("inner_error", "outer_error")})
+
+
+@query()
+def profiler_calibration(t):
+    points = t.part.where("p_size <= 10").withColumn("role", F.when(F.col("p_partkey") % 3 == 0, "holdout").otherwise("calibration"))
+    x = {"adapter": (F.col("p_partkey") % 2).cast("double"), "gc": (F.col("p_size") % 2).cast("double")}
+    _, out = M.role_calibration(points, "p_partkey", "role", x, F.col("p_retailprice") / 900, F.lit(900.0), F.col("p_retailprice"))
+    return out.groupBy("used_as").agg(F.count("*").alias("n"), F.round(F.avg("error"), 8).alias("mape"))
+
+
+_TAIL = """r AS (SELECT p_brand, p_type, p_retailprice - 1000 AS v, p_size >= 45 AS cens FROM part), g AS (SELECT * FROM r WHERE NOT cens),
+a AS (SELECT p_brand, p_type, v, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY v) AS i, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM g), b AS (SELECT p_type, v, row_number() OVER (PARTITION BY p_type ORDER BY v) AS i, count(*) OVER (PARTITION BY p_type) AS n FROM g),
+c AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM g),
+t0 AS (SELECT p_brand, p_type, max(n) AS n0, max(CASE WHEN i = ceil((n + 1) * 0.9::DECIMAL(9, 6)) THEN v END) AS t0 FROM a GROUP BY ALL), t1 AS (SELECT p_type, max(n) AS n1, max(CASE WHEN i = ceil((n + 1) * 0.9::DECIMAL(9, 6)) THEN v END) AS t1 FROM b GROUP BY ALL),
+t2 AS (SELECT max(CASE WHEN i = ceil((n + 1) * 0.9::DECIMAL(9, 6)) THEN v END) AS t2 FROM c), f AS (SELECT p_brand, p_type, greatest(0, max(v)) AS oom_floor FROM r WHERE cens GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TAIL}, k AS (SELECT DISTINCT p_brand, p_type FROM r), j AS (SELECT k.p_brand, k.p_type, CASE WHEN n0 >= 20 AND t0 IS NOT NULL THEN 0 WHEN n1 >= 20 AND t1 IS NOT NULL THEN 1 ELSE 2 END AS level, t0, t1, t2, oom_floor FROM k LEFT JOIN t0 ON k.p_brand = t0.p_brand AND k.p_type = t0.p_type LEFT JOIN t1 ON k.p_type = t1.p_type LEFT JOIN f ON k.p_brand = f.p_brand AND k.p_type = f.p_type, t2),
+l AS (SELECT p_brand, p_type, level, greatest(0, CASE level WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END) AS tail, oom_floor FROM j) SELECT p_brand, p_type, level, tail, oom_floor, greatest(tail, coalesce(oom_floor, 0)) AS guard FROM l""")
+def memory_tails(t):
+    rows = t.part.select("p_brand", "p_type", (F.col("p_retailprice") - 1000).alias("v"), "p_size")
+    return M.memory_tails(rows, "p_brand", "p_type", "v", F.col("p_size") >= 45, "0.9", 20)
+
+
+@query("""SELECT p_brand, p_size, count(*) AS replicates, round(median(p_retailprice * 1.1), 6) AS predicted_upper, 1800.0::DOUBLE AS safe_limit, round(median(p_retailprice), 6) AS observed, round(median(p_partkey * 2.0::DOUBLE), 6) AS rate, round(median(p_partkey * 2.5::DOUBLE), 6) AS predicted_rate,
+round(median(p_partkey * 2.5::DOUBLE / 1.25::DOUBLE), 6) AS predicted_rate_lower, bool_or(p_partkey % 11 = 0) AS failed, median(p_retailprice * 1.1) <= 1800 AS admitted, NOT bool_or(p_partkey % 11 = 0) AND median(p_retailprice) <= 1800 AS safe FROM part GROUP BY p_brand, p_size""")
+def joint_candidates(t):
+    rows = t.part.select(
+        "p_brand", "p_size", F.when(F.col("p_partkey") % 11 == 0, "oom").otherwise("success").alias("outcome"), (F.col("p_retailprice") * 1.1).alias("upper"), F.lit(1800.0).alias("limit"), "p_retailprice",
+        (F.col("p_partkey") * 2.0).alias("rate"), (F.col("p_partkey") * 2.5).alias("predicted"),
+    )
+    out = M.joint_candidates(rows, ["p_brand", "p_size"], "outcome", "upper", "limit", "p_retailprice", "rate", "predicted", 1.25)
+    return out.withColumns({c: F.round(c, 6) for c in ("predicted_upper", "observed", "rate", "predicted_rate", "predicted_rate_lower")})
+
+
+@query()
+def theory_calibration(t):
+    x = {"size": F.col("p_size") / 50, "key": F.col("p_partkey") / 1e4}
+    out = M.theory_calibration(t.part, scenario="p_brand", selector="p_brand", mode="p_type", features=x, target="p_retailprice", censored=F.col("p_size") >= 45, coverage="0.9", least=20)
+    covered = (F.col("p_size") < 45) & (F.col("p_retailprice") <= F.col("upper"))
+    return out.groupBy("p_type").agg(F.count("*").alias("n"), F.round(F.sum(covered.cast("int")) / F.count_if(F.col("p_size") < 45), 4).alias("coverage"), F.count_if((F.col("p_size") >= 45) & (F.col("upper") < F.col("p_retailprice"))).alias("false_safe"))
+
+
+@query("""WITH x AS (SELECT p_partkey, CAST(pow(2, p_size % 3) AS BIGINT) AS g, p_partkey % 4 AS z, p_retailprice AS w, p_size % 2 AS gc, 1 + p_size % 4 AS mbs FROM part), c AS (SELECT *, NOT (g = 1 AND z >= 2) AS ok, 2000 + 12 * w + 500 * mbs - 1500 * gc AS m FROM x)
+SELECT p_partkey, ok AS feasible, CASE WHEN ok THEN round(m, 6) END AS center, CASE WHEN ok THEN round(m + 900, 6) END AS upper, coalesce(ok AND m + 900 + 800 < 18000, false) AS admitted, CASE WHEN ok THEN round(exp(6 + 0.3 * mbs - 0.1 * gc), 6) END AS rate,
+CASE WHEN NOT ok THEN 'sharding_needs_cards' WHEN m > 40000 THEN 'beyond_fit' WHEN m + 900 + 800 >= 18000 THEN 'too_close_to_limit' END AS note, CASE WHEN ok AND mbs NOT IN (1, 2, 4) THEN 'mbs' ELSE '' END AS outside FROM c""")
+def compact_prediction(t):
+    mbs, gc = (F.col("p_size") % 4 + 1), (F.col("p_size") % 2)
+    x = {"w": F.col("p_retailprice"), "mbs": mbs, "gc": gc}
+    c = M.compact_prediction(
+        x, {"1": 2000.0, "w": 12.0, "mbs": 500.0, "gc": -1500.0}, {"1": 6.0, "mbs": 0.3, "gc": -0.1}, cards=F.pow(F.lit(2), F.col("p_size") % 3).cast("long"), stage=F.col("p_partkey") % 4,
+        margin=900.0, card_memory=18000.0, trained={"mbs": (mbs, (1, 2, 4))},
+    )
+    rounded = {k: F.round(c[k], 6) for k in ("center", "upper", "rate")} | {"outside": F.array_join(c["outside"], ",")}
+    return t.part.select("p_partkey", *((rounded.get(k, v)).alias(k) for k, v in c.items()))
 
 
 @query()

@@ -34,6 +34,16 @@ def shortlist_topk(t):
     return W.shortlist(rows, ["p_brand"], "cards", [F.col("p_retailprice").desc(), F.col("p_partkey")], 6).drop("p_retailprice")
 
 
+@query("""WITH k AS (SELECT DISTINCT p_brand, CAST(pow(2, p_size % 3) AS BIGINT) AS gpu, p_partkey % 3 AS z, p_size % 2 AS gc, 1 + p_size % 4 AS mbs FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, gpu ORDER BY gc, z, mbs DESC, gpu) AS c, row_number() OVER (PARTITION BY p_brand, gpu, z, gc ORDER BY gc, z, mbs DESC, gpu) AS s, row_number() OVER (PARTITION BY p_brand ORDER BY gc, z, mbs DESC, gpu) AS o FROM k),
+t AS (SELECT *, max(CASE WHEN c = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand, gpu, z, gc) AS taken FROM r), u AS (SELECT *, CASE WHEN c = 1 THEN 0 WHEN s = 1 AND taken = 0 THEN 1 ELSE 2 END AS tier FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY tier, CASE WHEN tier = 0 THEN gpu ELSE 0 END, o) AS place FROM u), n AS (SELECT p_brand, count(DISTINCT gpu) AS n FROM k GROUP BY p_brand)
+SELECT p.p_brand, gpu, z, gc, mbs, tier, place FROM p JOIN n ON p.p_brand = n.p_brand WHERE place <= greatest(5, n)""")
+def bounded_shortlist(t):
+    keys = t.part.select("p_brand", F.pow(F.lit(2), F.col("p_size") % 3).cast("long").alias("gpu"), (F.col("p_partkey") % 3).alias("z"), (F.col("p_size") % 2).alias("gc"), (F.col("p_size") % 4 + 1).alias("mbs")).distinct()
+    return W.bounded_shortlist(keys, ["p_brand"], "gpu", ["gpu", "z", "gc"], [F.col("gc"), F.col("z"), F.col("mbs").desc(), F.col("gpu")], 5)
+
+
 _POINTS = "p AS (SELECT p_brand, CAST(pow(2, p_size % 5) AS INTEGER) AS cards, avg(p_retailprice) * pow(1.75, p_size % 5) AS v FROM part GROUP BY p_brand, p_size % 5)"
 
 
@@ -78,7 +88,7 @@ def spearman_ordinal(t):
 @query("""SELECT a.p_brand, count(*) AS pairs, CAST(sum(CASE WHEN sign(a.p_size - b.p_size) = sign(a.p_retailprice - b.p_retailprice) THEN 1 ELSE 0 END) AS BIGINT) AS correct, round(avg(CASE WHEN sign(a.p_size - b.p_size) = sign(a.p_retailprice - b.p_retailprice) THEN 1 ELSE 0 END), 9) AS accuracy
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_retailprice <> b.p_retailprice GROUP BY a.p_brand""")
 def pairwise_accuracy(t):
-    return W.pairwise_accuracy(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey").withColumn("accuracy", F.round("accuracy", 9))
+    return W.pairwise_accuracy(t.part, ["p_brand"], "p_size", "p_retailprice").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("""WITH s AS (SELECT p_brand, arg_max(p_retailprice, struct_pack(a := p_size, b := -p_partkey)) AS sel, max(p_retailprice) AS best FROM part GROUP BY p_brand) SELECT p_brand, round(greatest(0, 1 - sel / best), 9) AS regret, greatest(0, 1 - sel / best) <= 0.1 AS hit FROM s""")

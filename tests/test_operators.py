@@ -59,6 +59,9 @@ def test_waves():
         G.mixed_waves([("a", 4), ("b", 2)], 5)
     assert G.unbounded_fill(6, [4, 2]) == [4, 2]
     assert G.first_fit_masks([("a", 2), ("b", 1), ("c", 2)], [0, 1, 2]) == [[("a", [0, 1]), ("b", [2])], [("c", [0, 1])]]
+    assert G.first_fit_masks([("a", 1), ("b", 4), ("c", 2)], [0, 1, 2, 3]) == [[("b", [0, 1, 2, 3])], [("c", [0, 1]), ("a", [2])]]
+    assert G.first_fit_masks([("a", 1), ("b", 2, True), ("c", 1)], [0, 1, 2, 3]) == [[("a", [0]), ("c", [1])], [("b", [0, 1])]]
+    assert G.first_fit_masks([("a", 1), ("b", 2)], [0, 1, 2, 3], in_order=True) == [[("a", [0]), ("b", [2, 3])]]
 
 
 def test_expected_batch_max(spark):
@@ -130,7 +133,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert (r["gpu_index"], r["power"], r["clock"], r["thermal_limit"]) == (0, None, 1500.0, None)
     log = tmp_path / "a.log"
     log.write_text("one\ntwo\nthree\n")
-    assert readers.log_tail(spark, str(log), 8).first()["tail"] == "three\n"
+    assert readers.log_tail(spark, str(log), str(tmp_path), 8).first()["tail"] == "three\n"
+    for outside in (f"{tmp_path}/../a.log", f"{tmp_path}x/a.log", "/etc/hosts"):
+        with pytest.raises(ValueError):
+            readers.log_tail(spark, outside, str(tmp_path))
     sinks.write_report({"b": 1}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"b": 1}
     nested_rows = spark.createDataFrame([(1, [1, 2])], "a int, b array<int>")
@@ -161,3 +167,208 @@ def test_states_and_fences(spark):
     assert inc.fenced(rows, "job_id", "time_unix", F.col("event") == "train_begin").count() == 2
     states = spark.createDataFrame([("a", 1, 1, "running"), ("a", 2, 2, "success"), ("a", 3, 3, "failed"), ("b", 1, 1, None)], "job string, t int, o int, s string")
     assert {r["job"]: r["state"] for r in inc.latest_states(states, "job", "s", "t", "o").collect()} == {"a": "success", "b": "planned"}
+
+
+def test_telemetry_takes_whole_numbers_only(spark):
+    texts = ["12abc", "1e5", " 3.5 ", "N/A", "[Not Supported]", "", "12 W", "-.5", "nan", "12d", None]
+    got = [r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strings.maybe_number(F.col("t")).alias("v")).collect()]
+    assert [None if v is None or v != v else v for v in got] == [None, 100000.0, 3.5, None, None, None, None, -0.5, None, None, None] and got[8] != got[8]
+
+
+def test_ids_are_those_of_canonical_json(spark):
+    import hashlib
+
+    payload = {"b": 1, "a": "é", "c": None, "d": True}
+    want = hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    parts = {"b": F.lit(1), "a": F.lit("é"), "c": F.lit(None).cast("string"), "d": F.lit(True)}
+    r = spark.range(1).select(strings.stable_id("run", **parts).alias("x"), strings.stable_id("run", 8, **dict(reversed(parts.items()))).alias("y")).first()
+    assert (r["x"], r["y"]) == (f"run-{want[:16]}", f"run-{want[:8]}")
+
+
+def test_phases_and_categories(spark):
+    jobs = [("preflight-1", "throughput", "preflight"), ("h800val-2", "", "validation"), ("x", "smoke", "validation"), ("mem-1", None, "memory"), ("packoff-1", "", "packing"), ("prof-1", "", "profiler"), ("scale-1", "throughput", "scaling"), ("tputd-1", "", "throughput"), (None, None, "other")]
+    got = spark.createDataFrame([(i, k) for i, k, _ in jobs], "i string, k string").select(strings.job_phase(F.col("i"), F.col("k")).alias("p")).collect()
+    assert [r["p"] for r in got] == [p for _, _, p in jobs]
+    rows = spark.createDataFrame([(100.0, 512.0, 900.0), (1000.0, 1500.0, 1750.0), (9000.0, 9500.0, 9900.0), (1000.0, 1200.0, 1500.0), (0.5, 513.0, 600.0)], "a double, b double, c double")
+    assert [r["x"] for r in rows.select(strings.length_category(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()] == ["short", "longtail", "longcontext", "multiturn", "longtail"]
+
+
+def test_vision_tower_by_hand(spark):
+    small = dict(depth=1, hidden=2, inner=3, out=5, patch=2, merge=2, temporal=2, channels=3)
+    plain, gated = numeric.vision_tower(**small, positions=7, taps=2), numeric.vision_tower(**small, gated=True)
+    r = spark.range(1).select(*(c.alias(f"p_{k}") for k, c in plain.items()), *(c.alias(f"g_{k}") for k, c in gated.items())).first()
+    # patches 3*2*2*2*2; block 4*4+4*2, feed-forward 2*2*3+3+2, norms 8; merger 16 + 64+8 + 40+5
+    assert (r["p_patch_embed"], r["p_blocks"], r["p_merger"], r["p_positions"], r["p_tap_mergers"], r["p_total"]) == (48, 49, 133, 14, 266, 510)
+    assert (r["g_blocks"], r["g_merger"], r["g_total"]) == (24 + (2 * (6 + 3) + 6 + 2) + 4, 2 + 72 + 45, 48 + 54 + 119)
+
+
+def test_memory_components_by_hand(spark):
+    g = {"loaded": 1000, "trainable": 100, "hidden": 4, "inner": 8, "kv": 2, "layers": 3, "heads": 2, "vocab": 10, "module": 50, "persistent": 7}
+    out = {}
+    for stage in range(4):
+        c = numeric.memory_components(g, cards=F.lit(2), micro=F.lit(1), cutoff=F.lit(5), stage=F.lit(stage), checkpointing=F.lit(stage == 3))
+        out[stage] = spark.range(1).select(*(v.alias(k) for k, v in c.items())).first().asDict()
+    assert [out[s]["parameters"] for s in range(4)] == [2000, 2000, 2000, 1000] and [out[s]["optimizer"] for s in range(4)] == [1200, 600, 600, 600]
+    assert out[0]["saved"] == 5 * 3 * (24 + 4 + 24) * 2 and out[3]["saved"] == 5 * 3 * 4 * 2 and out[3]["recompute"] == 5 * 52 * 2
+    assert out[1]["attention"] == 5 * 12 * 2 + 5 * 2 * 4 and out[1]["collective"] == 200 and out[3]["live"] == 1000 * 2 * 0.5 and out[0]["collective"] == 0
+
+
+def test_classes_weigh_the_same(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1), ("b", 1), ("b", 0), ("c", 0)], "s string, y int")
+    got = M.balanced(rows, "s", F.col("y") == 1).collect()
+    assert sum(r["weight"] for r in got if r["y"] == 1) == pytest.approx(0.5) == sum(r["weight"] for r in got if r["y"] == 0)
+    one = {(r["s"], r["y"]): r["weight"] for r in got}
+    assert one["a", 1] / one["b", 1] == pytest.approx(3 / 2)
+
+
+def test_censored_ridge_against_a_plain_fit(spark):
+    r = np.random.default_rng(2)
+    x, cens = r.normal(size=60), r.random(60) < 0.3
+    y = 1 + 2 * x + r.normal(size=60) * 0.3
+    y[5] += 9
+    df = spark.createDataFrame([(float(a), float(b), bool(c)) for a, b, c in zip(x, y, cens, strict=True)], "x double, y double, c boolean")
+    got = M.censored_ridge(df, {"x": F.col("x")}, F.col("y"), F.col("c"), alpha=0.5, delta=0.4)
+    design, penalty = np.column_stack([np.ones(60), x]), np.diag([0, 0.5])
+    solve = lambda w: np.linalg.solve(design.T @ (w[:, None] * design) + penalty, design.T @ (w * y))
+    b, active = solve((~cens).astype(float)), None
+    for _ in range(100):
+        p = design @ b
+        on = cens & (p < y)
+        w = np.where(~cens | on, np.minimum(1, 0.4 / np.maximum(np.abs(p - y), 1e-12)), 0)
+        new = solve(w)
+        done = active is not None and (active == on).all() and np.abs(new - b).max() < 1e-9
+        b, active = new, on
+        if done:
+            break
+    assert got == pytest.approx(b, abs=1e-7)
+
+
+def test_pairs_are_counted_not_formed(spark):
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        p, o, w = r.integers(0, 9, n).astype(float), r.integers(0, 9, n).astype(float), r.integers(1, 4, n)
+        rows = [(a, b) for a, b, k in zip(p, o, w, strict=True) for _ in range(k)]
+        pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[1] != y[1]]
+        assert W.ordered_pairs(p, o, w) == (len(pairs), sum((x[0] - y[0]) * (x[1] - y[1]) > 0 for x, y in pairs))
+    rows = [(int(g), i, float(a), float(b), float(c)) for i, (g, a, b, c) in enumerate(zip(r.integers(0, 3, 30), r.normal(size=30), r.normal(size=30), r.normal(size=30), strict=True))]
+    g = M.pair_gram(spark.createDataFrame(rows, "s int, i int, a double, b double, y double"), "s", "i", ["a", "b"], "y")
+    deltas = np.array([np.subtract(v[2:], u[2:]) for u in rows for v in rows if u[0] == v[0] and u[1] < v[1]])
+    z = np.column_stack([np.ones(len(deltas)), deltas[:, :2]])
+    assert np.allclose(g.xx, z.T @ z) and np.allclose(g.xy, z.T @ deltas[:, 2]) and g.weight == len(deltas)
+
+
+def test_nested_cv_against_plain_loops(spark):
+    r = np.random.default_rng(5)
+    src = np.repeat([f"s{k}" for k in range(8)], r.integers(6, 14, 8))
+    x1, x2 = r.normal(size=len(src)), r.normal(size=len(src))
+    y = 0.5 + 0.8 * x1 + 0.1 * r.normal(size=len(src))
+    df = spark.createDataFrame([(s, float(a), float(b), float(c)) for s, a, b, c in zip(src, x1, x2, y, strict=True)], "s string, a double, b double, y double")
+    options = {"a": (["a"], 1e-6), "b": (["b"], 1e-6), "ab": (["a", "b"], 5.0)}
+    got = {row["outer_fold"]: row for row in M.nested_cv(df, "s", {"a": F.col("a"), "b": F.col("b")}, F.col("y"), options, outer=3, inner=2).collect()}
+    columns = {"a": x1, "b": x2}
+
+    def folds(names, k):
+        load, out = [0] * k, {}
+        for s in sorted(names, key=lambda s: (-(src == s).sum(), s)):
+            at = min(range(k), key=lambda i: (load[i], i))
+            out[s] = at
+            load[at] += (src == s).sum()
+        return out
+
+    def errors(train, test, name):
+        chosen, alpha = options[name]
+        z = np.column_stack([np.ones(len(src)), *(columns[c] for c in chosen)])
+        b = np.linalg.solve(z[train].T @ z[train] + np.diag([0.0] + [alpha] * len(chosen)), z[train].T @ y[train])
+        return np.abs(np.exp(z[test] @ b - y[test]) - 1)
+
+    outer = folds(set(src), 3)
+    for o in range(3):
+        held = np.array([outer[s] == o for s in src])
+        inner = folds({s for s in src if outer[s] != o}, 2)
+        scores = {}
+        for name in options:
+            e, who = [], []
+            for i in range(2):
+                test = np.array([inner.get(s) == i for s in src])
+                e.append(errors(~held & ~test, test, name))
+                who.append(src[test])
+            e, who = np.concatenate(e), np.concatenate(who)
+            scores[name] = np.mean([e[who == s].mean() for s in set(who)])
+        best = min(scores, key=scores.get)
+        e = errors(~held, held, best)
+        assert got[o]["candidate"] == best and got[o]["inner_error"] == pytest.approx(scores[best]) and got[o]["outer_error"] == pytest.approx(np.mean([e[src[held] == s].mean() for s in set(src[held])]))
+
+
+def test_calibration_by_role(spark):
+    rows = [("c1", "calibration", 0.0, 0.0, 100.0), ("c2", "calibration", 1.0, 0.0, 210.0), ("h1", "holdout", 0.0, 1.0, 120.0), ("h2", "holdout", 1.0, 1.0, 250.0), ("x", "other", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, role string, a double, g double, seen double")
+    beta, out = M.role_calibration(df, "id", "role", {"a": F.col("a"), "g": F.col("g")}, F.col("seen") / 100, F.lit(100.0), F.col("seen"))
+    used = {r["id"]: r["used_as"] for r in out.collect()}
+    assert used == {"c1": "calibration", "c2": "calibration", "h2": "fallback_calibration", "h1": "holdout"}  # both raise the rank; the last id wins
+    assert beta == pytest.approx([0, np.log(2.1), np.log(250 / 210)], abs=1e-4)
+    with pytest.raises(ValueError):
+        M.role_calibration(df.limit(1), "id", "role", {"a": F.col("a")}, F.col("seen") / 100, F.lit(100.0), F.col("seen"))
+
+
+def test_batches_must_not_collide(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
+    with pytest.raises(ValueError, match="collides"):
+        R.disjoint_union({"a": a, "b": b}, "k")
+    assert R.disjoint_union({"a": a, "b": b.where("k = 3")}, "k").count() == 3
+
+
+def test_capped_conversations(spark):
+    m = [{"role": "system", "content": "s " * 50}, {"role": "user", "content": "u " * 100}, {"role": "assistant", "content": "a " * 100}]
+    df = spark.createDataFrame([(m,)], "m array<struct<role:string,content:string>>")
+    for cap, want in ((250, (50, 100, 100)), (200, (50, 50, 100)), (170, (38, 32, 100)), (100, (32, 32, 36)), (95, None)):
+        r = df.select(nested.capped(F.col("m"), cap).alias("m")).first()["m"]
+        assert (None if r is None else tuple(len(x["content"].split()) for x in r)) == want, cap
+
+
+def test_tail_by_bytes(spark, tmp_path):
+    log, gone = tmp_path / "log", str(tmp_path / "none")
+    cursors: dict = {}
+
+    def poll(content: bytes | None = None, **options):
+        nonlocal cursors
+        if content is not None:
+            log.write_bytes(content)
+        rows, cursors = inc.new_lines(spark, [str(log), gone], cursors, **options)
+        return [(r["offset"], r["line"]) for r in rows.orderBy("offset").collect()]
+
+    assert poll(b"one\n\ntw") == [(0, "one")]
+    assert poll() == []
+    assert poll(b"one\n\ntwo\nthree\n") == [(5, "two"), (9, "three")]
+    assert poll(b"x\n") == [(0, "x")]  # cut short
+    assert poll(b"new\nrotated and longer\n") == [(0, "new"), (4, "rotated and longer")]  # another file in its place
+    assert poll(b"new\nrotated and longer\n" + b"long line\n" * 3, most=4) == [(23, "long line")]  # more waits for the next call
+    assert poll(most=1000) == [(33, "long line"), (43, "long line")]
+
+
+def test_loops_keep_errors_and_beat():
+    found = iter([3, ValueError("broken"), 5])
+
+    def scan():
+        x = next(found)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    waits: list = []
+    assert inc.poll(scan, 3, 2.0, waits.append) == [(3, None), (0, "ValueError: broken"), (5, None)] and waits == [2.0, 2.0]
+    now, revisions = [0.0], iter([1, 1, 1, 2, 2, 2, 2])
+
+    def sleep(s):
+        now[0] += s
+
+    said = list(inc.changes(lambda: next(revisions), 7, 8.0, 15.0, lambda: now[0], sleep))
+    assert said == [("revision", 1), ("heartbeat", 1), ("revision", 2), ("heartbeat", 2)]
+
+
+def test_named_files_and_linked_views(spark, tmp_path):
+    from gantry.sources import files
+
+    rows = spark.createDataFrame([("a/x.txt", 2, "two"), ("a/x.txt", 1, "one"), ("b=1.txt", 1, "é")], "name string, n int, value string")
+    files.write_named(rows.repartition(3), str(tmp_path / "out"), "n")
+    assert (tmp_path / "out" / "a" / "x.txt").read_text() == "one\ntwo\n" and (tmp_path / "out" / "b=1.txt").read_text() == "é\n"
+    assert files.read_range(spark, str(tmp_path / "out" / "a" / "x.txt"), 2, 4) == b"e\ntw" and files.length(spark, str(tmp_path / "none")) is None
