@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gantry.session import materialise, shared_dir
 
 __all__ = [
-    "CHUNK_BYTES", "add_columns", "byte_chunks", "materialise", "mix64", "plain_columns", "shared_dir", "word_hashes",
+    "BATCH_BYTES", "CHUNK_BYTES", "add_columns", "byte_chunks", "materialise", "mix64", "packed", "resident", "shared_dir", "text_batches", "unpacked", "whole_groups", "word_hashes",
 ]
 
-#: Bytes of text that are vectorised at a time; arrays of eight bytes a byte stay small. One text is never cut.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a task holds unpacked at a time, and that are vectorised at a time, where arrays take eight bytes a byte. One text is never cut.
+BATCH_BYTES, CHUNK_BYTES = 1 << 22, 1 << 18
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -106,14 +109,71 @@ def word_hashes(buffer: np.ndarray, start: np.ndarray, values: np.ndarray = LOWE
     return span_hash(prefix_hash(buffer, values), s, e), np.searchsorted(start, s, side="right") - 1
 
 
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, make: Callable[[], object]):
+    """The one large model that a worker process keeps from task to task; asking for another one lets it go."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], *names: str, limit: int = BATCH_BYTES, keeps: Hashable = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes in the named columns, one row at least; `keeps` is the resident model to keep."""
+    if keeps not in _resident:
+        _resident.clear()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for name in names:
+            size += pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+    release()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows sorted by `keys` in tables that end where a group ends. A group is held whole: its size must be bounded by construction."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        if len(ends):
+            cut = int(ends[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+    release()
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: Callable | None = None) -> DataFrame:
-    """`df` with more columns, made batch by batch with Arrow.
+def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str, keep: Callable | None = None) -> DataFrame:
+    """`df` with more columns, made with Arrow from batches that are small in the column `text`.
 
     `make()` runs once a task and returns the function from a batch to the new arrays; columns of the same names
     are replaced. `keep(batch, arrays)` may give a mask of rows to keep; then the new columns are left out.
@@ -121,25 +181,29 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
     from pyspark.sql.pandas.types import to_arrow_type
 
     names = [f.name for f in fields]
-    base = df.drop(*names) if keep is None else df
+    base = df.drop(*(n for n in names if n != text)) if keep is None else df
     kinds = [to_arrow_type(f.dataType) for f in fields]
-    schema = T.StructType([*base.schema.fields, *fields]) if keep is None else base.schema
+    stay = [c for c in base.columns if keep is not None or c not in names]
+    schema = T.StructType([*(base.schema[c] for c in stay), *fields]) if keep is None else base.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_batches(batches, text):
             new = f(batch)
             if keep is not None:
                 yield batch.filter(pa.array(keep(batch, new), type=pa.bool_()))
                 continue
             arrays = [a if isinstance(a, pa.Array) and a.type == k else pa.array(a, type=k) for a, k in zip(new, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stay), *arrays], names=[*stay, *names])
 
     return base.mapInArrow(run, schema)
 
 
-def plain_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with an operator's own."""
-    return df.select(*names)
+def packed(df: DataFrame, **own: Column | str) -> DataFrame:
+    """All columns of `df` as one struct `row`, beside an operator's own columns: no names can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *((F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in own.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The struct's `columns` again, those in `new` replaced or added."""
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns), *(v.alias(n) for n, v in new.items() if n not in columns))
