@@ -1,35 +1,48 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become words: lower case, ASCII punctuation as white space. A document that shares a run of `min_match` words
-(a seed) with a benchmark item is tiled against it: the longest common runs that don't overlap are marked again and
-again, found by a running Karp-Rabin scan whose search length falls to `min_match`. The share of the item's words
-under tiles is its coverage; at `threshold` or more the document is contaminated, in whatever order the passages are.
+Texts become words: lower case, ASCII punctuation as white space. Runs of `min_match` words of the benchmark items
+(seeds) are joined with those of the documents by their hashes: the benchmark, a bounded block of it at a time, goes to
+every task as a sorted table of hashes, so that documents are not shuffled. An item that is to be covered must have a
+certain number of its seeds in the document, so it is looked up by its rarer seeds alone (as many as that number leaves
+no way around) and the number is checked on all of them: seeds that very many items share bring no candidates.
+
+A candidate's text is tiled against it: the longest common runs that don't overlap are marked again and again, found by
+a running Karp-Rabin scan whose search length falls to `min_match`. The share of the item's words under tiles is its
+coverage; at `threshold` or more the document is contaminated, in whatever order the passages are.
 
 Cases: null or empty texts and items match nothing; an item with fewer than `min_match` words counts only as a whole;
-repeated items and rows each give their own row; an empty benchmark gives an empty result.
+repeated items and rows each give their own row; an empty benchmark gives an empty result; ids are of any type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from string import punctuation
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.llm.common import column_bytes
+from gantry.llm.common import BYTE_VALUES, byte_chunks, column_bytes, mix64, text_batches, word_hashes
 
 _TO_SPACE = bytes(32 if chr(i) in punctuation else i for i in range(256))
 _MODULUS, _BASE = (1 << 61) - 1, 1_000_003
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark goes over the documents in several blocks.
-BLOCK_BYTES = 32 << 20
+_U = np.uint64
+#: Bytes of benchmark text that are broadcast at once, with tables of about twice that; a larger benchmark goes over the documents in several blocks.
+BLOCK_BYTES = 16 << 20
 
 
-def words_of(text: str | bytes) -> list[bytes]:
+def normal(text: str | bytes) -> bytes:
+    """Lower case, ASCII punctuation as white space."""
     text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
-    return text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
+    return text.lower().encode("utf-8", "replace").translate(_TO_SPACE)
+
+
+def words_of(text: str | bytes) -> list[bytes]:
+    return normal(text).split()
 
 
 def _free_runs(marked: list[bool], length: int) -> Iterable[tuple[int, int]]:
@@ -93,91 +106,167 @@ def tiles(item: list[bytes], text: list[bytes], min_match: int, first_length: in
         length = length // 2 if length > 2 * min_match else min_match
 
 
-def seeds_of(items: dict[int, list[bytes]], min_match: int) -> dict[int, dict[tuple, set[int]]]:
-    """For each seed length the seeds and the items that hold them; short items are their own seed."""
-    out: dict[int, dict[tuple, set[int]]] = {}
-    for k, words in items.items():
-        n = min(min_match, len(words))
-        if n:
-            for i in range(len(words) - n + 1):
-                out.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).add(k)
-    return out
-
-
-def candidates(words: list[bytes], seeds: dict[int, dict[tuple, set[int]]]) -> set[int]:
-    """Items that share a seed with the words."""
-    out: set[int] = set()
-    for n, table in seeds.items():
-        if not table.keys().isdisjoint(zip(*(words[k:] for k in range(n)))):
-            for gram in zip(*(words[k:] for k in range(n))):
-                out |= table.get(gram, set())
-    return out
+def runs_of(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and owner of each run of n neighbouring words of one owner."""
+    if len(words) < n:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    code = mix64(words[: len(words) - n + 1])
+    for k in range(1, n):
+        code = mix64(code * _U(3) + words[k : len(words) - n + 1 + k])
+    inside = owner[: len(owner) - n + 1] == owner[n - 1 :]
+    return code[inside], owner[: len(owner) - n + 1][inside]
+
+
+@dataclass
+class SeedTable:
+    """Seeds of n words of some items: the sorted hashes of those that items are looked up by, and all seeds of every item."""
+
+    n: int
+    codes: np.ndarray  # of lookup seeds, ascending, each once
+    begin: np.ndarray  # where the items of each begin in `items`
+    items: np.ndarray
+    all_codes: np.ndarray  # item after item
+    all_begin: np.ndarray
+    need: np.ndarray  # seeds that an item must have in a document
+
+    @classmethod
+    def of(cls, n: int, code: np.ndarray, owner: np.ndarray, n_items: int, words: np.ndarray, threshold: float) -> SeedTable:
+        all_begin = np.searchsorted(owner, np.arange(n_items + 1))
+        total = np.diff(all_begin)
+        cover = np.maximum(np.ceil(threshold * words - 1e-9).astype(np.int64), 1)
+        need = np.minimum(-(-cover // n), np.maximum(total, 1))  # tiles of n words, one seed each, have the fewest seeds for what they cover
+        _, which, times = np.unique(code, return_inverse=True, return_counts=True)
+        order = np.lexsort((times[which], owner))  # an item's seeds, the rarest first
+        place = np.arange(len(code)) - all_begin[owner]
+        by = order[place < (total - need + 1)[owner]]
+        by = by[np.lexsort((owner[by], code[by]))]
+        codes, begin = np.unique(code[by], return_index=True)
+        return cls(n, codes, np.append(begin, len(by)), owner[by].astype(np.int32), code, all_begin, need)
+
+    def candidates(self, code: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Pairs of text and item, each once, from hash and text of the seeds of some texts."""
+        if not len(self.codes) or not len(code):
+            return np.zeros((0, 2), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[at] == code)
+        if not len(hit):
+            return np.zeros((0, 2), dtype=np.int64)
+        key = np.unique(owner[hit] * len(self.codes) + at[hit])  # a seed counts once in a text
+        text, seed = key // len(self.codes), key % len(self.codes)
+        n = self.begin[seed + 1] - self.begin[seed]
+        item = self.items[np.repeat(self.begin[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pairs = np.unique(np.stack([np.repeat(text, n), item], axis=1), axis=0)
+        ok = np.ones(len(pairs), dtype=bool)
+        of = -1
+        for k, (t, i) in enumerate(pairs.tolist()):
+            if t != of:
+                of, own = t, np.unique(code[owner == t])
+            mine = self.all_codes[self.all_begin[i] : self.all_begin[i + 1]]
+            found = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+            ok[k] = np.count_nonzero(own[found] == mine) >= self.need[i]
+        return pairs[ok]
+
+
+@dataclass
+class Block:
+    """A bounded part of the benchmark with its tables of seeds."""
+
+    ids: list
+    texts: list[bytes]
+    tables: list[SeedTable]
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple], min_match: int, threshold: float) -> Block:
+        texts = [normal(x) for _, x in rows]
+        parts = [(h, first + owner) for first, _, buffer, start, _ in byte_chunks(texts) for h, owner in [word_hashes(buffer, start, BYTE_VALUES)]]
+        words, owner = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        count = np.bincount(owner, minlength=len(texts))
+        tables = []
+        for n in range(1, min_match + 1):
+            own = (count == n) if n < min_match else (count >= n)
+            if own.any():
+                code, of = runs_of(words[own[owner]], owner[own[owner]], n)
+                tables.append(SeedTable.of(n, code, of, len(texts), count, threshold))
+        return cls([k for k, _ in rows], texts, tables, count)
+
+    def candidates(self, texts: list[bytes]) -> dict[int, list[int]]:
+        """The items that each of some normal texts has enough seeds of."""
+        out: dict[int, list[int]] = {}
+        for first, _, buffer, start, _ in byte_chunks(texts):
+            words, owner = word_hashes(buffer, start, BYTE_VALUES)
+            for table in self.tables:
+                for t, i in table.candidates(*runs_of(words, owner, table.n)).tolist():
+                    out.setdefault(first + t, []).append(i)
+        return out
 
 
 def match(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5) -> DataFrame:
     """A row for each document and benchmark item with coverage of `threshold` or more: doc_id, item_id, coverage, n_tiles, n_matched."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     kinds = {"doc_id": docs.schema[doc_id].dataType, "item_id": benchmark.schema[item_id].dataType}
     schema = T.StructType([T.StructField(k, v) for k, v in kinds.items()] + [T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType()), T.StructField("n_matched", T.LongType())])
+    arrow = to_arrow_schema(schema)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def found(batch: pa.RecordBatch, results: list[tuple], block: Block) -> pa.RecordBatch:
+        ids = batch.column(0).to_pylist()
+        out = [(ids[r], block.ids[i], n / int(block.words[i]), len(marks), n) for r, i, marks, n in results]
+        columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     out = None
-    for block in _blocks(benchmark, item_id, item_text):
-        run = _matcher(docs.sparkSession.sparkContext.broadcast(block), min_match, threshold, schema)
+    for block in _blocks(benchmark, item_id, item_text, min_match, threshold):
+        run = _tiler(docs.sparkSession.sparkContext.broadcast(block), "text", min_match, threshold, found, first_only=False)
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterable[list[tuple]]:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int, threshold: float) -> Iterable[Block]:
     """The items in blocks of a bounded size."""
-    size = benchmark.agg(F.sum(F.octet_length(item_text)).alias("n")).first()["n"] or 0
+    rows = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-size // BLOCK_BYTES)
-    rows = benchmark.where(F.col(item_text).isNotNull())
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64(item_text), F.lit(n)) == k) if n > 1 else rows  # each item is in one block
-        yield [(r[0], r[1]) for r in part.select(item_id, item_text).collect()]
-
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows  # each item is in one block
+        yield Block.of([(r[0], r[1]) for r in part.collect()], min_match, threshold)
 
-def _matcher(block, min_match: int, threshold: float, schema: T.StructType, whole_rows: bool = False):
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+def _tiler(shared, text: str, min_match: int, threshold: float, result: Callable, first_only: bool):
+    """For each batch `result(batch, [(row, item, tiles, words)], block)` of the items that reach the threshold; `first_only` stops a text at its first."""
 
     def run(batches):
-        ids = [k for k, _ in block.value]
-        items = {n: words_of(x) for n, (_, x) in enumerate(block.value)}
-        seeds = seeds_of(items, min_match)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = None if whole_rows else batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            found, clean = [], []
-            for r, t in enumerate(column_bytes(batch, "text")):
-                words = words_of(t)
-                bad = False
-                for k in sorted(candidates(words, seeds)):
-                    need = min(min_match, len(items[k]))
-                    marks = tiles(items[k], words, need)
+        block = shared.value
+        for batch in text_batches(batches, text):
+            texts = [normal(t) for t in column_bytes(batch, text)]
+            hits = []
+            for r, items in block.candidates(texts).items():
+                words = texts[r].split()
+                for i in sorted(items):
+                    item = block.texts[i].split()
+                    marks = tiles(item, words, min(min_match, len(item)))
                     n = sum(x for _, _, x in marks)
-                    if n >= threshold * len(items[k]):
-                        bad = True
-                        if not whole_rows:
-                            found.append((docs[r], ids[k], n / len(items[k]), len(marks), n))
-                        else:
+                    if n >= threshold * len(item):
+                        hits.append((r, i, marks, n))
+                        if first_only:
                             break
-                clean.append(not bad)
-            if whole_rows:
-                yield batch.filter(pa.array(clean, type=pa.bool_()))
-            else:
-                columns = list(zip(*found, strict=True)) or [[]] * len(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            yield result(batch, hits, block)
 
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` (its text in `text`) that no benchmark item contaminates; all columns stay."""
-    for block in _blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(block), min_match, threshold, docs.schema, True), docs.schema)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that no benchmark item contaminates; all columns stay."""
+
+    def clean(batch: pa.RecordBatch, results: list[tuple], block: Block) -> pa.RecordBatch:
+        stay = np.ones(batch.num_rows, dtype=bool)
+        stay[[r for r, *_ in results]] = False
+        return batch.filter(pa.array(stay))
+
+    for block in _blocks(benchmark, item_id, item_text, min_match, threshold):
+        docs = docs.mapInArrow(_tiler(docs.sparkSession.sparkContext.broadcast(block), text, min_match, threshold, clean, first_only=True), docs.schema)
     return docs
 
 
