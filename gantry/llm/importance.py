@@ -4,9 +4,9 @@ Words and pairs of words are hashed into a fixed number of buckets. Two generati
 (labelled good and not toxic) and of all rows, give each document the log of its likelihood ratio; with a Gumbel
 variate of its id added, the largest keys are a sample without replacement by importance weight.
 
-Cases: a null or empty text has no features and a weight of 0; null labels count as no label; rows that tie at the
-cut all stay; repeated rows have the same key; an empty table gives an empty result, and with no target row every
-weight is 0.
+Cases: a null or empty text has no features and a weight of 0; null labels count as no label, and so do ids that are
+none of the documents' type; ids are of any type; rows that tie at the cut all stay; repeated rows have the same key;
+an empty table gives an empty result, and with no target row every weight is 0.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.llm.common import add_columns, byte_chunks, column_bytes, materialise, mix64, word_hashes
+from gantry.llm.common import add_columns, byte_chunks, column_bytes, materialise, mix64, text_batches, word_hashes
 
 _U = np.uint64
 
@@ -30,23 +30,23 @@ def features(buffer: np.ndarray, start: np.ndarray, buckets: int) -> tuple[np.nd
     return (np.concatenate([words, pairs]) % _U(buckets)).astype(np.int64), np.concatenate([owner, owner[same]])
 
 
-def target_ids(labels: DataFrame, most: int, doc_id: str = "doc_id") -> tuple[np.ndarray, float]:
-    """Ids of at most `most` target rows (a bounded, documented sample of the labels) and the targets' share of all labels."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    one = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.when(good, 1).otherwise(0)).alias("k")).first()
-    picked = labels.where(good & F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(most).select(F.col(doc_id).cast("long").alias("id")).toArrow()
-    return np.unique(picked.column("id").to_numpy()), ((one["k"] or 0) / one["n"] if one["n"] else 1.0)
+def target_ids(labels: DataFrame, most: int, doc_id: str, kind: T.DataType) -> tuple[DataFrame, float]:
+    """At most `most` distinct target ids as `_target`, of the documents' type (a bounded, documented sample of the labels), and the targets' share of all labels."""
+    labels = labels.select(F.col(doc_id).try_cast(kind).alias("_target"), F.col("quality").alias("q"), F.coalesce("toxic", F.lit(0)).alias("t"))
+    good = (F.col("q") == 1) & (F.col("t") == 0)
+    labels = labels.where(F.col("_target").isNotNull() & F.col("q").isNotNull())
+    one = labels.agg(F.count("*").alias("n"), F.sum(F.when(good, 1).otherwise(0)).alias("k")).first()
+    picked = materialise(labels.where(good).select("_target").distinct().orderBy(F.xxhash64("_target"), "_target").limit(most), "targets")
+    return picked, ((one["k"] or 0) / one["n"] if one["n"] else 1.0)
 
 
-def log_ratios(docs: DataFrame, targets: np.ndarray, *, text: str = "text", doc_id: str = "doc_id", buckets: int = 10_000, smooth: float = 1.0) -> np.ndarray:
+def log_ratios(docs: DataFrame, targets: DataFrame, *, text: str = "text", doc_id: str = "doc_id", buckets: int = 10_000, smooth: float = 1.0) -> np.ndarray:
     """log(target / raw) for each bucket; the raw model counts all rows."""
-    wanted = docs.sparkSession.sparkContext.broadcast(targets)
 
     def count(batches):
         raw, good = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("id")).fill_null(-1).to_numpy(zero_copy_only=False)
-            chosen = np.isin(ids, wanted.value)
+        for batch in text_batches(batches, "text"):
+            chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, last, buffer, start, _ in byte_chunks(column_bytes(batch, "text")):
                 bucket, owner = features(buffer, start, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
@@ -54,8 +54,10 @@ def log_ratios(docs: DataFrame, targets: np.ndarray, *, text: str = "text", doc_
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at], pa.int64()), pa.array(good[at], pa.int64())], names=["bucket", "raw", "good"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    marked = rows.join(F.broadcast(targets), F.col("id") == F.col("_target"), "left")  # at most `most_targets` ids
+    found = marked.select("text", F.col("_target").isNotNull().alias("chosen")).mapInArrow(count, "bucket int, raw long, good long")
+    found = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.full(buckets, smooth), np.full(buckets, smooth)
     at = found.column("bucket").to_numpy()
     raw[at] += found.column("raw").to_numpy()
@@ -79,7 +81,7 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> Dat
 
         return run
 
-    return add_columns(docs, [T.StructField("log_weight", T.DoubleType())], make)
+    return add_columns(docs, [T.StructField("log_weight", T.DoubleType())], make, text)
 
 
 def gumbel(key: Column, seed: int = 0) -> Column:
@@ -118,7 +120,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     `share` of the rows are kept; where none is given, as large a share as targets have in the labels. The target
     model is fitted on at most `most_targets` labelled rows.
     """
-    targets, of_labels = target_ids(labels, most_targets, doc_id)
+    targets, of_labels = target_ids(labels, most_targets, doc_id, docs.schema[doc_id].dataType)
     ratios = log_ratios(docs, targets, text=text, doc_id=doc_id, buckets=buckets)
     keyed = with_weights(docs, ratios, text).drop(text).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(doc_id), seed))
     keyed = materialise(keyed, "keys")
