@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.llm.common import add_columns, column_bytes, materialise
+from gantry.llm.common import add_columns, column_bytes, materialise, packed, unpacked
 
 #: White space between words, and the symbols that are counted: fixed values.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -59,7 +59,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    return add_columns(docs, [T.StructField(x, T.LongType()) for x in MEASURES], make)
+    return add_columns(docs, [T.StructField(x, T.LongType()) for x in MEASURES], make, text)
 
 
 def base_failed() -> Column:
@@ -108,9 +108,9 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", max_rate
     """`docs` without its text, with the measures, `base_failed`, `host_ok` and `kept`."""
     measured = materialise(with_measures(docs, text).drop(text), "measures")
     # both sides are tables, so that a hot host's join can be split
-    verdicts = materialise(host_verdicts(measured, host, default_rules(), max_rate).select("host", "host_ok"), "verdicts")
-    joined = measured.join(verdicts, measured[host].eqNullSafe(verdicts["host"]), "left").drop("host")
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
+    verdicts = materialise(host_verdicts(measured, host, default_rules(), max_rate).select(F.col("host").alias("of"), F.col("host_ok").alias("ok")), "verdicts")
+    joined = packed(measured, host=host, failed=base_failed()).join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
+    return unpacked(joined, measured.columns, base_failed=F.col("failed"), host_ok=F.col("ok"), kept=~F.col("failed") & F.coalesce("ok", F.lit(True)))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
