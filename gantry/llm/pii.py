@@ -2,21 +2,28 @@
 
 Entities are found by pattern. A surrogate depends on a key, the kind and the entity alone, so an entity has the same
 one wherever it stands (coreference), and it fits its kind: e-mail addresses keep their shape and top-level domain,
-card numbers their first digit and a valid check digit, phone numbers their country code, addresses stay valid, secrets
-keep their prefix, and names follow the title's gender, the script and the capitals. All different entities are then
-held against each other: where two would share a surrogate, or one would be another entity's original, it is drawn
-again until all are distinct.
+card and account numbers their first digit or country and valid check digits, phone numbers their country code,
+addresses stay valid, secrets keep their prefix. Names are replaced word by word, the last word as a family name and
+the others as given names of the title's gender, so that "Mr Smith" stays the father of "Mr John Smith"; script and
+capitals stay, and initials are rotated. E-mail addresses and names that differ only in case are one. All different
+entities are then held against each other: where two would share a surrogate, or one would be another entity's
+original, it is drawn again until all are distinct.
 
-Cases: a null text stays null and an empty one empty; repeated rows get equal texts, null ids are one id; an empty
-table gives an empty result; columns named `n_replaced` are replaced.
+The key is a secret: without `spark.gantry.surrogateKey` in the session's settings a driver draws one of its own.
+
+Cases: a null text stays null and an empty one empty; repeated rows get equal texts, ids play no part; an empty table
+gives an empty result; columns named `n_replaced` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gantry.llm.common import materialise
+from gantry.llm.common import materialise, packed, unpacked
 
 #: Fixed values.
 _TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mademoiselle|Señor|Señora|Señorita|Signor|Signora|Господин|Госпожа"
@@ -45,14 +52,14 @@ _HEADS = {
     "apikey": r"^(?:AKIA|gh[opsu]_|sk-)",
     "phone": r"^(?:\+\d{1,3})?",
 }
-#: Words for names, fixed values.
-FIRST = {
-    "m": "Adam Alan Boris Carl Daniel Edgar Felix George Henry Ivan James Karl Louis Martin Nils Oscar Paul Robert Simon Thomas Victor Walter".split(),
-    "f": "Alice Anna Bertha Clara Diana Elena Flora Greta Helen Irene Julia Karen Laura Maria Nina Olga Paula Rosa Sofia Teresa Vera Wanda".split(),
-    "n": "Alex Andrea Ashley Casey Chris Dana Jamie Jordan Kim Lee Morgan Pat Robin Sam Sasha Taylor".split(),
-}
-LAST = "Adler Becker Carver Dalton Ebert Fischer Garner Hoffman Ibsen Jensen Keller Larsen Miller Norton Olsen Parker Quinn Roth Schmidt Turner Ullman Vogel Weaver Young Zeller".split()
+#: Syllables that names are made of, fixed values; the ends go by gender, and those of family names by none.
+ONSETS = "B Br C D Dr F G Gr H J K Kr L M N P R S St T Tr V W Z".split()
+VOWELS = "a e i o u ai au ei".split()
+MIDDLES = "b d g k l ll m n nd r rk s st t v".split()
+ENDS = {"family": "er man son sen ing berg feld ton ley ard".split(), "given:m": "on an ik us or o en ar".split(), "given:f": "a ia ina elle is ara essa ette".split(), "given:n": "y ie ey il ane".split()}
 _MALE, _FEMALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Signor", "Господин"], ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа"]
+#: Alphabets of initials.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 #: Letters that stand in for letters of the same class; other signs stay.
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 
@@ -80,12 +87,29 @@ def head_of(kind: Column, entity: Column) -> Column:
 
 
 def parts(entity: Column) -> Column:
-    """struct(kind, head, value) of an entity; what tells it from others is kind and value, and a name's gender."""
+    """struct(kind, head, value, given) of an entity; `given` is the kind of a name's given names."""
     kind = kind_of(entity)
     head = head_of(kind, entity)
     title = F.regexp_replace(head, r"[. ]", "")
-    gender = F.when(kind != "name", F.lit("")).when(title.isin(_MALE), F.lit("m")).when(title.isin(_FEMALE), F.lit("f")).otherwise(F.lit("n"))
-    return F.struct(kind.alias("kind"), head.alias("head"), F.substring(entity, F.length(head) + 1, F.length(entity)).alias("value"), gender.alias("gender"))
+    gender = F.when(title.isin(_MALE), F.lit("given:m")).when(title.isin(_FEMALE), F.lit("given:f")).otherwise(F.lit("given:n"))
+    return F.struct(kind.alias("kind"), head.alias("head"), F.substring(entity, F.length(head) + 1, F.length(entity)).alias("value"), gender.alias("given"))
+
+
+def _words(value: Column) -> Column:
+    return F.split(value, " ")
+
+
+def _initial(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}\.?$")
+
+
+def terms(part: Column) -> Column:
+    """What of an entity needs a surrogate of its own: array of struct(kind, value); a name's words each for itself."""
+    term = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    words = _words(part["value"])
+    by_word = F.transform(words, lambda w, i: F.when((i < F.size(words) - 1) & _initial(w), term(F.lit("initial"), F.lit(""))).otherwise(term(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(part["given"]), F.lower(w))))
+    whole = F.array(term(part["kind"], F.when(part["kind"] == "email", F.lower(part["value"])).otherwise(part["value"])))
+    return F.when(part["kind"] == "name", F.filter(by_word, lambda t: t["kind"] != "initial")).otherwise(whole)
 
 
 def _noise(seed: Column) -> Column:
@@ -130,87 +154,136 @@ def _card(value: Column, noise: Column) -> Column:
     return F.when(valid, F.concat(body, check.cast("string"))).otherwise(drawn)
 
 
-def _name(value: Column, gender: Column, noise: Column, attempt: int) -> Column:
-    """A first name of the gender where there are two words, then a family name; other scripts keep theirs."""
+_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (A is 10) spell, modulo 97."""
+
+    def add(acc: Column, c: Column) -> Column:
+        v = F.instr(F.lit(_ALNUM), c) - 1
+        return F.when(v < 0, acc).when(v < 10, (acc * 10 + v) % 97).otherwise((acc * 100 + v) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(value: Column, plain: Column) -> Column:
+    """The country stays; the check digits fit where the original's do."""
+    country, drawn = F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(plain))
+    turned = lambda x, check: F.concat(F.substring(x, F.lit(3), F.length(x)), country, check)
+    rest = F.substring(drawn, F.lit(3), F.length(drawn))
+    check = F.lpad((F.lit(98) - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    original = F.substring(value, F.lit(3), F.length(value))
+    valid = _mod97(turned(F.concat(F.lit("  "), F.substring(original, F.lit(3), F.length(original))), F.substring(original, F.lit(1), F.lit(2)))) == 1
+    return F.concat(country, F.when(valid, F.concat(check, rest)).otherwise(drawn))
+
+
+def _syllables(kind: Column, noise: Column, attempt: int) -> Column:
+    """A name in lower case, longer with every attempt."""
     pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(noise, F.lit(at)), F.lit(len(words))).cast("int") + 1)
-    first = F.when(gender == "m", pick(FIRST["m"], 0)).when(gender == "f", pick(FIRST["f"], 0)).otherwise(pick(FIRST["n"], 0))
-    last = pick(LAST, 5)
-    if attempt:  # the lists are finite: a second family name of drawn letters
-        last = F.concat(last, F.lit("-"), F.initcap(F.lower(_same_class(F.lit("Kolamen"), F.substring(noise, 11, 300)))))
-    drawn = F.when(F.instr(value, " ") > 0, F.concat(first, F.lit(" "), last)).otherwise(last)
-    drawn = F.when(value == F.upper(value), F.upper(drawn)).otherwise(drawn)
-    return F.when(value.rlike(r"^[\p{IsLatin} '-]+$"), drawn).otherwise(_same_class(value, noise))
+    end = None
+    for k, (of, ends) in enumerate(ENDS.items()):
+        end = F.when(kind == of, pick(ends, 90 + k)) if end is None else end.when(kind == of, pick(ends, 90 + k))
+    return F.lower(F.concat(pick(ONSETS, 0), pick(VOWELS, 5), *(x for k in range(attempt + 2) for x in (pick(MIDDLES, 9 + 6 * k), *((pick(VOWELS, 12 + 6 * k),) if k <= attempt else ()))), end))
+
+
+def _name(kind: Column, value: Column, noise: Column, attempt: int) -> Column:
+    """A word of a name, in lower case and of the same script; of Latin letters where the script is another than Latin, Cyrillic and Greek."""
+    same = value.rlike(r"^[\p{IsCyrillic}\p{IsGreek}'-]+$") if attempt < 4 else F.lit(False)
+    return F.when(same, _same_class(value, noise)).otherwise(_syllables(kind, noise, attempt))
 
 
-def surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: int) -> Column:
-    noise = _noise(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, gender, value))
+def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
+    noise = _noise(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, value))
     plain = _same_class(value, noise)
     octets = F.array_join(F.transform(F.array(*map(F.lit, (0, 3, 6, 9))), lambda i: (F.pmod(_byte(noise, i), F.lit(223)) + 1).cast("string")), ".")
     top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     email = F.concat(F.substring(plain, F.lit(1), F.length(value) - F.length(top)), top)
-    iban = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
+    if attempt > 3:  # short addresses have few others of their shape
+        email = F.concat(F.substring(noise, F.lit(1), F.lit(attempt)), email)
     drawn = F.substring(F.repeat(noise, F.ceil(F.length(value) / 256).cast("int")), F.lit(1), F.length(value))
     hexadecimal = F.when(value.rlike("^[0-9a-f]+$"), drawn).when(value.rlike("^[0-9A-F]+$"), F.upper(drawn))
     return (
         F.when((kind == "secret") & hexadecimal.isNotNull(), hexadecimal).when(kind == "ip", octets).when(kind == "email", email).when(kind == "card", _card(value, noise))
-        .when(kind == "iban", iban).when(kind == "name", _name(value, gender, noise, attempt)).otherwise(plain)
+        .when(kind == "iban", _iban(value, plain)).when(kind.isin(list(ENDS)), _name(kind, value, noise, attempt)).otherwise(plain)
     )
 
 
 def distinct_surrogates(found: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
-    """kind, value, gender and a surrogate of its own for each different entity of `found`."""
-    left = materialise(found.select("kind", "value", "gender").distinct(), "entities")
-    originals = left.select("kind", F.col("value").alias("surrogate")).distinct()
+    """kind, value and a surrogate of its own for each different row of `found`."""
+    left = materialise(found.select("kind", "value").distinct(), "entities")
+    originals = left.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("own"))
     done = None
     for attempt in range(most_rounds):
-        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("gender"), key, attempt))
-        turn = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("value", "gender"))
-        drawn = drawn.withColumn("turn", turn).join(originals.withColumn("_own", F.lit(True)), ["kind", "surrogate"], "left")
+        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, attempt))
+        turn = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("value"))  # few share one of millions
+        drawn = drawn.withColumn("turn", turn).join(originals, ["kind", "surrogate"], "left")
         if done is not None:
-            drawn = drawn.join(done.select("kind", "surrogate").withColumn("_taken", F.lit(True)), ["kind", "surrogate"], "left")
+            drawn = drawn.join(done.select("kind", "surrogate", F.lit(True).alias("taken")), ["kind", "surrogate"], "left")
         else:
-            drawn = drawn.withColumn("_taken", F.lit(None).cast("boolean"))
-        drawn = materialise(drawn.withColumn("fits", (F.col("turn") == 1) & F.col("_own").isNull() & F.col("_taken").isNull()), "surrogates")
-        good = drawn.where("fits").select("kind", "value", "gender", "surrogate")
+            drawn = drawn.withColumn("taken", F.lit(None).cast("boolean"))
+        drawn = materialise(drawn.withColumn("fits", (F.col("turn") == 1) & F.col("own").isNull() & F.col("taken").isNull()), "surrogates")
+        good = drawn.where("fits").select("kind", "value", "surrogate")
         done = good if done is None else done.unionByName(good)
-        left = drawn.where(~F.col("fits")).select("kind", "value", "gender")
+        left = drawn.where(~F.col("fits")).select("kind", "value")
         if left.isEmpty():
             return done
     raise RuntimeError(f"{left.count()} entities still share surrogates after {most_rounds} draws")
 
 
-def _label(kind: Column, gender: Column, value: Column) -> Column:
-    return F.concat_ws("|", kind, gender, value)
+def _label(kind: Column, value: Column) -> Column:
+    return F.concat_ws("|", kind, value)
 
 
-def replace(docs: DataFrame, *, key: str = "gantry", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with every entity in `text` replaced, and `n_replaced`."""
-    docs = docs.drop("n_replaced")
-    columns = [F.col(c) for c in docs.columns]
-    found = docs.withColumn("_found", entities(F.col(text)))
-    maybe = F.coalesce(F.col(text).rlike(_MAYBE), F.lit(False))
-    clean = docs.where(~maybe).select(*columns, F.lit(0).cast("long").alias("n_replaced"))
-    some = found.where(maybe)
-    rows = materialise(
-        some.where(F.size("_found") > 0).select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(F.transform("_found", parts))).alias("e"))
-        .select("_id", "e.kind", "e.value", "e.gender"), "found",
-    )
-    drawn = materialise(distinct_surrogates(rows, key), "drawn")
-    pairs = rows.join(drawn, ["kind", "value", "gender"]).select("_id", F.struct(_label(F.col("kind"), F.col("gender"), F.col("value")).alias("k"), F.col("surrogate").alias("v")).alias("p"))
-    maps = pairs.groupBy("_id").agg(F.map_from_entries(F.collect_set("p")).alias("_map"))
-    joined = some.join(maps, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+def _rotated(word: Column, key: str) -> Column:
+    """Initials moved on in their alphabet by a keyed number of places: no two become one."""
+    shift = int.from_bytes(hashlib.sha256(f"{key}/initials".encode()).digest()[:4], "big")
+    turned = [a[n:] + a[:n] for a in ALPHABETS for n in [1 + shift % (len(a) - 1)]]
+    return F.translate(word, "".join(ALPHABETS), "".join(turned))
+
+
+def _replacement(entity: Column, known: Column, key: str) -> Column:
+    """The new text of an entity; `known` maps labels to surrogates."""
+    p = parts(entity)
+    words = _words(p["value"])
 
-    def new(e: Column) -> Column:
-        p = parts(e)
-        return F.concat(p["head"], F.element_at(F.col("_map"), _label(p["kind"], p["gender"], p["value"])))
+    def word(w: Column, i: Column) -> Column:
+        last = i == F.size(words) - 1
+        new = F.element_at(known, _label(F.when(last, F.lit("family")).otherwise(p["given"]), F.lower(w)))
+        cased = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(F.initcap(new))
+        return F.when(~last & _initial(w), _rotated(w, key)).otherwise(cased)
 
-    between = F.split(F.col(text), _ALL, -1)
-    fresh = F.array_join(F.flatten(F.zip_with(between, F.transform("_found", new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = F.when(F.size("_found") > 0, fresh).otherwise(F.col(text))
-    done = joined.select(*(changed.alias(text) if c == text else F.col(c) for c in docs.columns), F.size("_found").cast("long").alias("n_replaced"))
-    return clean.unionByName(done)
+    email = F.element_at(known, _label(p["kind"], F.lower(p["value"])))
+    whole = F.when(p["kind"] == "email", F.when(p["value"] == F.upper(p["value"]), F.upper(email)).otherwise(email)).otherwise(F.element_at(known, _label(p["kind"], p["value"])))
+    return F.concat(p["head"], F.when(p["kind"] == "name", F.array_join(F.transform(words, word), " ")).otherwise(whole))
+
+
+_own_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret in `spark.gantry.surrogateKey`, else one that this driver has drawn: surrogates then differ from driver to driver."""
+    return spark.conf.get("spark.gantry.surrogateKey", None) or _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
+def replace(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
+    """`docs` with every entity in `text` replaced, and `n_replaced`."""
+    columns = [c for c in docs.columns if c != "n_replaced"]
+    rows = packed(docs.select(*(F.col(f"`{c}`") for c in columns)), found=F.coalesce(entities(F.col(f"`{text}`")), F.array().cast("array<string>")))
+    rows = materialise(rows, "scanned")  # the patterns run once
+    body, some = F.col(f"row.`{text}`"), rows.where(F.size("found") > 0)
+    clean = unpacked(rows.where(F.size("found") == 0), columns, n_replaced=F.lit(0).cast("long"))
+    each = some.select(F.md5(body).alias("of"), F.explode(F.array_distinct(F.flatten(F.transform("found", lambda e: terms(parts(e)))))).alias("t"))
+    each = materialise(each.select("of", "t.kind", "t.value"), "found")
+    drawn = materialise(distinct_surrogates(each, key), "drawn")
+    pairs = each.join(drawn, ["kind", "value"]).select("of", F.struct(_label(F.col("kind"), F.col("value")).alias("k"), F.col("surrogate").alias("v")).alias("p"))
+    maps = pairs.groupBy("of").agg(F.map_from_entries(F.collect_set("p")).alias("known"))  # what one text holds
+    joined = some.withColumn("of", F.md5(body)).join(maps, "of", "left")
+    new = F.transform("found", lambda e: _replacement(e, F.col("known"), key))
+    fresh = F.array_join(F.flatten(F.zip_with(F.split(body, _ALL, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return clean.unionByName(unpacked(joined, columns, **{text: fresh, "n_replaced": F.size("found").cast("long")}))
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace(docs).select("doc_id", "text", "n_replaced")
+    return replace(docs, key=session_key(spark)).select("doc_id", "text", "n_replaced")
