@@ -10,14 +10,18 @@ from gantry.plans import catalog
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
+#: Larger than the other tests' tables: sums in another order and ties show.
+LARGER = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
-def con(sf):
-    return duck(sf)
+def con():
+    return duck(LARGER)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_against_sql(spark, sf, con, name):
-    assert not differences(QUERIES[name](spark, sf), con, SQL[name])
+def test_against_sql(spark, con, name):
+    assert not differences(QUERIES[name](spark, LARGER), con, SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
