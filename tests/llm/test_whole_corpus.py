@@ -21,7 +21,7 @@ def test_long_entities_go_whole(spark):
         f'token = "{token}" end', f"mail {local}@{label}.{deep}.org, end", f"to a@b1.{end}. end", f"key sk-{key} end", f"secret={hexa}; end", f"password{' ' * 9}=     {key} end",
         "Mr. John Ronald Smith said", f"Frau {long} {long} said", "Mr. J. R. Tolkien said", "Mrs Ann B. Lee Miller-Jones said", "a@b.example.com.1 and a@b.example.com. x",
     ]
-    got = {x["doc_id"]: x for x in pii.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).collect()}
+    got = {x["doc_id"]: x for x in pii.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), key="k").collect()}
     assert [got[i]["n_replaced"] for i in range(len(rows))] == [1] * 10 + [2]
     for i, cut in ((0, token), (1, local), (3, key), (4, hexa), (5, key)):
         pieces = {cut[k : k + 8] for k in range(len(cut) - 7)}
@@ -35,7 +35,7 @@ def test_long_entities_go_whole(spark):
     first, second = got[10]["text"].split(" and ")
     assert first.endswith(".com.1") and second.endswith(".com. x") and first[:-2] == second[:-3]
     many = " ".join(["x." * 4_000 + "y", "a@" + "b." * 4_000 + "org", "Mr. " + "Ab " * 4_000, "token=" + "q1" * 4_000])  # no recursion by length
-    out = pii.replace(spark.createDataFrame([(1, many)], "doc_id int, text string")).first()
+    out = pii.replace(spark.createDataFrame([(1, many)], "doc_id int, text string"), key="k").first()
     assert out["n_replaced"] == 3 and "b." * 50 not in out["text"] and "Ab" not in out["text"] and "q1" * 50 not in out["text"]
 
 
