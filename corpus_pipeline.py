@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm import decontaminate, jaccard, langid, packing, pii
-from gantry.session import materialise
+from gantry.session import discard, materialise, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; `und` and unsure ones go. The trees are learned from the documents' own labels."""
+    """Documents in a known language; letterless and unsure ones go, and text that costs far more than any learned language. The trees are learned from the documents' own labels."""
     return langid.keep_identified(docs, langid.learn(docs), least=0.5)
 
 
@@ -26,12 +26,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities replaced; n_chars is that of the new text."""
-    out = pii.replace(docs).drop("n_replaced")
+    out = pii.replace(docs, key=pii.session_key(spark)).drop("n_replaced")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, with their ids."""
     return packing.pack_documents(docs)
 
 
@@ -42,13 +42,15 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", pack),
 ]
-#: SQL can't express byte context trees, tokenizers and keyed surrogates; the tests hold each stage against brute force.
+#: SQL can't express byte context trees, tokenizers and keyed surrogates; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each returns is written and read again as the next one's documents."""
+    """All stages over `documents`; what each returns is written and read again as the next one's documents, and its own tables are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = written(spark)
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, [p for p in written(spark)[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
