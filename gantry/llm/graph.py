@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from gantry.llm.common import materialise
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of `links` (columns a and b, longs).
 
-    Each round takes the smallest root among a node's neighbours and then the root's own root, so that paths of any
-    length shrink at least by half. Sums by node are made before the shuffle; each round is written out.
+    Each round points every node to its smallest neighbour if that is smaller, follows these pointers to their ends by
+    doubling, and contracts the links to those between different ends: at least half of the nodes that still have
+    links go in a round, and only what is left is joined again. Smallest neighbours are found before the shuffle; each
+    round is written out.
     """
-    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "links")
-    roots = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    for _ in range(most_rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root"))
-        moved = materialise(moved, "roots")
-        roots = moved.select("node", "root")
-        if moved.where("old <> root").isEmpty():
-            return roots
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    edges = _between(links.select("a", "b"), "links")
+    roots = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")), "pointers")
+        while True:
+            ends = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            moved = materialise(step.join(ends, "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "pointers")
+            step = moved.select("node", "root")
+            if moved.where("old <> root").isEmpty():
+                break
+        if roots is None:
+            roots = step
+        else:
+            further = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = materialise(roots.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        of = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        edges = _between(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "links")
+    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+
+
+def _between(links: DataFrame, label: str) -> DataFrame:
+    """Different links between different nodes, the smaller node first."""
+    return materialise(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)

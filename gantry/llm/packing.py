@@ -1,18 +1,19 @@
 """Mixture-controlled packing: deficit round robin over one token queue for each source.
 
-Each source's documents form a queue of tokens. Slots of `quantum` tokens are served one by one, always to the queue
-with the largest deficit, its share of what was served so far less what it got; queues that run dry leave the round
-and the others share on. Every window of `window` tokens is `window / quantum` such slots, so its mixture is the
-target's to within a quantum a queue, and deficits carry over from window to window and from partition to partition.
-The round's state after any number of slots has a closed form (slot k of a queue of weight w is due at (2k + 1) / 2w,
-ties to the earlier queue), so each task places its own documents from the totals of all queues: nothing is dealt out
-by one process, and no queue's documents meet in one task.
+Each source's documents form a queue of tokens. Slots of `quantum` tokens are served one by one, each to the queue
+whose next slot is due first; queues that run dry leave the round and the others share on. Slot k of a queue of weight
+w is due at (2k + 1) / 2w, ties to the earlier queue: while all queues last, what each has got after any number of
+slots is its target share of them to within one slot for each other queue (in practice about one slot), and as that
+holds at the end of every window, deficits carry over from window to window and from partition to partition. The
+round's state has a closed form, so each task places its own documents from the totals of all queues: nothing is dealt
+out by one process, and no queue's documents meet in one task.
 
 What is left of each queue beyond whole slots follows behind in queue order. Windows are full but for the last tokens,
 which are cut into powers of two: nothing is padded.
 
 Cases: a null or empty text is its end token alone; null sources form one queue; repeated rows are packed as often as
-they stand; an empty table gives no pieces; more than `most_queues` sources share queues by hash.
+they stand; an empty table gives no pieces; sources that the mixture leaves out or gives no share come with the least weight. Any
+number of sources are queues of their own; the driver and each task hold three numbers and the name of each.
 """
 
 from __future__ import annotations
@@ -27,11 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.llm.common import column_bytes, materialise
+from gantry.llm.common import column_bytes, materialise, text_batches
 from gantry.llm.tokens import tokenizer
 
 END_ID = 2
-_TEXT_GROUP = 1 << 21
 
 
 def tokenise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID) -> DataFrame:
@@ -44,17 +44,9 @@ def tokenise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
     def run(batches):
         tok, part, seen = tokenizer(path), TaskContext.get().partitionId(), {}
         end = tok.pack([end_id])
-        for batch in batches:
-            texts, sources = column_bytes(batch, "text"), batch.column(1).to_pylist()
-            ids: list[bytes] = []
-            group, size = [], 0
-            for t in texts:
-                group.append(t.decode("utf-8", "replace"))
-                size += len(t)
-                if size > _TEXT_GROUP:
-                    ids += tok.encode(group)
-                    group, size = [], 0
-            ids = [x + end for x in ids + tok.encode(group)]
+        for batch in text_batches(batches, "text", limit=1 << 20, keeps=("tokenizer", path)):
+            sources = batch.column(1).to_pylist()
+            ids = [x + end for x in tok.encode([t.decode("utf-8", "replace") for t in column_bytes(batch, "text")])]
             counts = [len(x) // tok.width for x in ids]
             local = []
             for s, n in zip(sources, counts, strict=True):
@@ -85,10 +77,10 @@ class Schedule:
         """The place, among all slots, of slot k of each queue."""
         own = self.weights[queue]
         out = np.zeros(len(k), dtype=np.int64)
-        for q, (w, most) in enumerate(zip(self.weights, self.slots, strict=True)):
-            due = (2 * k + 1) * w
+        for q in np.flatnonzero(self.slots).tolist():  # queues of less than a slot are all tail
+            due = (2 * k + 1) * self.weights[q]
             before = np.where(q < queue, (due + own) // (2 * own), (due + own - 1) // (2 * own))
-            out += np.where(queue == q, k, np.clip(before, 0, most))
+            out += np.where(queue == q, k, np.clip(before, 0, self.slots[q]))
         return out
 
     def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -141,29 +133,25 @@ def _quantised(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(np.rint(sizes / top * (1 << 20)), 1).astype(np.int64)
 
 
-def pack(tokens: DataFrame, *, width: int, window: int = 4096, quantum: int = 256, mixture: dict[str | None, float] | None = None, most_queues: int = 1024, with_ids: bool = True) -> DataFrame:
+def pack(tokens: DataFrame, *, width: int, window: int = 4096, quantum: int = 256, mixture: dict[str | None, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of the rows of `tokenise`: doc_id, start, length, ids (or ids_crc32), doc_tokens, sequence_id, offset, source.
 
     `mixture` gives target shares of the sources; without it they are the queues' own shares, so that all end together.
     """
     if window % quantum:
         raise ValueError("window must be a multiple of quantum")
+    spark = tokens.sparkSession
     tokens = materialise(tokens, "tokens")
     parts = materialise(tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("n")), "queue-parts")
-    many = parts.select("source").distinct().count() > most_queues
-    queue = F.format_string("hash %d", F.pmod(F.xxhash64("source"), F.lit(most_queues))) if many and mixture is None else F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    parts = parts.withColumn("queue", queue)
-    totals = sorted((r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # most_queues rows, or those of the mixture
-    names = [q for q, _ in totals]
+    totals = sorted(((r["source"], r["n"]) for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
     sizes = np.array([n for _, n in totals], dtype=np.int64)
-    if mixture is not None:
-        shares = np.array([mixture.get(None if q == "null" else q[1:], 0.0) for q in names], dtype=float)
-    else:
-        shares = sizes.astype(float)
+    shares = sizes.astype(float) if mixture is None else np.array([mixture.get(s, 0.0) for s, _ in totals], dtype=float)
     plan = Schedule(sizes, _quantised(shares), window, quantum)
-    number = F.array_position(F.array(*map(F.lit, names)), F.col("queue")) - 1 if names else F.lit(0).cast("long")
-    before = F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    base = parts.select(F.col("part").alias("_part"), F.col("source").alias("_source"), number.alias("queue_no"), before.alias("base"))
+    queues = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(totals)], "_queue string, queue_no long")
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    base = parts.select(F.col("part").alias("_part"), F.col("source").alias("_source"), before.alias("base"))
+    # a written table: its size is known, so that tokens are not shuffled where it is small
+    base = materialise(base.join(queues, F.col("_source").eqNullSafe(F.col("_queue"))).drop("_queue"), "queue-base")
     rows = tokens.join(base, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.select("doc_id", "source", "ids", "queue_no", (F.col("base") + F.col("local")).alias("begin"))
     payload = T.StructField("ids", T.BinaryType()) if with_ids else T.StructField("ids_crc32", T.LongType())
@@ -171,9 +159,7 @@ def pack(tokens: DataFrame, *, width: int, window: int = 4096, quantum: int = 25
     schema = T.StructType([tokens.schema["doc_id"], *longs, payload, T.StructField("source", T.StringType())])
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_batches(batches, "ids", limit=1 << 20):
             ids = [np.frombuffer(x, dtype=f"<u{width}").astype("<u4") for x in batch.column(2).to_pylist()]
             length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             doc, start, size, place = plan.pieces(batch.column(3).to_numpy(), batch.column(4).to_numpy(), length)
@@ -190,15 +176,15 @@ def pack(tokens: DataFrame, *, width: int, window: int = 4096, quantum: int = 25
     return rows.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool = False, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Tokenise and pack; `path` is a tokenizer file."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(tokenise(docs, path), width=tokenizer(path).width, with_ids=with_ids, **options)
+    return pack(tokenise(docs, path, doc_id=doc_id, text=text, source=source), width=tokenizer(path).width, with_ids=with_ids, **options)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return pack_documents(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+    return pack_documents(docs, with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
