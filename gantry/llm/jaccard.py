@@ -216,10 +216,16 @@ class _Cells:
         if b - a > 1 and (label[a:b] != label[a]).any():
             at = a + np.flatnonzero(partners(n[a:b], label[a:b], counts[a:b].astype(np.int16), self.percent))
             blocks = [at[k : k + self.most] for k in range(0, len(at), self.most)]
+            if not self.across and len(blocks) > 1:  # neighbouring blocks are one tile: two rows a member
+                for x, y in zip(blocks, blocks[1:]):
+                    both = np.concatenate([x, y])
+                    if (label[both] != label[x[0]]).any():
+                        self.tile(both, np.zeros(len(both), dtype=np.int32), name)
+                blocks = []
             for i, x in enumerate(blocks):
                 if (label[x] != label[x[0]]).any():
                     self.tile(x, np.zeros(len(x), dtype=np.int32), name)
-                for y in blocks[i + 1 :] if self.across else blocks[i + 1 : i + 2]:
+                for y in blocks[i + 1 :]:
                     if 100 * n[x[-1]] < self.percent * n[y[0]]:
                         break
                     both = np.concatenate([x, y])
