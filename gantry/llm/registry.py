@@ -16,6 +16,9 @@ MODULES = {
     "op3_url_filter": "url_filter",
     "op4_quality_rules": "quality_rules",
     "op10_language_id": "langid",
+    "op11_conversation_repair": "conversations",
+    "op12_bpe": "bpe",
+    "op13_centroid_clusters": "centroids",
 }
 
 
