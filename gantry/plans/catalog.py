@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gantry.plans import base
 
-GROUPS = ("files", "aggregation", "relational", "windows", "scalars", "generation", "statistics", "incremental")
+GROUPS = ("files", "aggregation", "relational", "windows", "scalars", "generation", "statistics", "incremental", "streams")
 for _group in GROUPS:
     importlib.import_module(f"gantry.plans.{_group}")
 

@@ -15,7 +15,10 @@ from gantry.streaming import incremental as I
 
 
 def _folder(t) -> str:
-    return f"{shared_dir(t.spark)}/landed-{uuid.uuid4().hex}"
+    """A folder of the application's own, deleted when it ends."""
+    path = f"{shared_dir(t.spark)}/landed-{uuid.uuid4().hex}"
+    files.delete_at_exit(t.spark, path)
+    return path
 
 
 def _landed(t, rows, order: str = "n") -> str:
@@ -100,18 +103,6 @@ def source_attempts(t):
     return readers.attempts(t.spark, _landed(t, rows)).select("run_dir", "attempt")
 
 
-@query("""SELECT 1 AS poll, 0 AS "offset", 'a' AS line UNION ALL SELECT 2, 2, 'bc' UNION ALL SELECT 3, 0, 'x' UNION ALL SELECT 3, 3, 'y'""")
-def source_tail(t):
-    """A file that grows by half a line, gets its end, and is rotated."""
-    path, cursors, out = f"{_folder(t)}/log.jsonl", {}, None
-    for k, content in enumerate((b"a\nb", b"a\nbc\n", b"x\n\ny\nz"), start=1):
-        files.write_bytes(t.spark, path, content)
-        lines, cursors = I.new_lines(t.spark, [path], cursors)
-        part = lines.select(F.lit(k).alias("poll"), "offset", "line")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("SELECT concat('n', n_nationkey, '.jsonl') AS name FROM nation WHERE n_nationkey % 4 = 0")
 def source_changed_files(t):
     """Files whose size is not as last seen."""

@@ -19,6 +19,17 @@ def length(spark: SparkSession, path: str) -> int | None:
     return fs.getFileStatus(p).getLen() if fs.exists(p) and fs.getFileStatus(p).isFile() else None
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
+    fs, p = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
 def read_range(spark: SparkSession, path: str, offset: int, most: int) -> bytes:
     """At most `most` bytes from `offset` on; nothing before is read."""
     fs, p = _at(spark, path)
@@ -46,10 +57,10 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         raise OSError(f"{path} could not be put in place")
 
 
-def write_named(rows: DataFrame, folder: str, order: str) -> None:
+def write_named(rows: DataFrame, folder: str, order: str, line_end: str = "\n") -> None:
     """One text file under `folder` for each `name` of rows (name, value), lines in order; a name's lines are one task's."""
     spark, beside = rows.sparkSession, f"{folder}.parts"
-    rows.repartition("name").sortWithinPartitions("name", order).select("name", "value").write.partitionBy("name").text(beside)
+    rows.repartition("name").sortWithinPartitions("name", order).select("name", "value").write.partitionBy("name").option("lineSep", line_end).text(beside)
     fs, top = _at(spark, beside)
     path = spark._jvm.org.apache.hadoop.fs.Path
     for status in fs.listStatus(top):
@@ -59,20 +70,32 @@ def write_named(rows: DataFrame, folder: str, order: str) -> None:
         (part,) = [s.getPath() for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
         target = path(f"{folder}/{unquote(name[5:])}")
         fs.mkdirs(target.getParent())
+        fs.delete(target, False)
         fs.rename(part, target)
     fs.delete(top, True)
 
 
-def open_uri(uri: str):
-    """A seekable file in a task, by pyarrow's file systems."""
+def store_of(uri: str):
+    """pyarrow's file system of a path, and the path in it."""
     from pyarrow import fs
 
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    store, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def open_uri(uri: str):
+    """A seekable file in a task, by pyarrow's file systems."""
+    store, path = store_of(uri)
     return store.open_input_file(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Mark a folder to be deleted when the application ends."""
+    fs, p = _at(spark, path)
+    fs.deleteOnExit(p)
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path and length of files, without their contents."""
     return spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("length"))

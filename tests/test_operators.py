@@ -325,26 +325,6 @@ def test_capped_conversations(spark):
         assert (None if r is None else tuple(len(x["content"].split()) for x in r)) == want, cap
 
 
-def test_tail_by_bytes(spark, tmp_path):
-    log, gone = tmp_path / "log", str(tmp_path / "none")
-    cursors: dict = {}
-
-    def poll(content: bytes | None = None, **options):
-        nonlocal cursors
-        if content is not None:
-            log.write_bytes(content)
-        rows, cursors = inc.new_lines(spark, [str(log), gone], cursors, **options)
-        return [(r["offset"], r["line"]) for r in rows.orderBy("offset").collect()]
-
-    assert poll(b"one\n\ntw") == [(0, "one")]
-    assert poll() == []
-    assert poll(b"one\n\ntwo\nthree\n") == [(5, "two"), (9, "three")]
-    assert poll(b"x\n") == [(0, "x")]  # cut short
-    assert poll(b"new\nrotated and longer\n") == [(0, "new"), (4, "rotated and longer")]  # another file in its place
-    assert poll(b"new\nrotated and longer\n" + b"long line\n" * 3, most=4) == [(23, "long line")]  # more waits for the next call
-    assert poll(most=1000) == [(33, "long line"), (43, "long line")]
-
-
 def test_loops_keep_errors_and_beat():
     found = iter([3, ValueError("broken"), 5])
 
