@@ -14,6 +14,7 @@ ids that the vocabulary lacks decode to nothing; a chunk has one text at least,
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.llm.common import materialise, release, resident
+from gantry.llm.common import release, resident
 
 #: Common words, the most bytes one may have, and the documents they are counted in: what every task holds is below their product.
 COMMON, WORD_BYTES, SAMPLE = 1 << 18, 64, 20_000
@@ -65,18 +66,18 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """ids and texts of about `CHUNK` bytes at a time."""
+    """ids and texts up to the one that makes `CHUNK` bytes full, however the rows come in batches."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        length = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
-        begin = 0
+        total, begin = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)), 0
         while begin < batch.num_rows:
-            n = max(int(np.searchsorted(np.cumsum(length[begin:]), CHUNK - size, side="right")), 1)
+            done = int(total[begin - 1]) if begin else 0
+            n = min(int(np.searchsorted(total[begin:] - done, CHUNK - size)) + 1, batch.num_rows - begin)
             ids.append(batch.column(0).slice(begin, n))
             texts.append(batch.column(1).slice(begin, n))
-            size += int(length[begin : begin + n].sum())
             begin += n
-            if size >= CHUNK or begin < batch.num_rows:
+            size += int(total[begin - 1]) - done
+            if size >= CHUNK:
                 yield pa.concat_arrays(ids), pa.concat_arrays(texts)
                 ids, texts, size = [], [], 0
     if ids:
@@ -120,7 +121,11 @@ def _unplaned(blob: bytes, n: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
-    """doc_id and ids (binary, 32 bits each, little-endian) of every row."""
+    """doc_id and ids (binary, 32 bits each, little-endian) of every row.
+
+    The rows are read three times, for the sample, for other words and for numbers, rather than written in between: they have to be
+    a scan of files, a written table or what else comes out alike each time. If they do not, an error says so.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(common_words(rows, path, "text", common))
@@ -135,7 +140,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     def known(column: str) -> pa.Array:
         return resident(("common", name), lambda: pa.ipc.open_file(pa.py_buffer(table.value)).read_all().combine_chunks()).column(column).combine_chunks()
 
-    def number(batches):
+    def number(batches, others: bool):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(schema)
@@ -148,13 +153,14 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), dtype=np.int64, count=len(names))
             order = np.argsort(bucket, kind="stable")
             at[other[order]] = len(known("word")) + np.arange(len(order))
-            out = [{"chunk": chunk, "bucket": -1, "doc_ids": ids, "counts": counts.astype("<i8").tobytes(), "blob": _planes(at[codes]), "n": len(codes)}]
-            for b, some in zip(*_grouped(bucket[order], order), strict=True):
-                out.append({"chunk": chunk, "bucket": b, "doc_ids": None, "counts": None, "blob": b"\n".join([names[i] for i in some]), "n": len(some)})
-            lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(out), pa.int32()), ids)
+            if others:
+                out = [{"chunk": chunk, "bucket": b, "counts": None, "blob": b"\n".join([names[i] for i in some]), "n": len(some)} for b, some in zip(*_grouped(bucket[order], order), strict=True)]
+            else:
+                # the number of other words stands behind the counts, to be held against what comes back
+                out = [{"chunk": chunk, "bucket": -1, "counts": np.append(counts, len(order)).astype("<i8").tobytes(), "blob": _planes(at[codes]), "n": len(codes)}]
+            lists = pa.ListArray.from_arrays(pa.array([0, *[0 if others else len(ids)] * len(out)], pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([lists if f.name == "doc_ids" else pa.array([r[f.name] for r in out], f.type) for f in shape], names=shape.names)
 
-    chunks = materialise(rows.mapInArrow(number, schema), "word-numbers")
     back = T.StructType([schema["chunk"], schema["bucket"], schema["counts"], schema["blob"], schema["n"]])
 
     def encode_words(batches):
@@ -174,8 +180,9 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=back.names)
         release()
 
-    words = chunks.where("bucket >= 0").select("chunk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    both = chunks.where("bucket < 0").unionByName(words.mapInArrow(encode_words, back), allowMissingColumns=True)
+    numbered, other = (rows.mapInArrow(functools.partial(number, others=o), schema) for o in (False, True))
+    words = other.select("chunk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    both = numbered.unionByName(words.mapInArrow(encode_words, back), allowMissingColumns=True)
     result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType())])
 
     def join_ids(batches):
@@ -183,8 +190,10 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
         chunk, held, parts = None, None, []
 
         def done():
+            if held is None or sum(map(len, parts)) != int.from_bytes(held["counts"][-8:], "little"):
+                raise ValueError("the documents did not come out alike twice; write them first")
             table = pa.concat_arrays([base, *parts])
-            counts = np.frombuffer(held["counts"], dtype="<i8")
+            counts = np.frombuffer(held["counts"], dtype="<i8")[:-1]
             codes, begin = _unplaned(held["blob"], held["n"]), np.concatenate([[0], np.cumsum(counts)])
             first = 0
             while first < len(counts):  # about a quarter of a million words at a time
@@ -201,7 +210,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
             column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 if column["chunk"][i].as_py() != chunk:
-                    if held:
+                    if chunk is not None:
                         yield from done()
                     chunk, held, parts = column["chunk"][i].as_py(), None, []
                 if column["bucket"][i].as_py() < 0:
@@ -211,7 +220,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
                 sizes = _unplaned(column["counts"][i].as_py(), column["n"][i].as_py())
                 offsets = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) * 4)])
                 parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]))
-        if held:
+        if chunk is not None:
             yield from done()
         release()
 
