@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gantry.functions import stats as S
+from gantry.operators.ordered import percentiles
 
 
 def rank_reduce(rows: DataFrame, keys: Sequence[str], counters: Sequence[str], peaks: Sequence[str], warmup: str | None = None) -> DataFrame:
@@ -168,11 +169,13 @@ def macro_micro(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def fallback_levels(rows: DataFrame, selector: str, coarse: Sequence[str], value: str, least: int) -> DataFrame:
-    """For each selector its median, or that of its coarse group, or the pooled one: the first level with `least` rows."""
+    """For each selector its median, or that of its coarse group, or the pooled one: the first level with `least` rows.
+
+    Coarse groups and the pool of all rows are as large as the table, so their medians are found in the sorted rows.
+    """
     fine = rows.groupBy(selector, *coarse).agg(F.count(value).alias("n0"), S.median(value).alias("v0"))
-    mid = rows.groupBy(*coarse).agg(F.count(value).alias("n1"), S.median(value).alias("v1"))
-    pooled = rows.agg(F.count(value).alias("n2"), S.median(value).alias("v2"))
-    out = fine.join(mid, list(coarse)).join(F.broadcast(pooled))  # one row
+    level = lambda keys, k: percentiles(rows, keys, value, {f"v{k}": 0.5}).withColumnRenamed("_count", f"n{k}")
+    out = fine.join(level(coarse, 1), list(coarse), "left").join(F.broadcast(level([], 2)), F.lit(True), "left")  # one row
     return out.select(
         selector, *coarse, F.when(F.col("n0") >= least, 0).when(F.col("n1") >= least, 1).otherwise(2).alias("level"),
         F.when(F.col("n0") >= least, F.col("v0")).when(F.col("n1") >= least, F.col("v1")).otherwise(F.col("v2")).alias("value"),

@@ -31,9 +31,16 @@ def reasons(tests: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())))
 
 
-def active_results(results: DataFrame, planned: DataFrame, job: str, identity: Sequence[str]) -> DataFrame:
-    """Results whose job is planned exactly once and agrees with the plan in every identity field (null equals null)."""
-    once = planned.groupBy(job).agg(F.count("*").alias("_n"), *(F.first(c).alias(f"_p_{c}") for c in identity)).where("_n = 1").drop("_n").withColumnRenamed(job, "_job")
+def active_results(results: DataFrame, planned: DataFrame, job: str, identity: Sequence[str], kind: str | None = None, expected: str | None = None) -> DataFrame:
+    """Results whose job is planned exactly once and agrees with the plan in every identity field (null equals null).
+
+    With `kind`, both have to be of the expected one. A job without an id is no job.
+    """
+    fields = [*identity, *([kind] if kind else [])]
+    named = planned.where(F.coalesce(F.col(job).cast("string"), F.lit("")) != "")
+    once = named.groupBy(job).agg(F.count("*").alias("_n"), *(F.first(c).alias(f"_p_{c}") for c in fields)).where("_n = 1").drop("_n").withColumnRenamed(job, "_job")
+    if kind:
+        once, results = once.where(F.col(f"_p_{kind}") == expected), results.where(F.col(kind) == expected)
     test = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in identity], F.col(job) == F.col("_job"))
     return results.join(once, test, "left_semi")
 
@@ -67,20 +74,25 @@ def freshness(rows: DataFrame, modified: str, now: Column, most: float = 600.0)
 #: Keys whose presence shows a vision tower, and those that only mixed attention stacks have: fixed values.
 VISION_KEYS = ("image_token_id", "video_token_id", "vision_start_token_id")
 MIXED_KEYS = ("linear_attention", "full_attention_interval", "linear_conv_kernel_dim")
+#: Reasons of refusal: fixed values.
+VISION_REASON, MIXED_REASON = "vision_language_outside_supported_domain", "hybrid_attention_outside_supported_domain"
 
 
-def architecture_refusals(family: Column, architectures: Column, layer_kinds: Column, vision: Column, keys: Column) -> Column:
+def architecture_refusals(family: Column, architectures: Column, layer_kinds: Column, vision: Column, keys: Column, layers: Column) -> Column:
     """Why a model is outside the calibrated architectures, none if it is inside.
 
-    `vision` tells of a vision part in its settings, `keys` are the names of settings that are not null, `layer_kinds`
-    the kinds of its layers (null where all are alike). What can't be read is refused.
+    `vision` tells of a vision part in its settings, `keys` are the names of settings that are not null, `layers` is the number of its
+    layers and `layer_kinds` their kinds (null where all are alike). What can't be read is refused: a number of layers that is
+    missing or not positive, kinds that are not as many or not known, and, for both reasons, a model of which nothing is there.
     """
     named = F.lower(F.concat_ws(" ", family, F.array_join(architectures, " ")))
+    nothing = family.isNull() & architectures.isNull() & keys.isNull() & layers.isNull() & layer_kinds.isNull() & vision.isNull()
     keys, known = F.coalesce(keys, F.array().cast("array<string>")), ("full_attention", "linear_attention")
     has = lambda names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
     sees = F.coalesce(vision, F.lit(False)) | has(VISION_KEYS) | named.contains("vision") | named.contains("vl")
+    unread = layers.isNull() | (layers <= 0) | F.coalesce(F.size(layer_kinds) != layers, F.lit(False))
     odd = F.coalesce(F.exists(layer_kinds, lambda k: k.isNull() | ~k.isin(*known) | (k == "linear_attention")), F.lit(False))
-    return reasons({"vision_language_unsupported": sees, "hybrid_attention_unsupported": odd | has(MIXED_KEYS)})
+    return reasons({VISION_REASON: nothing | sees, MIXED_REASON: nothing | unread | odd | has(MIXED_KEYS)})
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gantry.functions import stats as S
+from gantry.operators.ordered import ordered_pairs
 
 
 def rank_within(rows: DataFrame, groups: dict[str, Sequence[str]], order: Sequence[Column]) -> DataFrame:
@@ -99,45 +99,9 @@ def spearman_ordinal(rows: DataFrame, keys: Sequence[str], x: str, y: str, ident
     return rows.withColumn("_x", place(x)).withColumn("_y", place(y)).groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
-def ordered_pairs(predicted: np.ndarray, observed: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
-    """How many pairs differ in the observed value, and how many of them stand in the same order by the predicted one.
-
-    Counted by merging: in each round neighbouring blocks, in observed order, look up how many of the earlier block's
-    predictions are smaller. No pair is formed.
-    """
-    order = np.lexsort((-predicted, observed))  # pairs that tie in the observed value then never count
-    p, o, w = np.unique(predicted, return_inverse=True)[1][order].astype(np.int64), observed[order], weight[order].astype(np.int64)
-    same = np.concatenate([[0], np.cumsum(o[1:] != o[:-1])])
-    total = int(w.sum())
-    pairs = (total * total - int((np.bincount(same, weights=w).astype(np.int64) ** 2).sum())) // 2
-    correct, block, top = 0, 1, int(p.max(initial=0)) + 1
-    while block < len(p):
-        number = np.arange(len(p)) // block
-        key = (number // 2) * top + p
-        left, right = number % 2 == 0, number % 2 == 1
-        by = np.argsort(key[left], kind="stable")
-        before = np.concatenate([[0], np.cumsum(w[left][by])])
-        ranked = key[left][by]
-        smaller = before[np.searchsorted(ranked, key[right], side="left")] - before[np.searchsorted(ranked, (number[right] // 2) * top, side="left")]
-        correct += int((smaller * w[right]).sum())
-        block *= 2
-    return pairs, correct
-
-
 def pairwise_accuracy(rows: DataFrame, keys: Sequence[str], predicted: str, observed: str) -> DataFrame:
-    """Share of pairs within a group in the observed order; observed ties are left out, a predicted tie is a miss.
-
-    Equal rows are counted before the shuffle's second half, and a group's different ones are counted by merging, in 24 bytes each.
-    """
-    per = rows.where(F.col(observed).isNotNull() & F.col(predicted).isNotNull()).groupBy(*keys, F.col(predicted).cast("double").alias("_p"), F.col(observed).cast("double").alias("_o")).agg(F.count("*").alias("_n"))
-    kinds = dict(rows.dtypes)
-
-    def count(pdf):
-        pairs, correct = ordered_pairs(pdf["_p"].to_numpy(), pdf["_o"].to_numpy(), pdf["_n"].to_numpy())
-        return pdf[list(keys)].iloc[:1].assign(pairs=pairs, correct=correct)
-
-    out = per.groupBy(*keys).applyInPandas(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pairs long, correct long")
-    return out.where("pairs > 0").withColumn("accuracy", S.rate("correct", "pairs"))
+    """Share of pairs within a group in the observed order; observed ties are left out, a predicted tie is a miss. Groups may be of any size."""
+    return ordered_pairs(rows, keys, predicted, observed).where("pairs > 0").withColumn("accuracy", S.rate("correct", "pairs"))
 
 
 def top_regret(rows: DataFrame, keys: Sequence[str], predicted: str, observed: str, ident: str, tolerance: float = 0.1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gantry.functions import stats as S
 from gantry.operators import aggregates as A
 from gantry.operators import windows as W
+from gantry.operators.ordered import percentiles
 from gantry.plans.base import Tables, query
 
 
@@ -271,3 +272,13 @@ def scenario_recommendation(t):
     return best.select("c_nationkey", F.col("job").alias("best_job"), F.round("s", 3).alias("median_seconds"), "runs")
 
 
+
+
+@query("""SELECT o_orderpriority, count(o_totalprice) AS n, round(quantile_cont(o_totalprice, 0.05), 6) AS p05, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders GROUP BY o_orderpriority
+UNION ALL SELECT 'all', count(o_totalprice), round(quantile_cont(o_totalprice, 0.05), 6), round(quantile_cont(o_totalprice, 0.5), 6), round(quantile_cont(o_totalprice, 0.99), 6) FROM orders""")
+def sorted_percentiles(t):
+    """Exact percentiles of large groups and of the whole table, found in rows that are sorted over all tasks."""
+    shares = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
+    rounded = lambda df: df.select("o_orderpriority", F.col("_count").alias("n"), *(F.round(s, 6).alias(s) for s in shares))
+    whole = percentiles(t.orders, [], "o_totalprice", shares).withColumn("o_orderpriority", F.lit("all"))
+    return rounded(percentiles(t.orders, ["o_orderpriority"], "o_totalprice", shares)).unionByName(rounded(whole))

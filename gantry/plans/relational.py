@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gantry.operators import domains as D
 from gantry.operators import relational as R
 from gantry.plans.base import query
 
@@ -19,14 +20,20 @@ def priority_page(t):
     return R.page(R.priority_order(t.orders, "o_orderstatus", ["O", "P"], F.col("o_orderdate"), "o_orderkey"), 50, 20).select("o_orderkey", "o_orderstatus")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR lower(concat('fam', p_partkey % 5, CASE WHEN p_partkey % 5 = 4 THEN 'VL' ELSE '' END, ' ', p_type)) LIKE '%vl%' OR lower(p_type) LIKE '%vision%' THEN 'vision_language_unsupported' END,
-CASE WHEN p_partkey % 13 = 0 OR (p_size > 10 AND p_size % 3 = 0) OR p_size = 7 THEN 'hybrid_attention_unsupported' END], lambda x: x IS NOT NULL), ',') AS refusals FROM p""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 23 = 0 AS nothing, lower(concat('fam', p_partkey % 5, CASE WHEN p_partkey % 5 = 4 THEN 'VL' ELSE '' END, ' ', p_type)) AS named,
+CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN 3 WHEN p_partkey % 29 = 0 THEN 0 WHEN p_size = 7 THEN 1 ELSE 4 END AS layers, CASE WHEN p_size > 10 THEN 4 WHEN p_size = 7 THEN 1 END AS kinds FROM part)
+SELECT k AS p_partkey, array_to_string(list_filter([CASE WHEN nothing OR k % 7 = 0 OR k % 11 = 0 OR named LIKE '%vl%' OR named LIKE '%vision%' THEN 'vision_language_outside_supported_domain' END,
+CASE WHEN nothing OR layers IS NULL OR layers <= 0 OR kinds <> layers OR k % 13 = 0 OR (s > 10 AND s % 3 = 0) OR s = 7 THEN 'hybrid_attention_outside_supported_domain' END], lambda x: x IS NOT NULL), ',') AS refusals FROM p""")
 def architecture_refusals(t):
+    """Every 23rd model has nothing that can be read, others no or a wrong number of layers."""
     key, size = F.col("p_partkey"), F.col("p_size")
+    there = lambda c: F.when(key % 23 != 0, c)
     family = F.concat(F.lit("fam"), (key % 5).cast("string"), F.when(key % 5 == 4, "VL").otherwise(""))
     kinds = F.when(size > 10, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when((i == 2) & (size % 3 == 0), "linear_attention").otherwise("full_attention"))).when(size == 7, F.array(F.lit("odd_kind")))
     keys = F.array_compact(F.array(F.when(key % 11 == 0, F.lit("image_token_id")), F.when(key % 13 == 0, F.lit("full_attention_interval")), F.lit("hidden_size")))
-    return t.part.select("p_partkey", F.array_join(R.architecture_refusals(family, F.array("p_type"), kinds, key % 7 == 0, keys), ",").alias("refusals"))
+    layers = F.when(key % 17 == 0, None).when(key % 19 == 0, 3).when(key % 29 == 0, 0).when(size == 7, 1).otherwise(4)
+    refused = R.architecture_refusals(there(family), there(F.array("p_type")), there(kinds), there(key % 7 == 0), there(keys), there(layers))
+    return t.part.select("p_partkey", F.array_join(refused, ",").alias("refusals"))
 
 
 @query("""WITH a AS (SELECT c_custkey AS place, concat('j', c_custkey) AS job, concat('a', c_custkey % 7) AS attempt, 1000.0 * (c_custkey % 50) AS b, 1000.0 * (c_custkey % 50) + 200000 AS e FROM customer),
@@ -92,11 +99,57 @@ def keys_by_status(t):
     return t.orders.where("o_orderstatus = 'F'").select("o_custkey").distinct()
 
 
-@query("""WITH p AS (SELECT o_orderkey, any_value(o_custkey) AS c, any_value(o_orderstatus) AS s FROM orders GROUP BY o_orderkey HAVING count(*) = 1)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN p ON l_orderkey = o_orderkey WHERE l_linestatus IS NOT DISTINCT FROM s""")
+#: Twelve fields that say which run a row is.
+_IDENTITY = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "size", "repeat"]
+
+
+@query("""WITH r AS (SELECT concat(l_orderkey, '-', l_linenumber) AS job, hash_of, kind FROM (SELECT *, (l_orderkey * 7 + l_linenumber) % 29 AS hash_of, CASE WHEN l_orderkey % 3 = 0 THEN 'screen' ELSE 'formal' END AS kind FROM lineitem)),
+n AS (SELECT job, count(*) AS n FROM r GROUP BY job)
+SELECT r.job FROM r JOIN n USING (job) WHERE n.n = 1 AND kind = 'formal' AND hash_of NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)""")
 def active_results(t):
-    plan = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("l_linestatus"))
-    return R.active_results(t.lineitem, plan, "l_orderkey", ["l_linestatus"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Plans that differ from their results in one of the twelve fields, are there twice, are of another kind or have no id."""
+    rows = t.lineitem.withColumns({
+        "job": F.concat("l_orderkey", F.lit("-"), "l_linenumber"), "kind": F.when(F.col("l_orderkey") % 3 == 0, "screen").otherwise("formal"), "size": F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber")),
+        "repeat": (F.col("l_orderkey") % 4).cast("int"), "h": (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 29,
+    })
+    other = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast(rows.schema[c].dataType)) if c == "size" else F.lit(None).cast(rows.schema[c].dataType)
+    plan = rows.select("h", F.when(F.col("h") != 13, F.col("job")).alias("job"), F.when(F.col("h") == 12, "screen").otherwise(F.col("kind")).alias("kind"), *(F.when(F.col("h") == i, other(c)).otherwise(F.col(c)).alias(c) for i, c in enumerate(_IDENTITY)))
+    plan = plan.unionByName(plan.where("h = 14")).drop("h")
+    return R.active_results(rows, plan, "job", _IDENTITY, "kind", "formal").select("job")
+
+
+def _domain(t):
+    """Sizes as a grid against a range, brands as two lists, types of one component alone."""
+    size, brand = F.col("p_size"), F.col("p_brand")
+    one = lambda rows, component, dimension, value, number: rows.select(F.lit(component).alias("component"), F.lit(dimension).alias("dimension"), value.cast("string").alias("value"), number.cast("double").alias("number"), *(F.lit(None).cast("double").alias(c) for c in ("low", "high"))).distinct()
+    none = F.lit(None)
+    bounds = t.part.agg(F.min(size).alias("a"), F.max(size).alias("b")).select(F.lit("packing").alias("component"), F.lit("p_size").alias("dimension"), none.cast("string").alias("value"), none.cast("double").alias("number"), (F.col("a") + 3).cast("double").alias("low"), (F.col("b") - 9).cast("double").alias("high"))
+    parts = [one(t.part.where("p_size % 2 = 0"), "ranking", "p_size", size, size), bounds, one(t.part.where("p_brand < 'Brand#4'"), "ranking", "p_brand", brand, none), one(t.part.where("p_brand > 'Brand#2'"), "packing", "p_brand", brand, none), one(t.part, "ranking", "p_type", F.col("p_type"), none)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_DOMAIN_SQL = """b AS (SELECT min(p_size) + 3 AS lo, max(p_size) - 9 AS hi FROM part),
+s AS (SELECT DISTINCT p_size AS v FROM part WHERE p_size % 2 = 0), r AS (SELECT DISTINCT p_brand AS v FROM part WHERE p_brand < 'Brand#4'), k AS (SELECT DISTINCT p_brand AS v FROM part WHERE p_brand > 'Brand#2')"""
+
+
+@query(f"""WITH {_DOMAIN_SQL}
+SELECT 'p_size' AS dimension, true AS constrained, (SELECT string_agg(v, ',' ORDER BY v) FROM s, b WHERE v BETWEEN lo AND hi) AS agree_on, (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM s, b WHERE v > hi) AS first_only, '' AS second_only, (SELECT CASE WHEN hi IN (SELECT v FROM s) THEN '' ELSE CAST(hi AS VARCHAR) END FROM b) AS boundary_absent, true AS conflict
+UNION ALL SELECT 'p_brand', true, (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM r WHERE v IN (SELECT v FROM k)), (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM r WHERE v NOT IN (SELECT v FROM k)), (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM k WHERE v NOT IN (SELECT v FROM r)), '', true
+UNION ALL SELECT 'p_type', false, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT p_type AS v FROM part)), '', '', '', false""")
+def domain_reconciliation(t):
+    rows = D.reconcile(_domain(t), "ranking", "packing")
+    return rows.select("dimension", "constrained", *(F.array_join(c, ",").alias(c) for c in ("agree_on", "first_only", "second_only", "boundary_absent")), "conflict")
+
+
+@query(f"""WITH {_DOMAIN_SQL}, f AS (SELECT p_partkey, p_size IN (SELECT v FROM s) AND p_brand IN (SELECT v FROM r) AS a, p_size IN (SELECT v FROM s) AND p_size BETWEEN (SELECT lo FROM b) AND (SELECT hi FROM b) AND p_brand IN (SELECT v FROM r) AND p_brand IN (SELECT v FROM k) AS b FROM part)
+SELECT p_partkey, a AS first_available, b AS second_available, CASE WHEN a AND b THEN 'strong' WHEN a OR b THEN 'weak' ELSE 'outside' END AS support, concat_ws(',', CASE WHEN NOT a THEN 'outside_predictor_support_grid' END, CASE WHEN NOT b THEN 'outside_packing_release_domain' END) AS reasons FROM f""")
+def request_support(t):
+    told = D.reconcile(_domain(t), "ranking", "packing")
+    rows = D.classify(t.part.select("p_partkey", "p_size", "p_brand", "p_type"), told, ["p_size", "p_brand"], ["p_size", "p_brand", "p_type"])
+    return rows.select("p_partkey", "first_available", "second_available", "support", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""SELECT count_if(n_chars < 100) AS short, count_if(lang <> 'en') AS foreign_text, count_if(text LIKE '%###%') AS symbols, count_if(NOT (n_chars < 100 OR lang <> 'en' OR text LIKE '%###%')) AS kept FROM documents""")

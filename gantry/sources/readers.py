@@ -136,9 +136,9 @@ def length_profiles(spark: SparkSession, path) -> DataFrame:
 
 def rank_steps(spark: SparkSession, path, schema: T.StructType, step: str = "step") -> DataFrame:
     """Timing records by rank and step; of several for one step the last in the file."""
-    rows = spark.read.schema(schema).json(path).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"rank(\d+)", 1).try_cast("int").alias("rank"), F.monotonically_increasing_id().alias("_line"))
-    w = Window.partitionBy("rank", step).orderBy(F.col("_line").desc())
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_line")
+    rows = spark.read.schema(schema).json(path).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"rank(\d+)", 1).try_cast("int").alias("rank"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    w = Window.partitionBy("rank", step).orderBy(F.col("_block").desc(), F.col("_line").desc())  # ids ascend within a block alone
+    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_block", "_line")
 
 
 def columns_of(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from gantry.operators import generators as G
 from gantry.operators import models as M
 from gantry.operators import relational as R
 from gantry.operators import windows as W
+from gantry.operators.ordered import dominance
 from gantry.sources import readers, schemas, sinks
 from gantry.streaming import incremental as inc
 
@@ -249,7 +250,7 @@ def test_pairs_are_counted_not_formed(spark):
         p, o, w = r.integers(0, 9, n).astype(float), r.integers(0, 9, n).astype(float), r.integers(1, 4, n)
         rows = [(a, b) for a, b, k in zip(p, o, w, strict=True) for _ in range(k)]
         pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[1] != y[1]]
-        assert W.ordered_pairs(p, o, w) == (len(pairs), sum((x[0] - y[0]) * (x[1] - y[1]) > 0 for x, y in pairs))
+        assert dominance(p, o, w) == sum((x[0] - y[0]) * (x[1] - y[1]) > 0 for x, y in pairs)
     rows = [(int(g), i, float(a), float(b), float(c)) for i, (g, a, b, c) in enumerate(zip(r.integers(0, 3, 30), r.normal(size=30), r.normal(size=30), r.normal(size=30), strict=True))]
     g = M.pair_gram(spark.createDataFrame(rows, "s int, i int, a double, b double, y double"), "s", "i", ["a", "b"], "y")
     deltas = np.array([np.subtract(v[2:], u[2:]) for u in rows for v in rows if u[0] == v[0] and u[1] < v[1]])
