@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of `links` (columns a and b, longs).
 
     Each round points every node to its smallest neighbour if that is smaller, follows these pointers to their ends by
-    doubling, and contracts the links to those between different ends: at least half of the nodes that still have
+    going two steps at a time, twice as far each time, and contracts the links to those between different ends: at least half of the nodes that still have
     links go in a round, and only what is left is joined again. Smallest neighbours are found before the shuffle; each
     round is written out.
     """
@@ -22,10 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")), "pointers")
         while True:
+            # two steps at a time: nothing is left to follow once the second one leads nowhere
             ends = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = materialise(step.join(ends, "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "pointers")
+            far = ends.select(F.col("root").alias("next"), F.col("next").alias("far"))
+            moved = materialise(step.join(ends, "root").join(far, "next").select("node", "next", F.col("far").alias("root")), "pointers")
             step = moved.select("node", "root")
-            if moved.where("old <> root").isEmpty():
+            if moved.where("next <> root").isEmpty():
                 break
         if roots is None:
             roots = step

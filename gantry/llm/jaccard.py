@@ -38,7 +38,7 @@ _U = np.uint64
 #: Most members of a tile's side, and of the stretch of a cell that a task looks at at a time.
 TILE, STRETCH = 128, 1024
 #: Keys in a node's head, and keys of round 1.
-HEAD, FIRST = 12, 2
+HEAD, FIRST = 16, 2
 #: Classes of the small count signature that goes with every member of a cell.
 LANES = 32
 #: Node ids that may be broadcast; beyond, the same filter is a shuffled join.
@@ -353,7 +353,8 @@ def passing(rows: DataFrame, percent: int) -> DataFrame:
     """Members of tiles (with bits and head) that have a partner whom the bit counts don't rule out.
 
     A pair that meets in many cells counts in one: where the heads, the least of both nodes' keys, have any in common,
-    in the cell of the least such.
+    in the cell of the least such. So of each head only the keys below the cell's own matter: they are numbered in
+    the tile, and a member has a mask of its numbers.
     """
 
     def run(batches):
@@ -364,10 +365,16 @@ def passing(rows: DataFrame, percent: int) -> DataFrame:
             for a, b in _groups([key, tile]):
                 size, sides, labels = n[a:b].tolist(), side[a:b].tolist(), label[a:b].tolist()
                 maps, widths = [int.from_bytes(x, "little") for x in bits[a:b]], [8 * len(x) for x in bits[a:b]]
-                heads, own = head[a:b], int(key[a])
+                own, number, below = int(key[a]), {}, []
+                for hs in head[a:b]:
+                    mask = 0
+                    for h in hs:
+                        if h < own:
+                            mask |= 1 << number.setdefault(h, len(number))
+                    below.append(mask)
                 ok = [False] * (b - a)
                 for x, y in _pairs(size, sides, percent, max(sides) > 0):
-                    if labels[x] == labels[y] or (ok[x] and ok[y]) or next((h for h in heads[x] if h in heads[y]), own) != own:
+                    if labels[x] == labels[y] or (ok[x] and ok[y]) or below[x] & below[y]:
                         continue
                     w = min(widths[x], widths[y])
                     if may_link(_fold(maps[x], widths[x], w), _fold(maps[y], widths[y], w), size[x], size[y], percent):
