@@ -4,8 +4,8 @@ Entities are found by pattern. A surrogate depends on a key, the kind and the en
 one wherever it stands (coreference), and it fits its kind: e-mail addresses keep their shape and top-level domain,
 card and account numbers their first digit or country and valid check digits, phone numbers their country code,
 addresses stay valid, secrets keep their prefix. Names are replaced word by word, the last word as a family name and
-the others as given names of the title's gender, so that "Mr Smith" stays the father of "Mr John Smith"; script and
-capitals stay, and initials are rotated. E-mail addresses and names that differ only in case are one. All different
+the others as given names of the titles' gender, so that "Mr Smith" stays the father of "Mr John Smith"; script and
+capitals stay, and initials are rotated. A name follows a title or several; without one a word is no name. E-mail addresses and names that differ only in case are one. All different
 entities are then held against each other: where two would share a surrogate, or one would be another entity's
 original, it is drawn again until all are distinct.
 
@@ -26,29 +26,37 @@ from pyspark.sql import functions as F
 from gantry.llm.common import materialise, packed, unpacked
 
 #: Fixed values.
-_TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mademoiselle|Señor|Señora|Señorita|Signor|Signora|Господин|Госпожа"
-#: A label of a host; labels that no top-level domain can begin; a capitalised word, after initials if there are any.
+_TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mademoiselle|Señor|Señora|Señorita|Signor|Signora|Господин|Госпожа|Dr|Prof"
+#: A label of a host; labels that no top-level domain can begin; titles one after another; a capitalised word, or one of a script
+#: without capitals, after initials if there are any.
 _LABEL = "[A-Za-z0-9-]++"
 _ODD = rf"(?:\.(?![A-Za-z]{{2}}){_LABEL})*+"
-_WORD = r"(?:\p{Lu}\.?+ )*+\p{Lu}[\p{L}'-]++"
+_CHAIN = rf"(?:(?:{_TITLES})\.? )++"
+_WORD = r"(?:\p{Lu}\.?+ )*+(?:\p{Lu}[\p{L}\p{M}'-]++|\p{Lo}[\p{L}\p{M}'-]*+)"
 #: Kind: pattern (Java), tried in this order. Runs have no upper bound and are possessive: no entity is cut, no text is tried twice.
 PATTERNS = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:{_ODD}\.(?=[A-Za-z]{{2}}){_LABEL}(?={_ODD}\.[A-Za-z]{{2}}))*+{_ODD}\.[A-Za-z]{{2,}}+",
     "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]*+\s{0,3}[=:][ \t]*+\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}+)",
+    "bearer": r"(?i:(?<![A-Za-z0-9])bearer {1,3}[A-Za-z0-9_~+/.-]{16,}+={0,2})",
+    "jwt": r"(?<![\w.-])eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+",
+    "pem": r"(?<=-----BEGIN PRIVATE KEY-----|-----BEGIN [A-Z]{2,9} PRIVATE KEY-----)[A-Za-z0-9+/=\s]{16,}+(?=-----END)",
     "apikey": r"\b(?:AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "phone": r"(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w])",
-    "name": rf"\b(?:{_TITLES})\.? {_WORD}(?: {_WORD})*+",
+    "name": rf"\b{_CHAIN}{_WORD}(?: {_WORD})*+",
 }
 #: A cheap test that most texts fail.
-_MAYBE = rf"[0-9@]|(?i:password|token|secret|key)|\b(?:{_TITLES})\b"
+_MAYBE = rf"[0-9@]|(?i:password|token|secret|key|bearer)|\b(?:{_TITLES})\b"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HEADS = {
     "secret": r"^(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]*+\s{0,3}[=:][ \t]*+\s{0,3}[\"']?)",
-    "name": rf"^(?:{_TITLES})\.? ",
+    "bearer": r"^(?i:bearer) {1,3}",
+    "jwt": r"^eyJ",
+    "name": rf"^{_CHAIN}",
     "apikey": r"^(?:AKIA|gh[opsu]_|sk-)",
     "phone": r"^(?:\+\d{1,3})?",
 }
@@ -58,6 +66,17 @@ VOWELS = "a e i o u ai au ei".split()
 MIDDLES = "b d g k l ll m n nd r rk s st t v".split()
 ENDS = {"family": "er man son sen ing berg feld ton ley ard".split(), "given:m": "on an ik us or o en ar".split(), "given:f": "a ia ina elle is ara essa ette".split(), "given:n": "y ie ey il ane".split()}
 _MALE, _FEMALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Signor", "Господин"], ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа"]
+#: Name syllables of other scripts, fixed values: pattern, first ones, further ones, ends of given names (male, female, either) and of family names (female ones in -а, -я, -η, -ου apart).
+SCRIPTS = {
+    "Cyrillic": (r"\p{IsCyrillic}", "Ба Ва Га Да За Ка Ла Ма Ни По Ро Са Та Фе".split(), "ба ви го ди ко ле ми ни ро са ти".split(), ("слав мир ор ан ей".split(), "на ра лия ина ся".split(), "ни ко ли".split()), ("ов ин ев ский ук".split(), "ова ина ева ская".split())),
+    "Greek": (r"\p{IsGreek}", "Βα Γα Δη Θε Κα Λα Μα Νι Πα Ρο Στα Τι Φι".split(), "βα γο δη θε κι λα με νι πο ρα".split(), ("νος λος ρης".split(), "να λα ρία".split(), "νι λι".split()), ("δης πουλος κης".split(), "δου λου κη".split())),
+    "Arabic": (r"\p{IsArabic}", "با تا جا حا دا را سا شا فا كا ما نا".split(), "بي تو جم حي دو ري سم شي فر كم".split(), ("ل د ر ن".split(), "ة اء ى".split(), "م ي".split()), ("ني وي ري".split(), "ني وي ري".split())),
+    "Hebrew": (r"\p{IsHebrew}", "בא גא דא הא זא טא יא לא מא נא".split(), "בי גו די לו מי נו רי שי".split(), ("ל ן ר".split(), "ה ית".split(), "י".split()), ("מן ני רי".split(), "מן ני רי".split())),
+    "Devanagari": (r"\p{IsDevanagari}", "अ का गा जा दा ना पा मा रा सा".split(), "नि मि रि वि ति लि".split(), ("श न व".split(), "ता ना या".split(), "ल".split()), ("कर वाल राव".split(), "कर वाल राव".split())),
+    "Han": (r"\p{IsHan}", "李王张刘陈杨赵黄周吴徐孙".strip(), "文明华建国平志海东晓", ("强军刚", "丽芳娟", "宁安林"), ("李王张刘陈杨赵黄周吴", "李王张刘陈杨赵黄周吴")),
+    "Hangul": (r"\p{IsHangul}", "김이박최정강조윤장임", "민서지현도수영하", ("준호석", "희경미", "진우"), ("김이박최정강조윤", "김이박최정강조윤")),
+    "Kana": (r"[\p{IsHiragana}\p{IsKatakana}]", "あかさたなはまやわ", "いきしちにみりうく", ("おろと", "こみえ", "きり"), ("たまし", "たまし")),
+}
 #: Alphabets of initials.
 ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 #: Letters that stand in for letters of the same class; other signs stay.
@@ -74,7 +93,7 @@ def kind_of(entity: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         hit = entity.rlike(f"^(?:{pattern})$")
         out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
-    return out.otherwise(F.lit("card"))
+    return out.otherwise(F.lit("pem"))  # the one kind that is told by what stands before it
 
 
 def head_of(kind: Column, entity: Column) -> Column:
@@ -90,8 +109,8 @@ def parts(entity: Column) -> Column:
     """struct(kind, head, value, given) of an entity; `given` is the kind of a name's given names."""
     kind = kind_of(entity)
     head = head_of(kind, entity)
-    title = F.regexp_replace(head, r"[. ]", "")
-    gender = F.when(title.isin(_MALE), F.lit("given:m")).when(title.isin(_FEMALE), F.lit("given:f")).otherwise(F.lit("given:n"))
+    titled = lambda titles: head.rlike(rf"\b(?:{'|'.join(titles)})\b")
+    gender = F.when(kind != "name", F.lit("given:n")).when(titled(_FEMALE), F.lit("given:f")).when(titled(_MALE), F.lit("given:m")).otherwise(F.lit("given:n"))
     return F.struct(kind.alias("kind"), head.alias("head"), F.substring(entity, F.length(head) + 1, F.length(entity)).alias("value"), gender.alias("given"))
 
 
@@ -187,10 +206,27 @@ def _syllables(kind: Column, noise: Column, attempt: int) -> Column:
     return F.lower(F.concat(pick(ONSETS, 0), pick(VOWELS, 5), *(x for k in range(attempt + 2) for x in (pick(MIDDLES, 9 + 6 * k), *((pick(VOWELS, 12 + 6 * k),) if k <= attempt else ()))), end))
 
 
+def _of_script(script: str, kind: Column, value: Column, noise: Column, attempt: int) -> Column:
+    """A name from a script's own syllables; it is longer with every attempt, and a family name in a female form stays in one."""
+    _, onsets, middles, given, family = SCRIPTS[script]
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(noise, F.lit(at)), F.lit(len(words))).cast("int") + 1)
+    female = value.rlike("(?:а|я|η|ου)$")
+    end = F.when(kind == "given:m", pick(given[0], 90)).when(kind == "given:f", pick(given[1], 91)).when(kind == "given:n", pick(given[2], 92)).when(female, pick(family[1], 93)).otherwise(pick(family[0], 94))
+    return F.lower(F.concat(pick(onsets, 0), *(pick(middles, 9 + 6 * k) for k in range(attempt + 1)), end))
+
+
 def _name(kind: Column, value: Column, noise: Column, attempt: int) -> Column:
-    """A word of a name, in lower case and of the same script; of Latin letters where the script is another than Latin, Cyrillic and Greek."""
-    same = value.rlike(r"^[\p{IsCyrillic}\p{IsGreek}'-]+$") if attempt < 4 else F.lit(False)
-    return F.when(same, _same_class(value, noise)).otherwise(_syllables(kind, noise, attempt))
+    """A word of a name, in lower case, of the script that its first letter has; of Latin letters where that script has no syllables here."""
+    out = None
+    for script, (pattern, *_) in SCRIPTS.items():
+        hit, new = value.rlike(f"^{pattern}"), _of_script(script, kind, value, noise, attempt)
+        out = F.when(hit, new) if out is None else out.when(hit, new)
+    return out.otherwise(_syllables(kind, noise, attempt))
+
+
+def _hex_digits(value: Column, noise: Column) -> Column:
+    """Each hexadecimal digit becomes another; other signs stay."""
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(noise, F.pmod(i, F.lit(255)).cast("int") + 1, F.lit(1))).when(c.rlike("[A-F]"), F.upper(F.substring(noise, F.pmod(i, F.lit(255)).cast("int") + 1, F.lit(1)))).otherwise(c)), "")
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
@@ -204,7 +240,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     drawn = F.substring(F.repeat(noise, F.ceil(F.length(value) / 256).cast("int")), F.lit(1), F.length(value))
     hexadecimal = F.when(value.rlike("^[0-9a-f]+$"), drawn).when(value.rlike("^[0-9A-F]+$"), F.upper(drawn))
     return (
-        F.when((kind == "secret") & hexadecimal.isNotNull(), hexadecimal).when(kind == "ip", octets).when(kind == "email", email).when(kind == "card", _card(value, noise))
+        F.when((kind == "secret") & hexadecimal.isNotNull(), hexadecimal).when(kind == "ip", octets).when(kind == "ip6", _hex_digits(value, noise)).when(kind == "email", email).when(kind == "card", _card(value, noise))
         .when(kind == "iban", _iban(value, plain)).when(kind.isin(list(ENDS)), _name(kind, value, noise, attempt)).otherwise(plain)
     )
 
