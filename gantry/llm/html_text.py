@@ -9,8 +9,10 @@ heading before them, and text that stands in the body itself.
 
 Names only weigh in: text in elements for menus, footers, asides and forms counts as link text, `article` and `main`
 elements count four times in the choice of the core, and a core within one grows to it. Within what density keeps,
-elements that are boilerplate by such a name or by a whole class name (never by a part of one) are left out, unless
-they hold an article or, on a page without articles, half of the text. What is never shown (scripts, styles, hidden elements) is not parsed.
+elements that are boilerplate by such a name or by a whole class name are left out, unless they hold an article or, on
+a page without articles, half of the text. A part of a compound name ("user-comments") is evidence of the same kind where it
+stands outside articles (a few words count inside them too), but never against an element with half of the page's text. Where
+the core is an article, what stands beside it without one is left out, but for a heading right before it. What is never shown (scripts, styles, hidden elements) is not parsed.
 
 Cases: null, empty or text-free html gives an empty text; broken or cut markup is closed at the end; plain text without
 tags is one block; nesting of any depth is walked without recursion.
@@ -42,11 +44,15 @@ CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption".spli
 CHROME = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header site-header page-header masthead footer site-footer page-footer sidebar aside widget notice cookie cookies cookie-notice cookie-banner consent gdpr banner ad ads ad-banner advert adverts advertisement advertising sponsor sponsored promo promotion popup modal overlay newsletter newsletter-signup subscribe subscription signup login comment comments comment-list comments-area comment-section disqus discussion respond reply replies share sharing share-buttons social social-share related related-posts recommended pagination pager skip-link toolbar topbar copyright disclaimer".split()
 )
+#: Words that tell of boilerplate as a part of a compound class name or id, and those that do so even inside an article.
+PARTS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related share sharing sidebar social sponsor sponsored subscribe subscription widget".split()
+PARTS_INSIDE = "advert adverts advertisement comments disqus newsletter sponsored".split()
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I | re.S)
 _SPACE = re.compile(r"\s+")
+_PART, _PART_INSIDE = (re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words)})(?![^\s_-])") for words in (PARTS, PARTS_INSIDE))
 
 
 class Node:
@@ -54,7 +60,7 @@ class Node:
 
     def __init__(self, name: str, parent: Node | None, noise: int = 0):
         self.name, self.parent = name, parent
-        #: 0, or 1 for boilerplate by its class, 2 by its element's or role's name.
+        #: 0, or 1 for boilerplate by its class, 2 by its element's or role's name, 3 by a part of a compound name.
         self.noise = noise
         self.block = name in BLOCK or parent is None
         self.children: list = []  # nodes and strings in page order
@@ -77,8 +83,8 @@ def _attributes(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
             continue
         if key == "role" and value in ROLES:
             noise = 2
-        elif key in ("class", "id") and not noise and not CHROME.isdisjoint(value.split()):
-            noise = 1
+        elif key in ("class", "id") and not noise:
+            noise = 1 if not CHROME.isdisjoint(value.split()) else 3 if (_PART_INSIDE if inside else _PART).search(value) else 0
     return False, noise
 
 
@@ -182,16 +188,16 @@ def weigh(root: Node, names: bool = True) -> list[Node]:
             node.parent.chars, node.parent.tags, node.parent.article = node.parent.chars + node.chars, node.parent.tags + node.tags, node.parent.article or node.article
     body = next((n for n in nodes if n.name == "body"), root)
     for node in nodes:  # noise that holds an article is none, and on pages without articles what holds half of the text
-        if node.noise and (not names or node.article or (not body.article and 2 * node.chars >= body.chars)):
+        if node.noise and (not names or node.article or ((node.noise == 3 or not body.article) and 2 * node.chars >= body.chars)):
             node.noise = 0
     for node in reversed(nodes):
-        if node.name == "a" or node.noise == 2:
+        if node.name == "a" or node.noise >= 2:
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
         if node.parent is not None:
             node.parent.link_chars, node.parent.link_tags = node.parent.link_chars + node.link_chars, node.parent.link_tags + node.link_tags
     of_body = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        if not node.chars or node.noise == 2:
+        if not node.chars or node.noise >= 2:
             continue
         plain = max(node.chars - node.link_chars, 1)
         base = math.log(node.chars * node.link_chars / plain + of_body * node.chars + math.e)
@@ -226,6 +232,7 @@ def kept(root: Node, nodes: list[Node]) -> set[int]:
     threshold = min((n.density for n in path), default=0.0)
     above = {id(n) for n in path} | {id(body), id(root)}
     search = [n for n in nodes if id(n) in above or n.name == "html"]
+    alone = bool(path) and core.name in ARTICLE
     for parent in search:
         if parent is core and id(core) in out:
             continue
@@ -233,7 +240,7 @@ def kept(root: Node, nodes: list[Node]) -> set[int]:
             stack = [child]
             while stack:
                 x = stack.pop()
-                if not x.chars:
+                if not x.chars or (alone and not x.article):
                     continue
                 if x.block and (x.density >= threshold > 0 or (not path and 2 * x.link_chars < x.chars)):
                     best = x.best if path else x

@@ -23,7 +23,7 @@ CASES = {
     "host fe80::1ff:fe23:4567:890a end": (["fe80", "890a"], r"host [0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4} end"),
     "2001:0db8:85a3:0000:0000:8a2e:0370:7334": (["0db8", "7334"], r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}"),
     "Authorization: Bearer abcdefghijklmnop1234567890XYZ== end": (["ghijkl", "4567890"], r"Authorization: Bearer [A-Za-z0-9]{29}== end"),
-    "x eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4 y": (["hbGciOi", "SflKxw"], r"x eyJ[A-Za-z0-9]{17}\.[A-Za-z0-9]{20}\.[A-Za-z0-9]{19} y"),
+    "x eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4 y": (["hbGciOi", "SflKxw"], r"x eyJ[A-Za-z0-9]{17}\.[A-Za-z0-9]{19}\.[A-Za-z0-9]{18} y"),
     "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQEA\nEFGH5678\n-----END RSA PRIVATE KEY----- end": (["MIIEow", "5678"], r"-----BEGIN RSA PRIVATE KEY-----\n[A-Za-z]{16}\n[A-Z]{4}\d{4}\n-----END RSA PRIVATE KEY----- end"),
 }
 #: Texts without entities.
