@@ -8,6 +8,8 @@ from gantry.functions import nested as A
 from gantry.functions import numeric as N
 from gantry.functions import stats as S
 from gantry.functions import strings as T
+from gantry.functions import tokens
+from gantry.operators import media as M
 from gantry.plans.base import query
 
 @query("""SELECT p_partkey, greatest(512, CAST(ceil(p_retailprice / 512) AS BIGINT) * 512) AS cutoff, round(p_size / nullif(p_partkey % 5, 0), 9) AS ratio FROM part""")
@@ -283,3 +285,67 @@ def conversation_crop(t):
 def media_profile(t):
     images = F.transform(F.sequence(F.lit(1).cast("long"), F.col("p_partkey") % 3 + 1), lambda k: F.struct((F.col("p_size") * k).alias("tokens")))
     return A.media_profile(t.part.withColumn("images", images), ["p_brand"], "images")
+
+
+def _exchanges(t):
+    """Conversations with their turns in order, as messages."""
+    turn = F.struct("turn", F.col("role"), F.col("text").alias("content"))
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    return rows.select("conv_id", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def token_profile(t):
+    """Turns and tokens of each conversation by a tokenizer; SQL can't run one."""
+    return tokens.token_profile(_exchanges(t), _vocabulary(), template=tokens.CHAT).drop("messages")
+
+
+@query()
+def token_capped(t):
+    """Conversations cut to 600 tokens by a tokenizer."""
+    out = tokens.capped_to_tokens(_exchanges(t), 600, _vocabulary(), template=tokens.CHAT)
+    return out.select("conv_id", "transformation", "original_tokens", "reference_tokens_after_crop", F.sha2(F.to_json("messages"), 256).alias("messages_sha256"))
+
+
+def _samples(t):
+    """Parts as samples of one to three pictures, some with a grid, some of a size that is no multiple of patches."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    image = lambda k: F.struct(
+        F.when(key % 4 == 0, F.array(F.lit(1), size * 2, k * 2)).alias("grid_thw"), (size * 28 + F.when(key % 31 == 0, 1).otherwise(0)).alias("width"), (k * 28).alias("height"), F.lit(None).cast("long").alias("frames"),
+        F.when(key % 5 == 0, size * k + F.when(key % 35 == 0, 1).otherwise(0)).alias("visual_tokens"), F.lit(None).cast("long").alias("pixels"),
+    )
+    return t.part.select(
+        key.alias("sample_id"), F.when(key % 3 > 0, F.col("p_brand")).alias("task_family"), F.transform(F.sequence(F.lit(1).cast("long"), key % 3 + 1), image).alias("images"), F.when(key % 2 == 0, key % 400).alias("text_tokens"),
+        (key % 300 + 5).alias("padded_tokens"), (key % 60).alias("label_tokens"), F.lit(None).cast("long").alias("repeated_prompt_tokens"),
+    )
+
+
+_SAMPLES = """s AS (SELECT p_partkey AS k, p_size AS z, 1 + p_partkey % 3 AS n, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'causal_vl_sft' END AS task_family, CAST(p_partkey % 60 AS BIGINT) AS label FROM part),
+r AS (SELECT *, n AS image_count, CAST(z * n * (n + 1) // 2 AS BIGINT) AS visual, CASE WHEN k % 2 = 0 THEN k % 400 ELSE k % 300 + 5 - n END AS txt, CASE WHEN k % 4 > 0 AND k % 31 = 0 THEN 'patches' WHEN k % 35 = 0 THEN 'declared' END AS bad FROM s),
+e AS (SELECT *, coalesce(bad, CASE WHEN txt + visual < label THEN 'labels' END) AS error, CASE WHEN txt + visual > 0 THEN visual / (txt + visual) ELSE 0 END AS ratio FROM r)"""
+
+
+@query(f"""WITH {_SAMPLES} SELECT CAST(k AS VARCHAR) AS sample_id, task_family, image_count, CASE WHEN error IS DISTINCT FROM 'patches' THEN visual END AS visual_tokens_total, txt AS text_tokens, CASE WHEN error IS DISTINCT FROM 'patches' THEN round(ratio, 9) END AS image_token_ratio, error FROM e""")
+def media_records(t):
+    rows, sized = M.media_records(_samples(t)), F.coalesce(F.col("error") != "patches", F.lit(True))
+    return rows.select("sample_id", "task_family", "image_count", F.when(sized, F.col("visual_tokens_total")).alias("visual_tokens_total"), "text_tokens", F.when(sized, F.round("image_token_ratio", 9)).alias("image_token_ratio"), "error")
+
+
+_STATS = "count(*) AS n, round(min(v), 9) AS least, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.9), 9) AS p90, round(quantile_cont(v, 0.95), 9) AS p95, round(quantile_cont(v, 0.99), 9) AS p99, round(max(v), 9) AS most"
+
+
+@query(f"""WITH {_SAMPLES}, g AS (SELECT * FROM e WHERE error IS NULL),
+f AS (SELECT task_family, 'image_count' AS field, CAST(image_count AS DOUBLE) AS v FROM g UNION ALL SELECT task_family, 'visual_tokens_total', visual FROM g UNION ALL SELECT task_family, 'text_tokens', txt FROM g UNION ALL SELECT task_family, 'label_tokens', label FROM g
+UNION ALL SELECT task_family, 'repeated_prompt_tokens', 0 FROM g UNION ALL SELECT task_family, 'total_tokens', txt + visual FROM g UNION ALL SELECT task_family, 'image_token_ratio', ratio FROM g UNION ALL SELECT task_family, 'visual_tokens_per_image', z * i FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM g))
+SELECT task_family, field, {_STATS} FROM f GROUP BY task_family, field UNION ALL SELECT 'all', field, {_STATS} FROM f GROUP BY field""")
+def media_summary(t):
+    """Distributions of all fields by task and over all records."""
+    records = M.media_records(_samples(t))
+    both = M.media_summary(records, ["task_family"]).unionByName(M.media_summary(records).withColumn("task_family", F.lit("all")))
+    return both.select("task_family", "field", "n", *(F.round(c, 9).alias({"min": "least", "max": "most"}.get(c, c)) for c in ("min", "mean", "p50", "p90", "p95", "p99", "max")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,12 @@ def length(spark: SparkSession, path: str) -> int | None:
     return fs.getFileStatus(p).getLen() if fs.exists(p) and fs.getFileStatus(p).isFile() else None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's listings name it."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """What a folder holds; nothing where there is none."""
     fs, p = _at(spark, path)
@@ -76,12 +82,13 @@ def write_named(rows: DataFrame, folder: str, order: str, line_end: str = "\n")
 
 
 def store_of(uri: str):
-    """pyarrow's file system of a path, and the path in it."""
+    """pyarrow's file system of a path as Spark names it, unescaped, and the path in it."""
     from pyarrow import fs
 
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    if uri.startswith("/") or scheme == "file":
+        return fs.LocalFileSystem(), uri if uri.startswith("/") else "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@?=&"))
 
 
 def open_uri(uri: str):
@@ -90,6 +97,19 @@ def open_uri(uri: str):
     return store.open_input_file(path)
 
 
+#: SHA-256 of no bytes.
+EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def is_empty(uri: str) -> bool:
+    """Whether there is a file without content, seen from a task."""
+    from pyarrow import fs
+
+    store, path = store_of(uri)
+    info = store.get_file_info(path)
+    return info.type == fs.FileType.File and info.size == 0
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Mark a folder to be deleted when the application ends."""
     fs, p = _at(spark, path)

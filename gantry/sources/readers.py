@@ -208,9 +208,43 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.listed(spark, path).select("path").mapInPandas(run, "path string, width int, height int")
 
 
+def file_digests(spark: SparkSession, root: str, block: int = 8 << 20) -> DataFrame:
+    """path under the root, length and sha256 of all files below it, read in tasks a block at a time."""
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for uri in pdf["uri"]:
+                digest = hashlib.sha256()
+                with files.open_uri(uri) as f:
+                    while part := f.read(block):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pdf.assign(sha256=found)[["path", "length", "sha256"]]
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("uri"), "length")
+    below = len(files.qualified(spark, root).rstrip("/")) + 2
+    return listed.withColumn("path", F.expr(f"substring(uri, {below})")).mapInPandas(run, "path string, length long, sha256 string")
+
+
 def verified_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Manifest (path under the root, sha256) against the files: ok, mismatched or missing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("_p"), F.sha2("content", 256).alias("_sha"))
-    both = manifest.join(files, F.col("_p").endswith(F.concat(F.lit("/"), F.col("path"))), "left")
+    """Manifest (path under the root, sha256) against the files: ok, mismatched or missing.
+
+    Spark's listing leaves out empty files, so a path that it does not have is looked at by itself.
+    """
+    there = file_digests(spark, root).select(F.col("path").alias("_p"), F.col("sha256").alias("_sha"))
+    both = manifest.select("path", "sha256").join(there, F.col("path") == F.col("_p"), "left").drop("_p")
+    top = files.qualified(spark, root).rstrip("/")
+
+    def look(batches):
+        for pdf in batches:
+            pdf["_sha"] = [files.EMPTY_SHA if files.is_empty(f"{top}/{p}") else None for p in pdf["path"]]
+            yield pdf
+
+    both = both.where("_sha IS NOT NULL").unionByName(both.where("_sha IS NULL").mapInPandas(look, both.schema))
     state = F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") == F.col("sha256"), "ok").otherwise("mismatched")
     return both.select("path", state.alias("state"))
