@@ -128,15 +128,24 @@ def source_registry(t):
     return readers.registry(t.spark, {f"{folder}/memory.jsonl": ("memory", "family"), f"{folder}/throughput.jsonl": ("throughput", "job")}).select("job_id", "phase", "record_type")
 
 
-@query("""SELECT c_custkey, concat('ask ', c_name, CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'more' ELSE '' END) AS asked, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END AS parts FROM customer""")
+@query("""SELECT CASE WHEN c_custkey % 2 = 0 THEN 'asked' ELSE 'talks' END AS source_dataset, concat(CASE WHEN c_custkey % 2 = 0 THEN 'asked:' ELSE 'talks:' END, c_custkey) AS sample_id,
+CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN concat('user=ask ', c_name, CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'Input:' || chr(10) || 'more' ELSE '' END, '|assistant=said')
+WHEN c_custkey % 5 = 0 THEN concat('system=be brief|user=', c_name, '|assistant=said') WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('user=', c_name, '|assistant=said') END AS talk FROM customer""")
 def source_conversations(t):
-    """Instruction rows as conversations; a blank system part is left out."""
-    rows = t.customer.select("c_custkey", F.concat(F.lit("ask "), F.col("c_name")).alias("instruction"), F.when(F.col("c_custkey") % 3 == 0, "more").otherwise(" ").alias("input"), F.lit("said").alias("output"), F.when(F.col("c_custkey") % 2 == 0, "be brief").otherwise(" ").alias("system"))
-    path = _folder(t)
-    rows.write.json(path)
-    pool = readers.lines(t.spark, path, schemas._struct(c_custkey=schemas._L, instruction=schemas._S, input=schemas._S, output=schemas._S, system=schemas._S))
-    out = readers.normalised_conversations(pool, "instruction")
-    return out.select("c_custkey", F.element_at(F.filter("messages", lambda m: m["role"] == "user"), 1)["content"].alias("asked"), F.size("messages").alias("parts"))
+    """Two pools, one of instructions and one of messages; rows without an answer and those out of turn are none."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    answer = F.when(key % 7 == 0, " ").otherwise(" said ")
+    asked = _lines(t.customer.where("c_custkey % 2 = 0"), F.lit("asked.jsonl"), key, source_index=key, instruction=F.concat(F.lit(" ask "), name), input=F.when(key % 3 == 0, "more").otherwise(" "), output=answer)
+    said = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    brief = F.when(key % 5 == 0, F.array(said(F.lit("system"), F.lit("be brief")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
+    turns = F.concat(brief, F.array(said(F.when((key % 11 == 0) & (key % 5 != 0), "assistant").otherwise("user"), name), said(F.lit("assistant"), answer)))
+    talks = _lines(t.customer.where("c_custkey % 2 = 1"), F.lit("talks.jsonl"), key, source_index=key, messages=turns)
+    infos = t.customer.groupBy(F.when(key % 2 == 0, "asked").otherwise("talks").alias("id")).agg(F.count("*").alias("n"))
+    infos = infos.select(F.concat("id", F.lit(".json")).alias("name"), "n", F.to_json(F.struct("id", F.lit("r1").alias("revision"), F.col("n").alias("pool_rows"))).alias("value"))
+    folder = _landed(t, asked.unionByName(talks).unionByName(infos))
+    sizes = {p: {"form": form, "pool_size": n, "revision": "r1"} for p, form, n in (("asked", "alpaca", t.customer.where("c_custkey % 2 = 0").count()), ("talks", "messages", t.customer.where("c_custkey % 2 = 1").count()))}
+    rows = readers.pools(t.spark, folder, sizes)
+    return rows.select("source_dataset", "sample_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("talk"))
 
 
 @query("""SELECT c_custkey % 3 = 0 AS valid, count(*) AS n FROM customer GROUP BY 1""")

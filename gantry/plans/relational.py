@@ -372,3 +372,16 @@ def prune_anti(t):
 def guarded_update(t):
     updates = t.orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
     return R.guarded_update(t.orders.select("o_orderkey", "o_orderstatus"), updates, "o_orderkey", "o_orderstatus", "P").select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH' AND o_custkey % 10 = 3 ORDER BY o_orderdate DESC, o_orderkey""")
+def filtered_scan(t):
+    """All rows of the filters that are set, the newest first."""
+    rows = t.orders.withColumn("campaign", F.col("o_custkey") % 10)
+    return R.matching(rows, {"o_orderpriority": "2-HIGH", "o_orderstatus": None, "campaign": 3}).orderBy(F.col("o_orderdate").desc(), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase') ORDER BY ts DESC, event_id DESC LIMIT 40""")
+def recent_events(t):
+    """The newest events of a log, newest first."""
+    return R.page(t.events.where("event_type IN ('error', 'purchase')").orderBy(F.col("ts").desc(), F.col("event_id").desc()), 40, 0).select("event_id", "event_type")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.functions import strings
+from gantry.functions import nested, strings
 from gantry.sources import files
 from gantry.sources import schemas as X
 
@@ -101,14 +101,44 @@ def next_folders(listing: DataFrame, running: Sequence[str], phases: Sequence[st
 
 
 def normalised_conversations(rows: DataFrame, form: str) -> DataFrame:
-    """Instruction rows or message rows as `messages`; blank system parts are left out."""
-    if form == "instruction":
-        ask = F.concat_ws("\n", F.col("instruction"), F.when(F.length(F.trim(F.coalesce("input", F.lit("")))) > 0, F.col("input")))
-        pairs = [("system", F.col("system") if "system" in rows.columns else F.lit(None).cast("string")), ("user", ask), ("assistant", F.col("output"))]
-        made = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in pairs))
-    else:
-        made = F.col("messages")
-    return rows.select("*", F.filter(made, lambda m: (m["role"] != "system") | (F.length(F.trim(F.coalesce(m["content"], F.lit("")))) > 0)).alias("_m")).drop("messages").withColumnRenamed("_m", "messages")
+    """`rows` with `messages` in place of instruction fields (form `alpaca`) or raw messages; null where a row is none.
+
+    Contents are stripped. An instruction row needs an instruction and an output, its input goes below the instruction. Messages
+    need a known role and a content each, an optional leading system message, then user and assistant in turns, in pairs.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    if form == "alpaca":
+        ask, more, answer = (strip(F.col(c)) for c in ("instruction", "input", "output"))
+        user = F.when(more != "", F.concat(ask, F.lit("\n\nInput:\n"), more)).otherwise(ask)
+        made = F.when((ask != "") & (answer != ""), F.array(message(F.lit("user"), user), message(F.lit("assistant"), answer)))
+        return rows.withColumn("messages", made)
+    clean = F.transform("messages", lambda m: message(strip(m["role"]), strip(m["content"])))
+    known = F.forall(clean, lambda m: m["role"].isin("system", "user", "assistant") & (m["content"] != ""))
+    rest = nested.without_system(clean)
+    turns = F.forall(F.transform(rest, lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    return rows.withColumn("messages", F.when(known & turns & (F.size(rest) > 0) & (F.size(rest) % 2 == 0), clean))
+
+
+def pools(spark: SparkSession, folder: str, specs: Mapping[str, Mapping]) -> DataFrame:
+    """Source pools below `folder` as one table: source_dataset, source_index, sample_id, messages.
+
+    `specs` maps a pool to its form, pool_size and revision. `<pool>.jsonl` holds its rows and `<pool>.json` what is known of them;
+    another number of rows or another revision is an error.
+    """
+    out = None
+    for name, spec in specs.items():
+        info = document(spark, f"{folder}/{name}.json", X.POOL_INFO).first()
+        if info is None or info["revision"] != spec["revision"]:
+            raise ValueError(f"pool {name} has revision {info and info['revision']}, not {spec['revision']}")
+        rows = normalised_conversations(lines(spark, f"{folder}/{name}.jsonl", X.POOL_ROW), spec["form"])
+        part = rows.select(F.lit(name).alias("source_dataset"), "source_index", F.concat(F.lit(f"{name}:"), "source_index").alias("sample_id"), "messages")
+        out = part if out is None else out.unionByName(part)
+    found = {r["source_dataset"]: r["count"] for r in out.groupBy("source_dataset").count().collect()}  # one row a pool
+    for name, spec in specs.items():
+        if found.get(name, 0) != spec["pool_size"]:
+            raise ValueError(f"pool {name} has {found.get(name, 0)} rows, not {spec['pool_size']}")
+    return out
 
 
 def business_records(spark: SparkSession, path) -> DataFrame:

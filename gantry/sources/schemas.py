@@ -31,3 +31,5 @@ CONVERSATION = _struct(messages=T.ArrayType(_struct(role=_S, content=_S)))
 LENGTHS = _struct(sample_id=_S, total_tokens=_I, label_tokens=_I, turns=_I, assistant_turns=_I)
 #: Columns of telemetry files: the first six always, the rest in extended files. All are read as text.
 TELEMETRY = ("timestamp", "index", "memory", "utilization", "power", "clock", "temperature", "fan", "thermal_limit", "power_limit", "software_limit")
+POOL_ROW = _struct(source_index=_L, instruction=_S, input=_S, output=_S, messages=T.ArrayType(_struct(role=_S, content=_S)))
+POOL_INFO = _struct(id=_S, revision=_S, pool_rows=_L)
