@@ -70,3 +70,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
         known.remove(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver's garbage collected, so that Spark's cleaner deletes the shuffle files of plans that are done.
+
+    Executors keep these files until then; between large steps whose results are written tables they are of no more use.
+    """
+    spark._jvm.java.lang.System.gc()
