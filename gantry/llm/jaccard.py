@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import byte_chunks, column_bytes, materialise, mix64, text_batches, whole_groups, word_hashes
 from gantry.llm.graph import components
+from gantry.session import let_go
 
 _U = np.uint64
 #: Most members of a tile's side, and of the stretch of a cell that a task looks at at a time.
@@ -462,11 +463,13 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
 
     first = nodes.select(F.explode("mins").alias("key"), "node", "n", F.col("node").alias("label"), "counts")
     found = materialise(_verify(docs, _passing(cells(first, percent, False), _maps(nodes, "mins"), percent), sets, percent, words, doc_id, text), "links")
+    let_go(spark)
     roots = components(found)
 
     labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", "counts", F.coalesce("root", "node").alias("label"))
     rest = labelled.select(F.explode("prefix").alias("key"), "node", "n", "label", "counts")
     more = materialise(_verify(docs, _passing(cells(rest, percent, True), _maps(nodes, "prefix"), percent), sets, percent, words, doc_id, text), "links")
+    let_go(spark)
     tops = components(more)  # of the components of round 1
     joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     roots = materialise(joined.unionByName(tops.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
@@ -483,7 +486,10 @@ def _maps(nodes: DataFrame, keys: str) -> DataFrame:
 
 
 def _passing(tiles: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    return materialise(passing(tiles.join(bits, "node"), percent), "cells")
+    let_go(tiles.sparkSession)  # of the shuffle that dealt the tiles
+    out = materialise(passing(tiles.join(bits, "node"), percent), "cells")
+    let_go(tiles.sparkSession)
+    return out
 
 
 def _verify(docs: DataFrame, tiles: DataFrame, sets: DataFrame, percent: int, words: int, doc_id: str, text: str) -> DataFrame:
