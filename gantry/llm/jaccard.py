@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import byte_chunks, column_bytes, materialise, mix64, text_batches, whole_groups, word_hashes
 from gantry.llm.graph import components
-from gantry.session import let_go
+from gantry.session import discard, let_go, written
 
 _U = np.uint64
 #: Most members of a tile's side, and of the stretch of a cell that a task looks at at a time.
@@ -459,12 +459,14 @@ def with_components(docs: DataFrame, *, words: int = 3, percent: int = 90, doc_i
     sig = materialise(signatures(docs, words, percent, common, doc_id, text), "signatures")
     common.unpersist()
     sets = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "sets")
-    nodes = sig.where(F.col("prefix").isNotNull())
+    nodes, begun = sig.where(F.col("prefix").isNotNull()), len(written(spark))
 
     first = nodes.select(F.explode("mins").alias("key"), "node", "n", F.col("node").alias("label"), "counts")
     found = materialise(_verify(docs, _passing(cells(first, percent, False), _maps(nodes, "mins"), percent), sets, percent, words, doc_id, text), "links")
     let_go(spark)
-    roots = components(found)
+    stay = written(spark)[:begun]
+    roots = materialise(components(found), "roots")
+    discard(spark, [p for p in written(spark)[:-1] if p not in stay])  # what round 1 has made on its way
 
     labelled = nodes.join(roots, "node", "left").select("node", "n", "prefix", "counts", F.coalesce("root", "node").alias("label"))
     rest = labelled.select(F.explode("prefix").alias("key"), "node", "n", "label", "counts")
