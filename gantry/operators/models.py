@@ -446,6 +446,51 @@ def joint_candidates(rows: DataFrame, keys: Sequence[str], outcome: str, predict
     return out.withColumns({"admitted": admitted, "safe": safe}).drop("_ran")
 
 
+def _rankable() -> Column:
+    return F.col("admitted") & (F.col("predicted_rate_lower") > 0) & (F.col("rate") > 0)
+
+
+def gated_ranking(candidates: DataFrame, groups: Sequence[str], ident: str) -> DataFrame:
+    """For each group the candidate that admission by memory and then the lower bound of throughput pick, against the best that was safe.
+
+    From `joint_candidates`: candidates, real_safe, rankable, safety_failures (admitted, but failed or over the limit), selected,
+    oracle, regret and hit. Nothing picked where something safe was measured is a regret of 1; with nothing safe there is none.
+    """
+    ok, safe = F.coalesce(_rankable(), F.lit(False)), F.coalesce(F.col("safe") & (F.col("rate") > 0), F.lit(False))
+    over = F.coalesce(F.col("observed") > F.col("safe_limit"), F.lit(False))
+    order = F.struct(F.col("predicted_rate_lower"), -F.col(ident))
+    out = candidates.groupBy(*groups).agg(
+        F.count("*").alias("candidates"), F.count_if(safe).alias("real_safe"), F.count_if(ok).alias("rankable"), F.count_if(F.col("admitted") & (F.col("failed") | over)).alias("safety_failures"),
+        F.max_by(F.struct(F.col(ident).alias("id"), F.col("rate").alias("rate")), F.when(ok, order)).alias("_pick"), F.max(F.when(safe, F.col("rate"))).alias("oracle"),
+    )
+    regret = F.when(F.col("oracle").isNotNull(), F.when(F.col("_pick").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), (F.col("oracle") - F.col("_pick.rate")) / F.col("oracle"))))
+    hit = F.when(F.col("oracle").isNotNull(), F.coalesce(F.col("_pick.rate") >= 0.9 * F.col("oracle"), F.lit(False)))
+    return out.select(*groups, "candidates", "real_safe", "rankable", "safety_failures", F.col("_pick.id").alias("selected"), "oracle", regret.alias("regret"), hit.alias("hit"))
+
+
+def scaling_pairs(candidates: DataFrame, scenario: str, cards: str, ident: str) -> DataFrame:
+    """Per scenario the picks of N and of 2 N cards, both admitted: predicted and observed ratios and the log of how they differ."""
+    pick = F.max_by(F.struct(F.col("predicted_rate").alias("p"), F.col("rate").alias("r")), F.struct(F.col("predicted_rate_lower"), -F.col(ident)))
+    picked = candidates.where(_rankable() & (F.col("predicted_rate") > 0)).groupBy(scenario, cards).agg(pick.alias("x"))
+    twice = picked.select(scenario, (F.col(cards) / 2).alias(cards), F.col("x").alias("y"))  # 2 N told as N
+    both = picked.join(twice, [scenario, cards])
+    predicted, observed = F.col("y.p") / F.col("x.p"), F.col("y.r") / F.col("x.r")
+    return both.select(scenario, F.col(cards).alias("from_cards"), (F.col(cards) * 2).alias("to_cards"), predicted.alias("predicted_ratio"), observed.alias("observed_ratio"), F.log(observed / predicted).alias("residual"))
+
+
+def scaling_claims(pairs: DataFrame, fold: str, coverage: str, least: float = 1.8) -> DataFrame:
+    """Whether to claim that twice the cards give `least` times the rate: `pairs` with lower_ratio, claimed and cleared.
+
+    A fold's predicted ratios are corrected by the lower conformal bound of the other folds' residuals; without one nothing is claimed.
+    """
+    folds = pairs.select(F.col(fold).alias("_held")).distinct()
+    others = pairs.select(fold, "residual").join(folds, F.col(fold) != F.col("_held"))  # each pair once for every other fold
+    bound = conformal(others, ["_held"], "residual", coverage, upper=False).select("_held", "bound")
+    out = pairs.join(bound, F.col(fold) == F.col("_held"), "left")
+    lower = F.col("predicted_ratio") * F.exp("bound")
+    return out.select(*pairs.columns, lower.alias("lower_ratio"), F.coalesce(lower >= least, F.lit(False)).alias("claimed"), (F.col("observed_ratio") >= least).alias("cleared"))
+
+
 def theory_calibration(rows: DataFrame, *, scenario: str, selector: str, mode: str, features: Mapping[str, Column], target: str, censored: Column, coverage: str, least: int, folds: int = 5) -> DataFrame:
     """Centre, tail and guard of a memory model in one go: rows with `center` (a fit of the log without the row's fold), `guard` by memory_tails of those residuals, and `upper`.
 

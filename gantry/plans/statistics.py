@@ -225,6 +225,40 @@ def joint_candidates(t):
     return out.withColumns({c: F.round(c, 6) for c in ("predicted_upper", "observed", "rate", "predicted_rate", "predicted_rate_lower")})
 
 
+def _joint(t):
+    """Sizes of a brand as candidates of one to eight cards, each with replicates."""
+    cards = F.pow(F.lit(2), F.col("p_size") % 4).cast("long")
+    rows = t.part.select(
+        "p_brand", "p_size", cards.alias("cards"), F.when(F.col("p_partkey") % 41 == 0, "oom").otherwise("success").alias("outcome"), (F.col("p_retailprice") * 1.1).alias("upper"), F.lit(1700.0).alias("limit"), "p_retailprice",
+        (F.col("p_retailprice") * F.pow(F.lit(1.9), F.col("p_size") % 4) + F.col("p_size")).alias("rate"), (F.col("p_retailprice") * cards).alias("predicted"),
+    )
+    return M.joint_candidates(rows, ["p_brand", "p_size", "cards"], "outcome", "upper", "limit", "p_retailprice", "rate", "predicted", 1.25)
+
+
+_JOINT = """j AS (SELECT p_brand, p_size, CAST(pow(2, p_size % 4) AS BIGINT) AS cards, median(p_retailprice * 1.1) <= 1700 AS admitted, bool_or(p_partkey % 41 = 0) AS failed, median(p_retailprice) AS observed,
+median(p_retailprice * pow(1.9, p_size % 4) + p_size) AS rate, median(p_retailprice * CAST(pow(2, p_size % 4) AS BIGINT)) AS predicted, median(p_retailprice * CAST(pow(2, p_size % 4) AS BIGINT) / 1.25::DOUBLE) AS lower FROM part GROUP BY ALL),
+c AS (SELECT *, NOT failed AND observed <= 1700 AS safe FROM j)"""
+
+
+@query(f"""WITH {_JOINT}, g AS (SELECT p_brand, cards, count(*) AS candidates, count_if(safe) AS real_safe, count_if(admitted) AS rankable, count_if(admitted AND (failed OR observed > 1700)) AS safety_failures,
+arg_max(p_size, [lower, -p_size]) FILTER (WHERE admitted) AS selected, arg_max(rate, [lower, -p_size]) FILTER (WHERE admitted) AS got, max(rate) FILTER (WHERE safe) AS oracle FROM c GROUP BY p_brand, cards)
+SELECT p_brand, cards, candidates, real_safe, rankable, safety_failures, selected, round(oracle, 6) AS oracle, CASE WHEN oracle IS NOT NULL THEN round(CASE WHEN selected IS NULL THEN 1 ELSE greatest(0, (oracle - got) / oracle) END, 9) END AS regret, CASE WHEN oracle IS NOT NULL THEN coalesce(got >= 0.9 * oracle, false) END AS hit FROM g""")
+def gated_ranking(t):
+    out = M.gated_ranking(_joint(t), ["p_brand", "cards"], "p_size")
+    return out.withColumns({"oracle": F.round("oracle", 6), "regret": F.round("regret", 9)})
+
+
+@query(f"""WITH {_JOINT}, s AS (SELECT p_brand, cards, arg_max(predicted, [lower, -p_size]) AS p, arg_max(rate, [lower, -p_size]) AS r FROM c WHERE admitted GROUP BY p_brand, cards),
+d AS (SELECT a.p_brand, substr(a.p_brand, 7, 1) AS fold, a.cards AS from_cards, b.p / a.p AS predicted_ratio, b.r / a.r AS observed_ratio, ln((b.r / a.r) / (b.p / a.p)) AS residual FROM s a JOIN s b ON a.p_brand = b.p_brand AND b.cards = 2 * a.cards),
+o AS (SELECT f.fold AS held, residual, row_number() OVER (PARTITION BY f.fold ORDER BY residual) AS i, count(*) OVER (PARTITION BY f.fold) AS n FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold),
+q AS (SELECT held, max(CASE WHEN i = CAST(floor((n + 1) * 0.1::DECIMAL(9, 6)) AS BIGINT) THEN residual END) AS bound FROM o GROUP BY held)
+SELECT p_brand, from_cards, round(predicted_ratio, 6) AS predicted_ratio, round(observed_ratio, 6) AS observed_ratio, round(predicted_ratio * exp(bound), 6) AS lower_ratio, coalesce(predicted_ratio * exp(bound) >= 1.4, false) AS claimed, observed_ratio >= 1.4 AS cleared FROM d LEFT JOIN q ON held = fold""")
+def scaling_claims(t):
+    pairs = M.scaling_pairs(_joint(t), "p_brand", "cards", "p_size").withColumn("fold", F.substring("p_brand", 7, 1))
+    out = M.scaling_claims(pairs, "fold", "0.9", least=1.4)
+    return out.select("p_brand", F.col("from_cards").cast("long").alias("from_cards"), *(F.round(c, 6).alias(c) for c in ("predicted_ratio", "observed_ratio", "lower_ratio")), "claimed", "cleared")
+
+
 @query()
 def theory_calibration(t):
     x = {"size": F.col("p_size") / 50, "key": F.col("p_partkey") / 1e4}
