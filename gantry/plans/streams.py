@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,7 @@ def source_tail(t):
     """Files that grow: at first half of the events, the last of them without its line end, then the rest. The third file is
     rotated in between, so that the end of its half line never comes."""
     folder, half = _folder(t), t.events.agg(F.floor(F.max("event_id") / 2).alias("cut"), F.max("event_id").alias("top"))
-    rows = t.events.crossJoin(F.broadcast(half)).withColumn("f", F.col("event_id") % 3)  # one row
+    rows = t.events.join(F.broadcast(half)).withColumn("f", F.col("event_id") % 3)  # one row
     # each line begins with the end of the one before, and its own last sign parts the rows of the file
     value = F.concat(F.lit("\n"), F.expr(f"rtrim('}}', {_LINE})"))
     rows = rows.select(F.concat(F.lit("rank"), F.col("f"), F.lit(".jsonl")).alias("name"), "event_id", value.alias("value"), "cut", "f")
