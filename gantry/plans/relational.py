@@ -44,11 +44,10 @@ def attempt_binding(t):
     key = F.col("o_orderkey")
     attempts = t.customer.select(F.col("c_custkey").alias("place"), F.concat(F.lit("j"), F.col("c_custkey").cast("string")).alias("job"), F.concat(F.lit("a"), (F.col("c_custkey") % 7).cast("string")).alias("attempt"), (F.col("c_custkey") % 50 * 1000.0).alias("b"), (F.col("c_custkey") % 50 * 1000.0 + 200000).alias("e"))
     events = t.orders.select(
-        F.col("o_custkey").alias("place"), F.when(key % 17 != 0, F.col("o_totalprice")).alias("t"), F.when(key % 19 == 0, "").otherwise(F.concat(F.lit("j"), (F.col("o_custkey") + F.when(key % 23 == 0, 1).otherwise(0)).cast("string"))).alias("job"),
-        F.when(key % 29 != 0, F.concat(F.lit("a"), (F.col("o_custkey") % 7).cast("string"))).alias("attempt"),
+        F.col("o_custkey").alias("place"), F.when(key % 17 == 0, None).otherwise(F.col("o_totalprice")).alias("t"), F.when(key % 19 == 0, "").otherwise(F.concat(F.lit("j"), (F.col("o_custkey") + F.when(key % 23 == 0, 1).otherwise(0)).cast("string"))).alias("job"),
+        F.when(key % 29 == 0, None).otherwise(F.concat(F.lit("a"), (F.col("o_custkey") % 7).cast("string"))).alias("attempt"),
     )
-    rows = R.bound_events(events, attempts, "place", "job", "attempt", "t", "b", "e")
-    return rows.groupBy("place").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("missing_time", "outside_attempt", "missing_binding", "mismatched_binding", "in_attempt")))
+    return R.binding_counts(events, attempts, "place", "job", "attempt", "t", "b", "e")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM orders""")

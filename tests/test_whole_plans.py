@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pytest
+from compare import differences, duck
 
 from gantry.operators import models as M
 from gantry.plans import base, catalog, statistics
@@ -45,3 +46,14 @@ def test_design_weighs_all_candidates(spark, sf):
 def test_scan_goes_beyond_31_candidates(spark, tmp_path):
     spark.createDataFrame([(7, 49, 500.0), (1, 1, 1000.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     assert tuple(QUERIES["multiplier_scan_301"](spark, str(tmp_path)).first()) == (2.21, 0, 1.0)
+
+
+def test_binding_that_no_event_can_tell(spark, tmp_path):
+    """A place whose events all lack what a state asks for; an order without a key; a name that is missing beside one that differs."""
+    spark.createDataFrame([(k,) for k in range(1, 7)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(17, 1, 5000.0), (34, 2, 5000.0), (35, 2, 5000.0), (29, 3, 5000.0), (None, 4, 5000.0), (17 * 29, 5, 5000.0), (23 * 29, 6, 9000.0), (17 * 19, 6, 9000.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duck(str(tmp_path))
+    for name in ("customer", "orders"):
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert not differences(QUERIES["attempt_binding"](spark, str(tmp_path)), con, catalog.oracle_sql()["attempt_binding"])
