@@ -7,8 +7,10 @@ import itertools
 import numpy as np
 import pytest
 from compare import differences, duck
+from pyspark.sql import functions as F
 
 from gantry.operators import models as M
+from gantry.operators import relational as R
 from gantry.plans import base, catalog, statistics
 
 QUERIES = catalog.queries()
@@ -57,3 +59,24 @@ def test_binding_that_no_event_can_tell(spark, tmp_path):
     for name in ("customer", "orders"):
         con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert not differences(QUERIES["attempt_binding"](spark, str(tmp_path)), con, catalog.oracle_sql()["attempt_binding"])
+
+
+def test_large_keys_are_cut_into_tiles(spark, monkeypatch):
+    """One key of many rows is shared by tasks; open fields, nulls on both sides and copies of rows pair as the conditions say."""
+    monkeypatch.setattr(R, "TILE", 8)
+    monkeypatch.setattr(R, "PAIRS", 64)
+    rng = np.random.default_rng(5)
+    pick = lambda options: [options[i] for i in rng.integers(0, len(options), 60)]
+    asked, offered = (list(zip(range(60), pick(["n", "n", "n", "m", None]), pick(["s", "t", None]), pick(["x", None]), strict=True)) for _ in range(2))
+    offered += offered[:5]
+    fits = lambda q, f: q[1] is not None and q[1] == f[1] and all(a is None or a == b for a, b in zip(q[2:], f[2:], strict=True))
+    df = lambda rows, k: spark.createDataFrame(rows, f"{k} long, nation string, seg string, kind string")
+    got = R.wildcard_match(df(asked, "q"), df(offered, "f"), ["nation"], ["seg", "kind"])
+    assert sorted(tuple(r) for r in got.select("q", "f").collect()) == sorted((q[0], f[0]) for q in asked for f in offered if fits(q, f))
+    points = list(zip(range(60), pick(["n", "n", "m", None]), pick([1, 2, 3, None]), pick([1, 2, 3]), strict=True))
+    df = lambda k: spark.createDataFrame(points, f"{k} long, g string, x long, y long")
+    got = R.dominated_by(df("c"), df("a"), ["g"], ["x", "y"])
+    want = sorted((c[0], a[0]) for c in points for a in points if None not in (*c, *a) and c[1] == a[1] and c[2] <= a[2] and c[3] <= a[3])
+    assert sorted(tuple(r) for r in got.select("c", "a").collect()) == want
+    per_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) < len(want) / 4
