@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import bisect
+import collections
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gantry.functions import numeric as N
+from gantry.operators.ordered import positions
 
 #: Micro-batch sizes by cut-off: fixed values.
 LADDER = ((512, (1, 2, 4, 8, 16, 32)), (2048, (1, 2, 4, 8, 16)), (4096, (1, 2, 4, 8)), (8192, (1, 2, 4)))
@@ -153,33 +155,56 @@ def homogeneous_waves(jobs: DataFrame, job: str, cards: str, total: int) -> Data
     return jobs.withColumn("wave", F.floor(at / fit).cast("long")).withColumn("place", (at % fit).cast("long")).withColumn("full", F.col(cards) * fit == total)
 
 
+def _subset(sizes: Sequence[int], total: int) -> tuple[list[int], bool]:
+    """Positions whose sizes, in this order, first sum to the total, or to the most that is reached; whether it is the total."""
+    best: dict[int, list[int]] = {0: []}
+    for i, n in enumerate(sizes):
+        for s in sorted(best, reverse=True):
+            if s + n <= total and s + n not in best:
+                best[s + n] = [*best[s], i]
+        if total in best:
+            break
+    return best[max(best)], total in best
+
+
+def mixed_runs(counts: Mapping[int, int], total: int, tail: str = "error") -> list[tuple[int, int, dict[int, int], dict[int, int]]]:
+    """Waves of so many jobs of each size as runs of waves alike: first wave, number of waves, jobs a wave takes of each size and jobs that run again.
+
+    Jobs of one size are taken in their order, and no wave sees more of a size than fit the total, so the same wave goes on
+    until a size has fewer left: the number of runs depends on sizes and total, not on jobs.
+    """
+    left, runs, wave = {n: counts[n] for n in sorted(counts, reverse=True) if counts[n]}, [], 0
+    most = {n: max(1, total // n) if n > 0 else 1 for n in left}
+    while left:
+        sizes = [n for n, c in left.items() for _ in range(min(c, most[n]))]
+        pick, whole = _subset(sizes, total)
+        again: dict[int, int] = {}
+        if not whole and tail == "error":
+            raise ValueError(f"{dict(left)} (size: jobs) fill no whole wave of {total}")
+        if not whole and tail != "partial":  # repeat: jobs that ran fill up
+            room, pick = total - sizes[0], [0]
+            for n in sorted(counts, reverse=True):
+                again[n] = min(counts[n], max(0, room // n)) if n > 0 else counts[n] if room >= 0 else 0
+                room -= again[n] * n
+        taken = collections.Counter(sizes[i] for i in pick or [0])
+        # as long as each size that is taken stays above what a wave sees of it
+        times = min((left[n] - most[n]) // k + 1 if left[n] >= most[n] else 1 for n, k in taken.items())
+        runs.append((wave, times, dict(taken), {n: k for n, k in again.items() if k}))
+        wave += times
+        left = {n: c - times * taken[n] for n, c in left.items() if c > times * taken[n]}
+    return runs
+
+
 def mixed_waves(sizes: Sequence[tuple[str, int]], total: int, tail: str = "error") -> list[list[str]]:
     """Waves that use all cards, each a subset whose sizes sum to the total, larger jobs first; the tail by policy."""
-    left = sorted(sizes, key=lambda x: (-x[1], x[0]))
-    waves = []
-    while left:
-        best: dict[int, list[int]] = {0: []}
-        for i, (_, n) in enumerate(left):
-            for s in sorted(best, reverse=True):
-                if s + n <= total and s + n not in best:
-                    best[s + n] = [*best[s], i]
-            if total in best:
-                break
-        if total not in best:
-            if tail == "error":
-                raise ValueError(f"{[j for j, _ in left]} fill no whole wave of {total}")
-            if tail == "partial":
-                pick = best[max(best)] or [0]
-            else:  # repeat: jobs that ran fill up
-                room, pick = total - left[0][1], [0]
-                again = [j for j, n in sorted(sizes, key=lambda x: (-x[1], x[0])) if (room := room - n) >= 0 or (room := room + n) < 0]
-                waves.append([left[0][0], *again])
-                left.pop(0)
-                continue
-        else:
-            pick = best[total]
-        waves.append([left[i][0] for i in pick])
-        left = [x for i, x in enumerate(left) if i not in set(pick)]
+    queues: dict[int, list[str]] = {}
+    for job, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        queues.setdefault(n, []).append(job)
+    at, waves = dict.fromkeys(queues, 0), []
+    for _, times, taken, again in mixed_runs({n: len(q) for n, q in queues.items()}, total, tail):
+        for _ in range(times):
+            waves.append([j for n, k in taken.items() for j in queues[n][at[n] : at[n] + k]] + [j for n, k in again.items() for j in queues[n][:k]])
+            at |= {n: at[n] + k for n, k in taken.items()}
     return waves
 
 
@@ -202,6 +227,21 @@ def place(need: int, free: set[int], cards: Sequence[int], running: int, exclusi
     return [min(free)] if free else None
 
 
+def _first_fit(left: Sequence[tuple], cards: Sequence[int]) -> tuple[list[tuple], list[tuple]]:
+    """One wave of jobs (job, cards, whether it wants the machine alone) with their cards, and the jobs that wait."""
+    free, wave, rest = set(cards), [], []
+    for job, n, exclusive in left:
+        mask = place(n, free, cards, len(wave), exclusive) if free else None
+        if mask is None:
+            rest.append((job, n, exclusive))
+        else:
+            free -= set(mask)
+            wave.append((job, mask))
+    if not wave:
+        raise ValueError(f"{rest[0][0]} needs more cards than there are")
+    return wave, rest
+
+
 def first_fit_masks(jobs: Sequence[tuple], cards: Sequence[int], in_order: bool = False) -> list[list[tuple[str, list[int]]]]:
     """Waves of jobs (job, cards and perhaps whether it wants the machine alone) on cards; what doesn't fit waits for the next wave.
 
@@ -211,42 +251,81 @@ def first_fit_masks(jobs: Sequence[tuple], cards: Sequence[int], in_order: bool
     if not in_order:
         left.sort(key=lambda j: (j[2], -j[1]))
     while left:
-        free, wave, rest = set(cards), [], []
-        for job, n, exclusive in left:
-            mask = place(n, free, cards, len(wave), exclusive) if free else None
-            if mask is None:
-                rest.append((job, n, exclusive))
-            else:
-                free -= set(mask)
-                wave.append((job, mask))
-        if not wave:
-            raise ValueError(f"{rest[0][0]} needs more cards than there are")
+        wave, left = _first_fit(left, cards)
         waves.append(wave)
-        left = rest
     return waves
 
 
+def first_fit_runs(counts: Mapping[int, int], cards: Sequence[int]) -> list[tuple[int, int, dict[int, list[list[int]]]]]:
+    """First-fit waves of so many jobs of each size as runs of waves alike: first wave, number of waves, masks for each size in turn.
+
+    Of jobs of one size that come one after another the first ones fit, and no wave has more of them than cards.
+    """
+    left, runs, wave, most = {n: counts[n] for n in sorted(counts, reverse=True) if counts[n]}, [], 0, len(cards)
+    while left:
+        placed, _ = _first_fit([(f"a job of {n}", n, False) for n, c in left.items() for _ in range(min(c, most))], cards)
+        masks: dict[int, list[list[int]]] = {}
+        for job, mask in placed:
+            masks.setdefault(int(job.rsplit(" ", 1)[1]), []).append(mask)
+        times = min((left[n] - most) // len(m) + 1 if left[n] >= most else 1 for n, m in masks.items())
+        runs.append((wave, times, masks))
+        wave += times
+        left = {n: c - times * len(masks.get(n, ())) for n, c in left.items() if c > times * len(masks.get(n, ()))}
+    return runs
+
+
+#: What a run of waves does with jobs of a size: those from `first` on, as many a wave as there are masks; `again` gives each wave the same ones.
+_RUN = "wave long, times long, first long, per long, masks array<string>, again boolean"
+
+
+def _by_runs(jobs: DataFrame, group: str, job: str, cards: str, order: Column, runs: Callable[[dict[int, int]], list[tuple]]) -> DataFrame:
+    """Jobs with `wave` and `mask`, from runs of waves alike that follow from the number of jobs of each size; a task sees a queue's counts alone."""
+    kinds = dict(jobs.dtypes)
+    rows = jobs.select(F.col(group), order.alias("_order"), F.col(job).cast("string").alias("job"), F.col(cards).cast("long").alias("_n"))
+    placed = positions(rows, [group, "_n"], ["_order"], "_at")
+    counts = placed.groupBy(group, "_n").agg(F.count("*").alias("_count"))
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = runs(dict(zip(pdf["_n"].astype(int).tolist(), pdf["_count"].tolist(), strict=True)))
+        return pd.DataFrame([(pdf[group].iloc[0], *r) for r in found], columns=[group, "_n", "wave", "times", "first", "per", "masks", "again"])
+
+    planned = counts.groupBy(group).applyInPandas(plan, f"{group} {kinds[group]}, _n long, {_RUN}")
+    p, r = placed.alias("p"), planned.alias("r")  # a few rows for each queue and size
+    number = F.col("p._at") - F.col("r.first")
+    mine = F.when(F.col("r.again"), number < F.col("r.per")).otherwise(number < F.col("r.per") * F.col("r.times"))
+    same = F.col(f"p.{group}").eqNullSafe(F.col(f"r.{group}")) & (F.col("p._n") == F.col("r._n")) & (number >= 0) & mine
+    waves = F.when(F.col("r.again"), F.sequence(F.col("r.wave"), F.col("r.wave") + F.col("r.times") - 1)).otherwise(F.array(F.col("r.wave") + F.floor(number / F.col("r.per"))))
+    mask = F.col("r.masks")[(number % F.col("r.per")).cast("int")]
+    return p.join(r, same).select(F.col(f"p.{group}").alias(group), F.explode(waves).alias("wave"), F.col("p.job").alias("job"), mask.alias("mask"))
+
+
 def preview_waves(jobs: DataFrame, group: str, job: str, cards: str, machine: Sequence[int]) -> DataFrame:
     """First-fit waves of each queue: group, wave, job, mask. A queue is one machine's."""
-    kinds = dict(jobs.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(job)
-        waves = first_fit_masks(list(zip(pdf[job].astype(str), pdf[cards].astype(int), strict=True)), machine)
-        return pd.DataFrame([(pdf[group].iloc[0], k, j, ",".join(map(str, m))) for k, w in enumerate(waves) for j, m in w], columns=[group, "wave", "job", "mask"])
+    def runs(counts: dict[int, int]) -> list[tuple]:
+        at, out = dict.fromkeys(counts, 0), []
+        for wave, times, masks in first_fit_runs(counts, machine):
+            for n, m in masks.items():
+                out.append((n, wave, times, at[n], len(m), [",".join(map(str, x)) for x in m], False))
+                at[n] += times * len(m)
+        return out
 
-    return jobs.select(group, job, cards).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, wave long, job string, mask string")
+    return _by_runs(jobs, group, job, cards, F.col(job), runs)
 
 
 def plan_waves(jobs: DataFrame, group: str, job: str, cards: str, total: int, tail: str = "partial") -> DataFrame:
     """Mixed waves of each group of jobs: group, wave, job. A group is one queue of one machine."""
-    kinds = dict(jobs.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        waves = mixed_waves(list(zip(pdf[job].astype(str), pdf[cards].astype(int), strict=True)), total, tail)
-        return pd.DataFrame([(pdf[group].iloc[0], k, j) for k, w in enumerate(waves) for j in w], columns=[group, "wave", "job"])
+    def runs(counts: dict[int, int]) -> list[tuple]:
+        at, out = dict.fromkeys(counts, 0), []
+        for wave, times, taken, again in mixed_runs(counts, total, tail):
+            out += [(n, wave, times, 0, k, None, True) for n, k in again.items()]
+            for n, k in taken.items():
+                out.append((n, wave, times, at[n], k, None, False))
+                at[n] += times * k
+        return out
 
-    return jobs.select(group, job, cards).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, wave long, job string")
+    return _by_runs(jobs, group, job, cards, F.col(job).cast("string"), runs).drop("mask")
 
 
 def packing_branches(scenarios: DataFrame, decisions: DataFrame, key: str, capacity: int) -> DataFrame:

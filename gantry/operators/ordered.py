@@ -47,6 +47,18 @@ def _whole_groups(frames: Iterator[pd.DataFrame], names: Sequence[str]) -> Itera
         last, seen = ends[1], int(before[-1] + n[-1])
 
 
+def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their numbers in their group from 0, by `order`; a group is spread over ranges, each of which knows how many rows came before."""
+    keys, by = list(keys), [*keys, *order]
+    placed = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_in"))
+    w = Window.partitionBy(*keys).orderBy("_range")
+    starts = sizes.select(*keys, "_range", (F.sum("_in").over(w) - F.col("_in")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1
+    numbered = placed.withColumn("_within", within).alias("p").join(starts.alias("s"), _same("p", "s", [*keys, "_range"]))
+    return numbered.select(*(F.col(f"p.{c}").alias(c) for c in rows.columns), (F.col("_start") + F.col("_within")).alias(name))
+
+
 def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Exact percentiles of each group, interpolated as `percentile` does, and `_count`, its values; no group is held anywhere.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
+from gantry.operators import generators as G
 from gantry.operators import models as M
 from gantry.operators import relational as R
 from gantry.plans import base, catalog, statistics
@@ -80,3 +82,43 @@ def test_large_keys_are_cut_into_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("c", "a").collect()) == want
     per_task = got.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in per_task) < len(want) / 4
+
+
+def _waves_one_by_one(sizes, total):
+    """Partial waves as they are told: each takes the first jobs that sum to the total, or to the most there is."""
+    left, waves = sorted(sizes, key=lambda x: (-x[1], x[0])), []
+    while left:
+        best = {0: []}
+        for i, (_, n) in enumerate(left):
+            for s in sorted(best, reverse=True):
+                if s + n <= total and total not in best:
+                    best.setdefault(s + n, [*best[s], i])
+        pick = best[max(best)] or [0]
+        waves.append([left[i][0] for i in pick])
+        left = [x for i, x in enumerate(left) if i not in pick]
+    return waves
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_of_waves_are_the_waves(seed):
+    rng = np.random.default_rng(seed)
+    total = int(rng.integers(3, 17))
+    jobs = [(f"j{i}", int(n)) for i, n in enumerate(rng.choice(rng.integers(1, total + 3, 4), rng.integers(1, 90)))]
+    assert G.mixed_waves(jobs, total, "partial") == _waves_one_by_one(jobs, total)
+    counts = collections.Counter(n for _, n in jobs if n <= total)
+    flat = [[m for masks in run.values() for m in masks] for _, times, run in G.first_fit_runs(counts, range(total)) for _ in range(times)]
+    small = [j for j in jobs if j[1] <= total]
+    assert flat == [[m for _, m in wave] for wave in G.first_fit_masks(small, range(total))]
+
+
+def test_waves_follow_counts_not_jobs(spark):
+    """Runs of a hundred million jobs, and queues of both kinds against waves that are made one by one."""
+    assert len(G.mixed_runs({4: 10**8, 2: 10**8, 1: 10**8}, 8, "partial")) < 20
+    assert len(G.first_fit_runs({4: 10**8, 2: 10**8, 1: 10**8}, range(8))) < 20
+    rng = np.random.default_rng(3)
+    queues = {q: [(i, int(n)) for i, n in enumerate(rng.choice([1, 2, 4], 150))] for q in ("a", "b")}
+    jobs = spark.createDataFrame([(q, i, n) for q, rows in queues.items() for i, n in rows], "q string, job long, cards int")
+    got = sorted(tuple(r) for r in G.plan_waves(jobs, "q", "job", "cards", 8).collect())
+    assert got == sorted((q, k, j) for q, rows in queues.items() for k, w in enumerate(_waves_one_by_one([(str(i), n) for i, n in rows], 8)) for j in w)
+    got = sorted(tuple(r) for r in G.preview_waves(jobs, "q", "job", "cards", list(range(8))).collect())
+    assert got == sorted((q, k, str(j), ",".join(map(str, m))) for q, rows in queues.items() for k, w in enumerate(G.first_fit_masks(rows, list(range(8)))) for j, m in w)
