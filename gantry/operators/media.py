@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gantry.operators.ordered import percentiles
+from gantry.session import materialise
 
 #: Fields of a record that are summarised, and the shares of its distribution: fixed values.
 FIELDS = "image_count visual_tokens_total text_tokens label_tokens repeated_prompt_tokens total_tokens image_token_ratio".split()
@@ -55,13 +56,25 @@ def media_records(rows: DataFrame, *, patch: int = 14, merge: int = 2, temporal:
     )
 
 
-def media_summary(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """For each group and field: records or images (`n`), min, mean, p50, p90, p95, p99 and max; `visual_tokens_per_image` is over all images."""
-    good = records.where(F.col("error").isNull())
+def media_values(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Different values of each field in each group and how often they are there, `times`; any coarser summary follows from them."""
+    # written first: a filter on `error`, or on what is exploded, would otherwise be pushed below the records and work them out once for each mention
+    fields = materialise(records.select(*keys, "error", *FIELDS, F.transform("images", lambda i: i["visual_tokens"]).alias("_each")), "media")
     entry = lambda name, value: F.struct(F.lit(name).alias("field"), value.cast("double").alias("value"))
     of_record = F.array(*(entry(f, F.col(f)) for f in FIELDS))
-    of_image = F.transform("images", lambda i: entry("visual_tokens_per_image", i["visual_tokens"]))
-    long = good.select(*keys, F.explode(F.concat(of_record, of_image)).alias("e")).select(*keys, "e.*")
-    means = long.groupBy(*keys, "field").agg(F.avg("value").alias("mean"))
-    found = percentiles(long, [*keys, "field"], "value", SHARES).withColumnRenamed("_count", "n")
+    of_image = F.transform("_each", lambda n: entry("visual_tokens_per_image", n))
+    long = fields.where(F.col("error").isNull()).select(*keys, F.explode(F.concat(of_record, of_image)).alias("e")).select(*keys, "e.*")
+    return long.groupBy(*keys, "field", "value").agg(F.count("*").alias("times"))
+
+
+def summary_of(values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """For each group and field of `media_values`: records or images (`n`), min, mean, p50, p90, p95, p99 and max; `visual_tokens_per_image` is over all images."""
+    told = values.where(F.col("value").isNotNull())
+    means = told.groupBy(*keys, "field").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    found = percentiles(told, [*keys, "field"], "value", SHARES, "times").withColumnRenamed("_count", "n")
     return found.join(means, [*keys, "field"]).select(*keys, "field", "n", "min", "mean", *(s for s in SHARES if s != "min"))
+
+
+def media_summary(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`summary_of` the records' values; for several summaries of the same records keep their `media_values`."""
+    return summary_of(media_values(records, keys), keys)

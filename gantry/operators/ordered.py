@@ -59,13 +59,14 @@ def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return numbered.select(*(F.col(f"p.{c}").alias(c) for c in rows.columns), (F.col("_start") + F.col("_within")).alias(name))
 
 
-def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], times: str | None = None) -> DataFrame:
     """Exact percentiles of each group, interpolated as `percentile` does, and `_count`, its values; no group is held anywhere.
 
-    Nulls don't count, and a group of nulls alone is not there. Equal values are counted before they are sorted.
+    Nulls don't count, and a group of nulls alone is not there. Equal values are counted before they are sorted; with `times`, a
+    row stands for that many.
     """
     keys = list(keys)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     dealt = counted.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_range", F.spark_partition_id())
     schema = T.StructType([*dealt.schema, T.StructField("_before", T.LongType())])
     placed = materialise(dealt.mapInPandas(lambda frames: _whole_groups(frames, keys), schema), "sorted")

@@ -11,6 +11,7 @@ from gantry.functions import strings as T
 from gantry.functions import tokens
 from gantry.operators import media as M
 from gantry.plans.base import query
+from gantry.session import materialise
 
 @query("""SELECT p_partkey, greatest(512, CAST(ceil(p_retailprice / 512) AS BIGINT) * 512) AS cutoff, round(p_size / nullif(p_partkey % 5, 0), 9) AS ratio FROM part""")
 def aligned_cutoffs(t):
@@ -320,7 +321,8 @@ def _samples(t):
         F.when(key % 4 == 0, F.array(F.lit(1), size * 2, k * 2)).alias("grid_thw"), (size * 28 + F.when(key % 31 == 0, 1).otherwise(0)).alias("width"), (k * 28).alias("height"), F.lit(None).cast("long").alias("frames"),
         F.when(key % 5 == 0, size * k + F.when(key % 35 == 0, 1).otherwise(0)).alias("visual_tokens"), F.lit(None).cast("long").alias("pixels"),
     )
-    return t.part.select(
+    # a small file would leave this to a few tasks
+    return t.part.repartition("p_partkey").select(
         key.alias("sample_id"), F.when(key % 3 > 0, F.col("p_brand")).alias("task_family"), F.transform(F.sequence(F.lit(1).cast("long"), key % 3 + 1), image).alias("images"), F.when(key % 2 == 0, key % 400).alias("text_tokens"),
         (key % 300 + 5).alias("padded_tokens"), (key % 60).alias("label_tokens"), F.lit(None).cast("long").alias("repeated_prompt_tokens"),
     )
@@ -346,6 +348,6 @@ UNION ALL SELECT task_family, 'repeated_prompt_tokens', 0 FROM g UNION ALL SELEC
 SELECT task_family, field, {_STATS} FROM f GROUP BY task_family, field UNION ALL SELECT 'all', field, {_STATS} FROM f GROUP BY field""")
 def media_summary(t):
     """Distributions of all fields by task and over all records."""
-    records = M.media_records(_samples(t))
-    both = M.media_summary(records, ["task_family"]).unionByName(M.media_summary(records).withColumn("task_family", F.lit("all")))
+    values = materialise(M.media_values(M.media_records(_samples(t)), ["task_family"]), "values")
+    both = M.summary_of(values, ["task_family"]).unionByName(M.summary_of(values).withColumn("task_family", F.lit("all")))
     return both.select("task_family", "field", "n", *(F.round(c, 9).alias({"min": "least", "max": "most"}.get(c, c)) for c in ("min", "mean", "p50", "p90", "p95", "p99", "max")))

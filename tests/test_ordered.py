@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gantry.operators import ordered
+from gantry.operators import media, ordered
 
 
 @pytest.fixture
@@ -71,3 +71,21 @@ def test_pairs_of_one_tie_and_of_nothing(many_ranges):
     assert ordered.ordered_pairs(flat.select(F.col("y").alias("x"), F.col("x").alias("y")), [], "x", "y", 10).collect() == [(0, 0)]
     assert ordered.ordered_pairs(flat.select("y", (-F.col("y")).alias("x")), [], "x", "y", 10).collect() == [(300 * 299 // 2, 0)]
     assert ordered.ordered_pairs(flat.limit(0), [], "x", "y", 10).collect() == []
+
+
+def test_rows_that_stand_for_many(spark):
+    rows = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("a", 1.0, 2), ("b", 2.0, 1)], "k string, x double, n long")
+    got = {r["k"]: (r["_count"], r["m"], r["t"]) for r in ordered.percentiles(rows, ["k"], "x", {"m": 0.5, "t": 0.9}, "n").collect()}
+    assert got == {"a": (6, 1.0, 3.0), "b": (1, 2.0, 2.0)}
+
+
+def test_summaries_come_from_one_pass_over_the_records(spark):
+    """The fine values give the coarse summary too, and what works the records out is written once before anything is filtered."""
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 4 * (i % 3)) for i in range(30)], "sample_id long, task_family string, text_tokens long")
+    rows = rows.selectExpr("*", "array(named_struct('grid_thw', array(1L, 2L, 2L), 'width', 28L, 'height', 28L, 'frames', 1L, 'visual_tokens', 1L, 'pixels', 784L)) AS images", "0L AS padded_tokens", "0L AS label_tokens", "0L AS repeated_prompt_tokens")
+    records = media.media_records(rows)
+    values = media.media_values(records, ["task_family"])
+    assert "grid_thw" not in values._jdf.queryExecution().optimizedPlan().toString()
+    coarse = {tuple(r) for r in media.summary_of(values).collect()}
+    assert coarse == {tuple(r) for r in media.media_summary(records).collect()}
+    assert {r[1] for r in coarse} == {30}
