@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gantry.functions import stats as S
@@ -11,10 +13,20 @@ from gantry.operators.ordered import percentiles
 from gantry.plans.base import Tables, query
 
 
+#: Lines of a task, about: a fixed value.
+_LINES = 1 << 19
+
+
 def _steps(t: Tables):
-    """Steps of jobs: an order is a step, its customer the job, its lines the ranks."""
+    """Steps of jobs: an order is a step, its customer the job, its lines the ranks.
+
+    Both tables are dealt by order to as many tasks as the lines need; what follows by step stays there, so that a task's sorts and
+    tables of groups are no larger with more lines.
+    """
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
-    rows = lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = max(t.spark.sparkContext.defaultParallelism, math.ceil(lines.count() / _LINES))
+    orders = t.orders.select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
+    rows = lines.repartition(tasks, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("o_custkey").alias("job"), F.col("l_orderkey").alias("step"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").cast("long").alias("tokens"),
         F.col("l_extendedprice").alias("seconds"), (F.col("l_returnflag") == "R").alias("warmup"),

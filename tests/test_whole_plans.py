@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gantry.operators import generators as G
 from gantry.operators import models as M
 from gantry.operators import relational as R
-from gantry.plans import base, catalog, statistics
+from gantry.plans import aggregation, base, catalog, statistics
 
 QUERIES = catalog.queries()
 
@@ -122,3 +122,9 @@ def test_waves_follow_counts_not_jobs(spark):
     assert got == sorted((q, k, j) for q, rows in queues.items() for k, w in enumerate(_waves_one_by_one([(str(i), n) for i, n in rows], 8)) for j in w)
     got = sorted(tuple(r) for r in G.preview_waves(jobs, "q", "job", "cards", list(range(8))).collect())
     assert got == sorted((q, k, str(j), ",".join(map(str, m))) for q, rows in queues.items() for k, w in enumerate(G.first_fit_masks(rows, list(range(8)))) for j, m in w)
+
+
+def test_tasks_of_steps_follow_the_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(aggregation, "_LINES", 100)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert aggregation._steps(base.Tables(spark, sf)).rdd.getNumPartitions() == -(-lines // 100)
