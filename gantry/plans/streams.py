@@ -65,7 +65,7 @@ def job_lives(t):
     """Job states kept as state over shuffled batches with a restart between any two."""
     folder, spark = _folder(t), t.spark
     usual = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", 4)  # state keeps the number it began with
+    spark.conf.set("spark.sql.shuffle.partitions", max(4, spark.sparkContext.defaultParallelism))  # state keeps the number it began with
     try:
         for _ in _landed_events(t, folder, F.pmod(F.xxhash64("event_id"), F.lit(3)), 3):
             rows = spark.readStream.schema(t.events.schema).parquet(f"{folder}/events").withColumn("s", F.expr(_STATE))

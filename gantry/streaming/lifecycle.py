@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,34 +28,30 @@ class JobLife(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        end = T.StructType([T.StructField("at", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType())])
+        # one value, as each call to the store costs more than the state's size
         self.life = handle.getValueState("life", T.StructType([T.StructField(n, k) for n, k in (
             ("start_at", T.LongType()), ("start_seq", T.LongType()), ("last_at", T.LongType()), ("last_seq", T.LongType()),
-            ("last", T.StringType()), ("seen", T.LongType()), ("events", T.LongType()), ("timer", T.LongType()))]))
-        self.ends = handle.getListState("ends", "at long, seq long, status string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, last, status, seen, events, timer = None, None, None, None, 0, None
-        if self.life.exists():
-            a, b, c, d, status, seen, events, timer = self.life.get()
-            start, last = (None if a is None else (a, b)), (None if c is None else (c, d))
-        ends = [tuple(x) for x in self.ends.get()] if self.ends.exists() else []
-        for pdf in rows:
-            for at, seq, told in pdf[["at", "seq", "status"]].itertuples(index=False):
-                at, seq, events = int(at), int(seq), events + 1
-                seen = at if seen is None else max(seen, at)
-                if not isinstance(told, str):
-                    continue
-                if last is None or (at, seq) > last:
-                    last, status = (at, seq), told
-                if told == STARTED and (start is None or (at, seq) > start):
-                    start = (at, seq)
-                elif told in TERMINAL:
-                    ends.append((at, seq, told))
+            ("last", T.StringType()), ("seen", T.LongType()), ("events", T.LongType()), ("timer", T.LongType()), ("ends", T.ArrayType(end)))]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        start, last, status, seen, events, timer, ends = None, None, None, None, 0, None, []
+        known = self.life.get()
+        if known is not None:
+            a, b, c, d, status, seen, events, timer, ends = known
+            start, last, ends = (None if a is None else (a, b)), (None if c is None else (c, d)), [tuple(e) for e in ends]
+        for row in rows:
+            at, seq, told, events = row["at"], row["seq"], row["status"], events + 1
+            seen = at if seen is None else max(seen, at)
+            if told is None:
+                continue
+            if last is None or (at, seq) > last:
+                last, status = (at, seq), told
+            if told == STARTED and (start is None or (at, seq) > start):
+                start = (at, seq)
+            elif told in TERMINAL:
+                ends.append((at, seq, told))
         ends = sorted(e for e in ends if start is None or e[:2] >= start)
-        if ends:
-            self.ends.put(ends)
-        elif self.ends.exists():
-            self.ends.clear()
         if timer is not None:
             self.handle.deleteTimer(timer)
             timer = None
@@ -66,21 +61,21 @@ class JobLife(StatefulProcessor):
             if self.event_time and timer <= timerValues.getCurrentWatermarkInMs():
                 timer = timerValues.getCurrentWatermarkInMs() + 1
             self.handle.registerTimer(timer)
-        self.life.update((*(start or (None, None)), *(last or (None, None)), status, seen, events, timer))
+        self.life.update((*(start or (None, None)), *(last or (None, None)), status, seen, events, timer, ends))
         yield self._row(key, state, start, seen, events, False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.life.exists():
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.life.get()
+        if known is None:
             return
-        a, b, c, d, status, seen, events, timer = self.life.get()
+        a, b, c, d, status, seen, events, timer, ends = known
         if timer is not None and expiredTimerInfo.getExpiryTimeInMs() == timer:
-            self.life.update((a, b, c, d, status, seen, events, None))
+            self.life.update((a, b, c, d, status, seen, events, None, ends))
             yield self._row(key, STARTED, None if a is None else (a, b), seen, events, True)
 
     @staticmethod
-    def _row(key: tuple, state: str, start: tuple | None, seen: int | None, events: int, stale: bool) -> pd.DataFrame:
-        longs = {n: pd.array([v], dtype="Int64") for n, v in (("started", start and start[0]), ("seen", seen), ("events", events))}
-        return pd.DataFrame({"job": [key[0]], "state": [state], **longs, "stale": [stale]})
+    def _row(key: tuple, state: str, start: tuple | None, seen: int | None, events: int, stale: bool) -> Row:
+        return Row(job=key[0], state=state, started=start and start[0], seen=seen, events=events, stale=stale)
 
     def close(self) -> None:
         pass
@@ -102,7 +97,7 @@ def job_lives(events: DataFrame, job: str, status: str, time: str, order: str, s
     rows = events.select(*own, F.col(time).cast("timestamp").alias("time")).withColumn("at", F.unix_micros("time"))
     rows = rows.withWatermark("time", delay) if delay else rows.drop("time")
     life = JobLife(int(silence * 1000), delay is not None)
-    return rows.groupBy("job").transformWithStateInPandas(life, outputStructType=LIFE, outputMode="Update", timeMode="EventTime" if delay else "ProcessingTime")
+    return rows.groupBy("job").transformWithState(life, outputStructType=LIFE, outputMode="Update", timeMode="EventTime" if delay else "ProcessingTime")
 
 
 def last_of(lives: DataFrame, jobs: Sequence[str] = ("job",)) -> DataFrame:

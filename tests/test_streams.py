@@ -172,3 +172,17 @@ def test_a_batch_that_died_is_run_again(spark, table, monkeypatch):
         assert values() == {("a", 7), ("b", 1)}
     table.upsert(spark.createDataFrame([], SCHEMA), 2)
     assert values() == {("a", 7), ("b", 1)}
+
+
+def test_a_job_is_one_value_of_state():
+    """Each state of a key costs calls to the store for every key of a batch."""
+    kept = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            kept.append(name)
+
+        getListState = getValueState
+
+    lifecycle.JobLife(1, True).init(Handle())
+    assert kept == ["life"]
