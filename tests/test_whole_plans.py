@@ -84,6 +84,27 @@ def test_large_keys_are_cut_into_tiles(spark, monkeypatch):
     assert max(r["count"] for r in per_task) < len(want) / 4
 
 
+def test_pairs_are_not_rows_of_the_join(spark):
+    """Rows that the join itself makes are blocks: far fewer than the pairs that are told apart or returned."""
+    points = spark.range(3000).selectExpr("id AS a", "'n' AS g", "id % 50 AS x", "(id * 7919) % 1000 AS y")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = R.dominated_by(points.withColumnRenamed("a", "c"), points, ["g"], ["x", "y"]).select("c", "a")
+        pairs = len(got.collect())
+        todo, joined = [got._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "SortMergeJoin":
+                joined.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    x, y = (np.array([f(i) for i in range(3000)]) for f in (lambda i: i % 50, lambda i: i * 7919 % 1000))
+    assert pairs == int(((x[:, None] <= x) & (y[:, None] <= y)).sum())
+    assert 0 < joined[0] < pairs / 32
+
+
 def _waves_one_by_one(sizes, total):
     """Partial waves as they are told: each takes the first jobs that sum to the total, or to the most there is."""
     left, waves = sorted(sizes, key=lambda x: (-x[1], x[0])), []
