@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,11 @@ ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТ
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once: an expression used by name in several places stands, and is planned, as often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def entities(text: Column) -> Column:
     """All entities of a text, in order, as they stand."""
     return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -107,11 +113,13 @@ def head_of(kind: Column, entity: Column) -> Column:
 
 def parts(entity: Column) -> Column:
     """struct(kind, head, value, given) of an entity; `given` is the kind of a name's given names."""
-    kind = kind_of(entity)
-    head = head_of(kind, entity)
-    titled = lambda titles: head.rlike(rf"\b(?:{'|'.join(titles)})\b")
-    gender = F.when(kind != "name", F.lit("given:n")).when(titled(_FEMALE), F.lit("given:f")).when(titled(_MALE), F.lit("given:m")).otherwise(F.lit("given:n"))
-    return F.struct(kind.alias("kind"), head.alias("head"), F.substring(entity, F.length(head) + 1, F.length(entity)).alias("value"), gender.alias("given"))
+
+    def told(kind: Column, head: Column) -> Column:
+        titled = lambda titles: head.rlike(rf"\b(?:{'|'.join(titles)})\b")
+        gender = F.when(kind != "name", F.lit("given:n")).when(titled(_FEMALE), F.lit("given:f")).when(titled(_MALE), F.lit("given:m")).otherwise(F.lit("given:n"))
+        return F.struct(kind.alias("kind"), head.alias("head"), F.substring(entity, F.length(head) + 1, F.length(entity)).alias("value"), gender.alias("given"))
+
+    return _let(kind_of(entity), lambda kind: _let(head_of(kind, entity), lambda head: told(kind, head)))
 
 
 def _words(value: Column) -> Column:
@@ -165,12 +173,15 @@ def _luhn_sum(digits: Column) -> Column:
 
 def _card(value: Column, noise: Column) -> Column:
     """First digit and grouping stay; the check digit fits where the original's does."""
-    drawn = F.concat(F.substring(value, 1, 1), F.substring(_same_class(value, noise), F.lit(2), F.length(value)))
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-    digits = F.regexp_replace(body, r"\D", "")
-    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(digits, F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(_luhn_sum(F.regexp_replace(value, r"\D", "")), F.lit(10)) == 0
-    return F.when(valid, F.concat(body, check.cast("string"))).otherwise(drawn)
+
+    def checked(drawn: Column) -> Column:
+        body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+        digits = F.regexp_replace(body, r"\D", "")
+        check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(digits, F.lit("0"))), F.lit(10)), F.lit(10))
+        return F.when(valid, F.concat(body, check.cast("string"))).otherwise(drawn)
+
+    return _let(F.concat(F.substring(value, 1, 1), F.substring(_same_class(value, noise), F.lit(2), F.length(value))), checked)
 
 
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -188,13 +199,17 @@ def _mod97(text: Column) -> Column:
 
 def _iban(value: Column, plain: Column) -> Column:
     """The country stays; the check digits fit where the original's do."""
-    country, drawn = F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(plain))
+    country = F.substring(value, 1, 2)
     turned = lambda x, check: F.concat(F.substring(x, F.lit(3), F.length(x)), country, check)
-    rest = F.substring(drawn, F.lit(3), F.length(drawn))
-    check = F.lpad((F.lit(98) - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
     original = F.substring(value, F.lit(3), F.length(value))
     valid = _mod97(turned(F.concat(F.lit("  "), F.substring(original, F.lit(3), F.length(original))), F.substring(original, F.lit(1), F.lit(2)))) == 1
-    return F.concat(country, F.when(valid, F.concat(check, rest)).otherwise(drawn))
+
+    def checked(drawn: Column) -> Column:
+        rest = F.substring(drawn, F.lit(3), F.length(drawn))
+        check = F.lpad((F.lit(98) - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, F.when(valid, F.concat(check, rest)).otherwise(drawn))
+
+    return _let(plain, lambda whole: _let(F.substring(whole, F.lit(3), F.length(whole)), checked))
 
 
 def _syllables(kind: Column, noise: Column, attempt: int) -> Column:
@@ -230,7 +245,10 @@ def _hex_digits(value: Column, noise: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
-    noise = _noise(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, value))
+    return _let(_noise(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, value)), lambda noise: _drawn(kind, value, noise, attempt))
+
+
+def _drawn(kind: Column, value: Column, noise: Column, attempt: int) -> Column:
     plain = _same_class(value, noise)
     octets = F.array_join(F.transform(F.array(*map(F.lit, (0, 3, 6, 9))), lambda i: (F.pmod(_byte(noise, i), F.lit(223)) + 1).cast("string")), ".")
     top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
@@ -280,9 +298,10 @@ def _rotated(word: Column, key: str) -> Column:
 
 def _replacement(entity: Column, known: Column, key: str) -> Column:
     """The new text of an entity; `known` maps labels to surrogates."""
-    p = parts(entity)
-    words = _words(p["value"])
+    return _let(parts(entity), lambda p: _let(_words(p["value"]), lambda words: _replaced(p, words, known, key)))
+
 
+def _replaced(p: Column, words: Column, known: Column, key: str) -> Column:
     def word(w: Column, i: Column) -> Column:
         last = i == F.size(words) - 1
         new = F.element_at(known, _label(F.when(last, F.lit("family")).otherwise(p["given"]), F.lower(w)))
@@ -309,7 +328,7 @@ def replace(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     rows = materialise(rows, "scanned")  # the patterns run once
     body, some = F.col(f"row.`{text}`"), rows.where(F.size("found") > 0)
     clean = unpacked(rows.where(F.size("found") == 0), columns, n_replaced=F.lit(0).cast("long"))
-    each = some.select(F.md5(body).alias("of"), F.explode(F.array_distinct(F.flatten(F.transform("found", lambda e: terms(parts(e)))))).alias("t"))
+    each = some.select(F.md5(body).alias("of"), F.explode(F.array_distinct(F.flatten(F.transform("found", lambda e: _let(parts(e), terms))))).alias("t"))
     each = materialise(each.select("of", "t.kind", "t.value"), "found")
     drawn = materialise(distinct_surrogates(each, key), "drawn")
     pairs = each.join(drawn, ["kind", "value"]).select("of", F.struct(_label(F.col("kind"), F.col("value")).alias("k"), F.col("surrogate").alias("v")).alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gantry.llm import pii
 
@@ -55,3 +56,11 @@ def test_names_of_other_scripts_stay_apart(spark):
     rows = [(i, f"Госпожа {a.upper()}{b} {c.upper()}{a}а тут") for i, (a, b, c) in enumerate((a, b, c) for a in signs for b in signs for c in signs[:3])]
     got = [r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string"), key="k").collect()]
     assert len({t for _, t in rows}) == len(set(got)) and all(re.fullmatch(r"Госпожа [А-Яа-я]+ [А-Яа-я]+ тут", t) for t in got)
+
+
+def test_plans_stay_small(spark):
+    """What several places use is planned once: the driver holds plans of a few ten thousand signs, not of a million."""
+    rows = spark.createDataFrame([("name", "Mr Ada")], "kind string, value string")
+    kind, value = F.col("kind"), F.col("value")
+    for column in (pii.surrogate(kind, value, "k", 0), pii.terms(pii.parts(value)), pii._replacement(value, F.create_map(kind, value), "k")):
+        assert len(rows.select(column)._jdf.queryExecution().optimizedPlan().expressions().apply(0).toString()) < 100_000
