@@ -105,6 +105,33 @@ def test_pairs_are_not_rows_of_the_join(spark):
     assert 0 < joined[0] < pairs / 32
 
 
+def test_blocks_hold_the_same_pairs(spark, monkeypatch):
+    """Small tiles and blocks, one to three columns, ties, nulls, copies of rows, zeros of both signs and NaN (above all, as in SQL)."""
+    monkeypatch.setattr(R, "TILE", 16)
+    monkeypatch.setattr(R, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    pick = lambda options: [options[i] for i in rng.integers(0, len(options), 150)]
+    sides = [list(zip(range(150), pick(["n", "n", "m", None]), pick([-0.0, 0.0, 1.5, 2.5, float("nan"), None]), pick(list(range(40))), pick([1, 2]), strict=True)) for _ in range(2)]
+    sides[1] += sides[1][:9]
+    left, right = (spark.createDataFrame(rows, f"{k} long, g string, x double, y long, z long") for k, rows in zip("ca", sides, strict=True))
+    below = lambda a, b: b != b or a <= b
+    for at_most in (["x"], ["y", "x"], ["z", "x", "y"]):
+        at = ["xyz".index(n) + 2 for n in at_most]
+        want = sorted((c[0], a[0]) for c in sides[0] for a in sides[1] if None not in (*c, *a) and c[1] == a[1] and all(below(c[i], a[i]) for i in at))
+        got = R.dominated_by(left, right, ["g"], at_most).select("c", "a")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert R.dominated_by(left, right.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_pairs_take_little_room(spark, tmp_path):
+    """Each left row of a block repeats the same right rows: stored pairs take far less than the bits that tell rows apart."""
+    points = spark.range(3000).selectExpr("id AS a", "'n' AS g", "id % 50 AS x", "(id * 7919) % 1000 AS y")
+    R.dominated_by(points.withColumnRenamed("a", "c"), points, ["g"], ["x", "y"]).select("c", "a").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    stored = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert pairs > 2_000_000 and stored < 0.3 * pairs
+
+
 def _waves_one_by_one(sizes, total):
     """Partial waves as they are told: each takes the first jobs that sum to the total, or to the most there is."""
     left, waves = sorted(sizes, key=lambda x: (-x[1], x[0])), []
